@@ -107,6 +107,15 @@ def correlation(a: Column, b: Column) -> Column:
     return nan_to_null(F.try_divide(F.covar_pop(a, b), F.nullif(spread, F.lit(0.0))))
 
 
+def correlation_of_sums(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
+    """Pearson r from sums of values that were shifted close to their means."""
+    var_x, var_y = xx - x * x / n, yy - y * y / n
+    spread = F.sqrt(F.greatest(var_x, F.lit(0.0))) * F.sqrt(F.greatest(var_y, F.lit(0.0)))
+    flat = (var_x <= 1e-14 * xx) | (var_y <= 1e-14 * yy)
+    r = F.try_divide(xy - x * y / n, F.nullif(spread, F.lit(0.0)))
+    return F.when(~flat, clip(nan_to_null(r), -1.0, 1.0))
+
+
 def imputed_kurtosis(n: Column, var_pop: Column, g1: Column, g2: Column, mean: Column,
                      gaps: Column, fill: Column) -> Column:
     """Adjusted kurtosis of a column after its ``gaps`` missing cells take the value ``fill``.
@@ -138,6 +147,9 @@ def scatter(key: Column, seed: int = 42) -> Column:
 
 def fingerprint(df: DataFrame, columns: list[str]) -> list[Column]:
     """Two independent 64-bit hashes of a row that tell NULL positions apart."""
-    gaps = F.concat(*[F.when(missing(df, c), F.lit("1")).otherwise(F.lit("0")) for c in columns])
+    gaps = [
+        total([F.when(missing(df, c), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns[at:at + 60])])
+        for at in range(0, len(columns), 60)
+    ]
     cells = [as_number(df, c) if is_float(dtype_of(df, c)) else F.col(c) for c in columns]
-    return [F.xxhash64(F.lit(salt), gaps, *cells) for salt in (1, 2)]
+    return [F.xxhash64(F.lit(salt), *gaps, *cells) for salt in (1, 2)]

@@ -7,12 +7,13 @@ such rows into eight scores with plain column expressions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablefit.functions.frames import join_on, rows_per_segment
-from tablefit.functions.lookups import CLASSIFICATION, CODES, DIMENSIONS, REGRESSION, TIME_SERIES, ImbalancePolicy
+from tablefit.functions.frames import join_on, materialize, rows_per_segment
+from tablefit.functions.lookups import CLASSIFICATION, DIMENSIONS, REGRESSION, TASKS, TIME_SERIES, ImbalancePolicy
 from tablefit.functions.stats import (
     adjusted_skewness,
     as_number,
@@ -23,7 +24,6 @@ from tablefit.functions.stats import (
     infinite,
     is_float,
     is_integer,
-    is_numeric,
     is_temporal,
     missing,
     total,
@@ -58,31 +58,60 @@ def _spread_key(df: DataFrame, column: str) -> Column:
     return F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column)))
 
 
-def cell_metrics(df: DataFrame, roles: Roles, by: Sequence[str] = ()) -> DataFrame:
-    """Missing, constant and infinite cells, and the spread of the target: one scan."""
+def cell_table(df: DataFrame, roles: Roles, by: Sequence[str] = ()) -> DataFrame:
+    """Raw counts and moments of every column: the one wide scan behind most metrics."""
     by, columns = list(by), roles.columns
     gaps = {c: missing(df, c) for c in columns}
-    floats = [c for c in roles.numeric if is_float(dtype_of(df, c))]
     row_gaps = total([gap.cast("int") for gap in gaps.values()])
-    aggregates = [
+    numbers = {c: as_number(df, c) for c in roles.numeric}
+    return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(row_gaps).alias("missing_cells"),
         F.count_if(row_gaps > 0.5 * len(columns)).alias("severely_empty_rows"),
         *[count_true(gap).alias(f"m_{c}") for c, gap in gaps.items()],
         *[F.min(_spread_key(df, c)).alias(f"lo_{c}") for c in columns],
         *[F.max(_spread_key(df, c)).alias(f"hi_{c}") for c in columns],
-        *[count_true(infinite(df, c)).alias(f"i_{c}") for c in floats],
-    ]
-    target = roles.target
-    if target in roles.numeric:
-        y = as_number(df, target)
-        aggregates += [
-            F.stddev_samp(y).alias("target_std"),
-            adjusted_skewness(F.count(y), F.skewness(y)).alias("target_skewness"),
-        ]
-    wide = df.groupBy(*by).agg(*aggregates)
+        *[count_true(infinite(df, c)).alias(f"i_{c}") for c in roles.numeric],
+        *[F.avg(F.when(~infinite(df, c), x)).alias(f"c_{c}") for c, x in numbers.items()],
+        *[moments(x).alias(f"k_{c}") for c, x in numbers.items() if c in roles.measures],
+    )
+
+
+def moments(x: Column) -> Column:
+    return F.struct(F.count(x).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"),
+                    F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
+
+
+@dataclass(frozen=True)
+class TableFacts:
+    """A few numbers per table and column that later plans depend on."""
+
+    largest: int
+    gappy: frozenset[str]
+    centres: dict[str, float]
+
+
+def table_facts(cells: DataFrame, roles: Roles) -> TableFacts:
+    """Totals over the segments of a cell table; one small row reaches the driver."""
+    row = cells.agg(
+        F.max("n").alias("largest"), *[F.sum(f"m_{c}").alias(f"m_{c}") for c in roles.columns],
+        *[F.try_divide(F.sum(F.col(f"c_{c}") * F.col("n")), F.sum(F.when(F.col(f"c_{c}").isNotNull(), F.col("n"))))
+          .alias(f"c_{c}") for c in roles.numeric],
+    ).first()
+    return TableFacts(
+        largest=int(row["largest"] or 0),
+        gappy=frozenset(c for c in roles.columns if row[f"m_{c}"]),
+        centres={c: float(row[f"c_{c}"] or 0.0) for c in roles.numeric},
+    )
+
+
+def cell_metrics(df: DataFrame, roles: Roles, by: Sequence[str] = (), cells: DataFrame | None = None) -> DataFrame:
+    """Missing, constant and infinite cells, and the spread of the target."""
+    by, columns, target = list(by), roles.columns, roles.target
+    wide = cell_table(df, roles, by) if cells is None else cells
     rate = {c: F.col(f"m_{c}") / F.col("n") for c in columns}
     none = F.lit(None).cast("double")
+    moment = F.col(f"k_{target}") if target in roles.measures else None
     return wide.select(
         *by, "n", F.lit(len(columns)).alias("p"), F.lit(len(roles.numeric)).alias("n_numeric"),
         F.lit(len(roles.features)).alias("n_features"), F.lit(len(roles.measures)).alias("n_measures"),
@@ -93,15 +122,16 @@ def cell_metrics(df: DataFrame, roles: Roles, by: Sequence[str] = ()) -> DataFra
         names_where({
             c: F.col(f"lo_{c}").eqNullSafe(F.col(f"hi_{c}")) for c in columns
         }).alias("constant_cols"),
-        total([F.col(f"i_{c}") for c in floats]).cast("long").alias("infinite_cells"),
-        names_where({c: F.col(f"i_{c}") > 0 for c in floats}).alias("infinite_cols"),
+        total([F.col(f"i_{c}") for c in roles.numeric]).cast("long").alias("infinite_cells"),
+        names_where({c: F.col(f"i_{c}") > 0 for c in roles.numeric}).alias("infinite_cols"),
         F.lit(target is not None and target in columns).alias("target_given"),
         F.lit(target in roles.numeric).alias("target_numeric"),
         (F.col(f"lo_{target}").eqNullSafe(F.col(f"hi_{target}")) if target in columns else F.lit(True))
         .alias("target_constant"),
         (F.col(f"m_{target}") / F.col("n") if target in columns else none).alias("target_missing_rate"),
-        (F.col("target_std") if target in roles.numeric else none).alias("target_std"),
-        (F.col("target_skewness") if target in roles.numeric else none).alias("target_skewness"),
+        (F.sqrt(moment["v"] * moment["n"] / F.nullif(moment["n"] - 1, F.lit(0))) if moment is not None else none)
+        .alias("target_std"),
+        (adjusted_skewness(moment["n"], moment["g1"]) if moment is not None else none).alias("target_skewness"),
     )
 
 
@@ -113,41 +143,38 @@ def collinear_pairs(df: DataFrame, roles: Roles, by: Sequence[str] = ()) -> Data
 
 def leakage_suspects(df: DataFrame, roles: Roles, by: Sequence[str] = ()) -> DataFrame:
     """Features whose |r| with the target exceeds 0.98 over complete rows (more than 10)."""
-    pairs = pair_correlations(df, roles.features, by, listwise=True, against=roles.target)
+    pairs = pair_correlations(df, roles.features, by, listwise=True, target=roles.target, only_target=True)
     found = pairs.filter((F.col("n") > 10) & (F.abs("r") > LEAKAGE))
     return found.select(*by, F.col("feat_a").alias("feature"), "n", "r")
 
 
-def consistency_metrics(df: DataFrame, roles: Roles, by: Sequence[str] = ()) -> DataFrame:
-    by = list(by)
+def consistency_metrics(df: DataFrame, roles: Roles, by: Sequence[str] = (),
+                        centres: dict[str, float] | None = None) -> DataFrame:
+    """Complete rows, number of collinear pairs, and leaking features: one scan."""
+    by, empty = list(by), F.array().cast("array<string>")
     if len(roles.features) < 2:
         return rows_per_segment(df, by).select(
-            *by, F.lit(None).cast("long").alias("clean_rows"), F.lit(0).alias("collinear_pairs"),
-            F.array().cast("array<string>").alias("leakage_cols"),
+            *by, F.lit(None).cast("long").alias("clean_rows"), F.lit(0).cast("long").alias("collinear_pairs"),
+            empty.alias("leakage_cols"),
         )
-    pairs = pair_correlations(df, roles.features, by, listwise=True)
+    target = roles.target if roles.target in roles.numeric else None
+    pairs = pair_correlations(df, roles.features, by, listwise=True, target=target, centres=centres)
+    leaking = F.col("feat_b") == target if target else F.lit(False)
+    strong = F.coalesce(F.abs("r"), F.lit(0.0))
     metrics = pairs.groupBy(*by).agg(
-        F.max("n").alias("clean_rows"), count_true(F.abs("r") > COLLINEAR).cast("int").alias("collinear_pairs")
+        F.max(F.when(~leaking, F.col("n"))).alias("clean_rows"),
+        F.count_if(~leaking & (strong > COLLINEAR)).alias("collinear_pairs"),
+        F.array_sort(F.collect_list(F.when(leaking & (F.col("n") > 10) & (strong > LEAKAGE), F.col("feat_a"))))
+        .alias("leakage_cols"),
     )
-    if roles.target in roles.numeric:
-        leaks = leakage_suspects(df, roles, by).groupBy(*by).agg(
-            F.array_sort(F.collect_list("feature")).alias("leakage_cols")
-        )
-        metrics = join_on(metrics, leaks, by) if by else metrics.crossJoin(leaks)
-    else:
-        metrics = metrics.withColumn("leakage_cols", F.lit(None).cast("array<string>"))
-    usable = F.col("clean_rows") >= 10
-    empty = F.array().cast("array<string>")
-    metrics = metrics.withColumns({
-        "collinear_pairs": F.when(usable, F.col("collinear_pairs")).otherwise(0),
-        "leakage_cols": F.when(usable, F.coalesce("leakage_cols", empty)).otherwise(empty),
-    })
-    # A segment without any complete row is absent above.
-    everyone = rows_per_segment(df, by).drop("n") if by else None
-    if everyone is None:
-        return metrics
-    return join_on(everyone, metrics, by).fillna({"clean_rows": 0, "collinear_pairs": 0}).withColumn(
-        "leakage_cols", F.coalesce("leakage_cols", empty)
+    if by:
+        # A segment without any complete row is absent above.
+        metrics = join_on(rows_per_segment(df, by).drop("n"), metrics, by)
+    usable = F.coalesce(F.col("clean_rows") >= 10, F.lit(False))
+    return metrics.select(
+        *by, F.coalesce("clean_rows", F.lit(0)).alias("clean_rows"),
+        F.when(usable, F.col("collinear_pairs")).otherwise(0).alias("collinear_pairs"),
+        F.when(usable, F.col("leakage_cols")).otherwise(empty).alias("leakage_cols"),
     )
 
 
@@ -244,7 +271,8 @@ def half_split_drift(df: DataFrame, columns: Sequence[str], row_order: str, by:
     return long.withColumn("drifted", F.coalesce(F.col("shift") > DRIFT, F.lit(False)))
 
 
-def timeliness_metrics(df: DataFrame, roles: Roles, row_order: str, by: Sequence[str] = ()) -> DataFrame:
+def timeliness_metrics(df: DataFrame, roles: Roles, row_order: str, by: Sequence[str] = (),
+                       with_axis: bool = True) -> DataFrame:
     by = list(by)
     base = rows_per_segment(df, by).drop("n") if by else df.sparkSession.range(1).drop("id")
     empty = F.array().cast("array<string>")
@@ -260,7 +288,7 @@ def timeliness_metrics(df: DataFrame, roles: Roles, row_order: str, by: Sequence
         "time_given": F.lit(roles.time is not None and roles.time in df.columns),
         "time_found": F.lit(axis is not None),
     })
-    if axis is None:
+    if axis is None or not with_axis:
         nothing = {c: F.lit(None).cast("long") for c in
                    ("time_invalid", "time_valid", "time_distinct", "duplicate_groups", "duplicate_timestamps",
                     "backward_jumps")}
@@ -272,20 +300,30 @@ def timeliness_metrics(df: DataFrame, roles: Roles, row_order: str, by: Sequence
     return both.fillna({"backward_jumps": 0, "cadence_mean": 1.0, "cadence_std": 0.0, "cadence_cv": 0.0})
 
 
-def heavy_tails(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), **options) -> DataFrame:
-    """Adjusted kurtosis of every column after median imputation: ``column, kurtosis, heavy``."""
+def heavy_tails(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), cells: DataFrame | None = None,
+                gappy: Sequence[str] | None = None, **options) -> DataFrame:
+    """Adjusted kurtosis of every column after median imputation: ``column, kurtosis, heavy``.
+
+    Medians are only computed for columns that have gaps.
+    """
     by, columns = list(by), list(columns)
     numbers = {c: as_number(df, c) for c in columns}
-    wide = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.struct(F.count(x).alias("n"), F.var_pop(x).alias("v"), F.skewness(x).alias("g1"),
-                   F.kurtosis(x).alias("g2"), F.avg(x).alias("m")).alias(f"k_{c}") for c, x in numbers.items()],
-    )
-    wide = join_on(wide, medians(df, columns, by, **options).withColumnsRenamed({c: f"fill_{c}" for c in columns}), by)
+    if gappy is None:
+        found = df.agg(*[F.max(x.isNull()).alias(c) for c, x in numbers.items()]).first()
+        gappy = [c for c in columns if found[c]]
+    gappy = [c for c in columns if c in gappy]
+    if cells is None:
+        cells = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+                                    *[moments(x).alias(f"k_{c}") for c, x in numbers.items()])
+    wide = cells.select(*by, "n", *[f"k_{c}" for c in columns])
+    if gappy:
+        fills = medians(df, gappy, by, **options).withColumnsRenamed({c: f"fill_{c}" for c in gappy})
+        wide = join_on(wide, fills, by)
 
     def entry(c: str) -> Column:
         k = F.col(f"k_{c}")
-        value = imputed_kurtosis(k["n"], k["v"], k["g1"], k["g2"], k["m"], F.col("n") - k["n"], F.col(f"fill_{c}"))
+        fill = F.col(f"fill_{c}") if c in gappy else F.lit(None).cast("double")
+        value = imputed_kurtosis(k["n"], k["v"], k["g1"], k["g2"], k["m"], F.col("n") - k["n"], fill)
         return F.struct(F.lit(c).alias("column"), value.alias("kurtosis"))
 
     long = wide.select(*by, F.inline(F.array(*[entry(c) for c in columns])))
@@ -298,18 +336,18 @@ def pinned_anomaly_share(n: Column) -> Column:
     return F.ceil(F.round(F.lit(CONTAMINATION) * (size - 1), 9)) / size
 
 
-def outlier_metrics(df: DataFrame, roles: Roles, by: Sequence[str] = ()) -> DataFrame:
+def outlier_metrics(df: DataFrame, roles: Roles, by: Sequence[str] = (), **tails) -> DataFrame:
     """Heavy-tailed columns; the anomaly share is the pinned one unless a forest replaces it."""
     by = list(by)
     sizes = rows_per_segment(df, by)
     if not roles.measures:
         return sizes.select(*by, F.array().cast("array<string>").alias("heavy_tail_cols"),
                             F.lit(0.0).alias("anomaly_ratio"))
-    tails = heavy_tails(df, roles.measures, by).groupBy(*by).agg(
+    heavy = heavy_tails(df, roles.measures, by, **tails).groupBy(*by).agg(
         F.array_sort(F.collect_list(F.when(F.col("heavy"), F.col("column")))).alias("heavy_tail_cols")
     )
     share = F.when(F.col("n") < 15, 0.0).otherwise(pinned_anomaly_share(F.col("n")))
-    return join_on(sizes, tails, by).select(
+    return join_on(sizes, heavy, by).select(
         *by,
         F.when(F.col("n") < 15, F.array().cast("array<string>")).otherwise(F.col("heavy_tail_cols"))
         .alias("heavy_tail_cols"),
@@ -317,10 +355,10 @@ def outlier_metrics(df: DataFrame, roles: Roles, by: Sequence[str] = ()) -> Data
     )
 
 
-def balance_metrics(df: DataFrame, roles: Roles, by: Sequence[str] = ()) -> DataFrame:
+def balance_metrics(df: DataFrame, roles: Roles, by: Sequence[str] = (), with_classes: bool = True) -> DataFrame:
     """Minority and majority share of the target's classes, in percent."""
     by = list(by)
-    if roles.target not in df.columns:
+    if roles.target not in df.columns or not with_classes:
         sizes = rows_per_segment(df, by)
         return sizes.select(*by, *[F.lit(None).cast("double").alias(c) for c in
                                    ("minority_pct", "majority_pct", "imbalance_ratio")])
@@ -336,14 +374,27 @@ def balance_metrics(df: DataFrame, roles: Roles, by: Sequence[str] = ()) -> Data
     )
 
 
-def quality_metrics(df: DataFrame, roles: Roles, row_order: str, by: Sequence[str] = ()) -> DataFrame:
-    """All metrics of all dimensions: one row per segment."""
-    metrics = cell_metrics(df, roles, by)
-    for part in (consistency_metrics(df, roles, by), uniqueness_metrics(df, roles, by),
-                 timeliness_metrics(df, roles, row_order, by), outlier_metrics(df, roles, by),
-                 balance_metrics(df, roles, by)):
+def quality_metrics(df: DataFrame, roles: Roles, row_order: str, by: Sequence[str] = (),
+                    tasks: Sequence[str] = TASKS) -> DataFrame:
+    """All metrics of all dimensions: one row per segment, written to the shared folder.
+
+    Passes that none of the ``tasks`` needs are left out.
+    """
+    by = list(by)
+    with_axis = roles.time is not None or TIME_SERIES in tasks
+    cells = materialize(cell_table(df, roles, by), "cells")
+    facts = table_facts(cells, roles)
+    metrics = cell_metrics(df, roles, by, cells)
+    parts = (
+        consistency_metrics(df, roles, by, facts.centres),
+        uniqueness_metrics(df, roles, by),
+        timeliness_metrics(df, roles, row_order, by, with_axis),
+        outlier_metrics(df, roles, by, cells=cells, gappy=facts.gappy, largest=facts.largest),
+        balance_metrics(df, roles, by, CLASSIFICATION in tasks),
+    )
+    for part in parts:
         metrics = join_on(metrics, part, by)
-    return metrics
+    return materialize(metrics, "metrics")
 
 
 # ---------------------------------------------------------------- scores
@@ -477,11 +528,3 @@ def scores_wide(long: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.max(F.when(F.col("dimension") == d, F.col("score"))).alias(code)
         for d, code in DIMENSIONS.items()
     ])
-
-
-def score_array() -> Column:
-    return F.array(*[F.col(code) for code in CODES])
-
-
-def numeric_target(df: DataFrame, roles: Roles) -> bool:
-    return roles.target is not None and is_numeric(dtype_of(df, roles.target))

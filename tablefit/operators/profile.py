@@ -11,10 +11,11 @@ from tablefit.functions.frames import join_on
 from tablefit.functions.stats import (
     as_number,
     both,
-    correlation,
+    correlation_of_sums,
     count_true,
     dtype_of,
     fingerprint,
+    infinite,
     is_numeric,
     kurtosis,
     missing,
@@ -152,37 +153,71 @@ def duplicate_rows(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str]
 
 
 def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (),
-                      listwise: bool = False, against: str | None = None) -> DataFrame:
+                      listwise: bool = False, target: str | None = None, only_target: bool = False,
+                      centres: dict[str, float] | None = None) -> DataFrame:
     """Pearson r per segment and column pair: ``feat_a, feat_b, n, r``.
 
     Pairwise deletion by default; ``listwise`` keeps only rows complete in all
-    columns. ``against`` pairs every column with that one only.
+    ``columns``. ``target`` adds the pairs (column, target), over rows where
+    the target is given as well; ``only_target`` leaves out all other pairs.
     """
     by = list(by)
-    columns = list(columns or numeric_columns(df, by))
-    used = [*columns, against] if against and against not in columns else columns
-    source = df.filter(both([~missing(df, c) for c in used])) if listwise else df
-    if against:
-        pairs = [(c, against) for c in columns if c != against]
-    else:
-        pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    tables = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start:start + PAIRS_PER_PASS]
-        wide = source.groupBy(*by).agg(*[_pair(source, a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        tables.append(wide.select(*by, F.inline(F.array(*[F.col(f"r{i}") for i in range(len(part))]))))
+    columns = [c for c in (columns or numeric_columns(df, by)) if c != target]
+    source = df.filter(both([~missing(df, c) for c in columns])) if listwise else df
+    pairs = [] if only_target else [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    pairs += [(c, target) for c in columns] if target else []
+    if centres is None:
+        centres = column_centres(source, [*columns, target] if target else columns)
+    full = frozenset(columns if listwise else ())
+    tables = [
+        _pair_pass(source, pairs[at:at + PAIRS_PER_PASS], centres, by, full)
+        for at in range(0, len(pairs), PAIRS_PER_PASS)
+    ]
     result = tables[0]
     for table in tables[1:]:
         result = result.unionByName(table)
     return result
 
 
-def _pair(df: DataFrame, a: str, b: str) -> Column:
-    x, y = as_number(df, a), as_number(df, b)
-    return F.struct(
-        F.lit(a).alias("feat_a"), F.lit(b).alias("feat_b"),
-        F.count_if(x.isNotNull() & y.isNotNull()).alias("n"), correlation(x, y).alias("r"),
-    )
+def column_centres(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Mean of the finite cells per column: one number each, to keep later sums small."""
+    finite = {c: F.when(~infinite(df, c), as_number(df, c)) for c in columns}
+    row = df.agg(*[F.avg(x).alias(c) for c, x in finite.items()]).first()
+    return {c: float(row[c] or 0.0) for c in columns}
+
+
+def _pair_pass(df: DataFrame, pairs: Sequence[tuple[str, str]], centres: dict[str, float], by: list[str],
+               full: frozenset[str]) -> DataFrame:
+    """One scan for many pairs: plain sums of shifted products.
+
+    Columns in ``full`` have no gaps, so their own sums are shared by all pairs.
+    """
+    x = {c: as_number(df, c) - F.lit(centres[c]) for pair in pairs for c in pair}
+    number = {c: i for i, c in enumerate(x)}
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    for c, i in number.items():
+        if c in full:
+            aggregates += [F.sum(x[c]).alias(f"s{i}"), F.sum(x[c] * x[c]).alias(f"q{i}")]
+    for i, (a, b) in enumerate(pairs):
+        aggregates.append(F.sum(x[a] * x[b]).alias(f"p{i}"))
+        if not (a in full and b in full):
+            xa, xb = F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])
+            aggregates += [
+                F.count(x[a] + x[b]).alias(f"n{i}"), F.sum(xa).alias(f"sa{i}"), F.sum(xb).alias(f"sb{i}"),
+                F.sum(xa * xa).alias(f"qa{i}"), F.sum(xb * xb).alias(f"qb{i}"),
+            ]
+    wide = df.groupBy(*by).agg(*aggregates)
+
+    def entry(i: int, a: str, b: str) -> Column:
+        if a in full and b in full:
+            names = ("n", f"s{number[a]}", f"s{number[b]}", f"q{number[a]}", f"q{number[b]}", f"p{i}")
+        else:
+            names = (f"n{i}", f"sa{i}", f"sb{i}", f"qa{i}", f"qb{i}", f"p{i}")
+        r = correlation_of_sums(*map(F.col, names))
+        return F.struct(F.lit(a).alias("feat_a"), F.lit(b).alias("feat_b"), F.col(names[0]).alias("n"),
+                        F.when(F.col(names[0]) > 0, r).alias("r"))
+
+    return wide.select(*by, F.inline(F.array(*[entry(i, a, b) for i, (a, b) in enumerate(pairs)])))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:

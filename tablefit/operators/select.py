@@ -156,11 +156,6 @@ def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), **opt
     return wide.select(*by, *[F.get(F.col(c), F.lit(0)).alias(c) for c in columns])
 
 
-def rank_rows(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> Column:
-    """Plain window rank; only for segments whose size has been checked."""
-    return F.row_number().over(W.partitionBy(*by).orderBy(*keys))
-
-
 def cut_keys(df: DataFrame, keys: Sequence[str], targets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Order keys (one or two columns) of the rows at given ranks: ``by, rank_id, k1[, k2]``."""
     by = list(by)
@@ -176,6 +171,15 @@ def cut_keys(df: DataFrame, keys: Sequence[str], targets: DataFrame, by: Sequenc
     return second.select(*by, "rank_id", "k1", F.col("v").alias("k2"))
 
 
+def ranked_keys(df: DataFrame, keys: Sequence[str], targets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Same as ``cut_keys`` by a window over the keys alone; for segments of checked size."""
+    by, names = list(by), ["k1", "k2"][: len(keys)]
+    cells = df.select(*by, *[sortable(df, k).alias(n) for k, n in zip(keys, names)])
+    place = F.row_number().over(W.partitionBy(*by).orderBy(*names)).cast("long")
+    found = join_on(cells.withColumn("rank", place), targets, [*by, "rank"], "inner")
+    return found.select(*by, "rank_id", *names)
+
+
 def with_tile(df: DataFrame, keys: Sequence[str], cuts: Sequence[Callable[[Column], Column]],
               by: Sequence[str] = (), name: str = "tile", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Number the contiguous parts that cuts make of each segment in key order.
@@ -188,17 +192,12 @@ def with_tile(df: DataFrame, keys: Sequence[str], cuts: Sequence[Callable[[Colum
     sizes = rows_per_segment(df, by)
     segments, largest = segment_sizes(df, by)
     small = segments <= ROWS_TO_BROADCAST
-    if largest <= rows_per_task:
-        ranked = df.withColumn("__rank", rank_rows(df, keys, by))
-        ranked = join_on(ranked, sizes.withColumnRenamed("n", "__n"), by, small=small)
-        passed = [(F.col("__rank") > cut(F.col("__n"))).cast("int") for cut in cuts]
-        tile = sum(passed[1:], passed[0])
-        return ranked.withColumn(name, tile).drop("__rank", "__n")
     targets = sizes.select(
         *by,
         F.posexplode(F.array(*[cut(F.col("n")).cast("long") for cut in cuts])).alias("rank_id", "rank"),
     )
-    found = cut_keys(df, keys, targets, by)
+    find = ranked_keys if largest <= rows_per_task else cut_keys
+    found = find(df, keys, targets, by)
     fields = ["k1", "k2"][: len(keys)]
     wide = found.groupBy(*by).agg(*[
         F.first(F.when(F.col("rank_id") == i, F.col(k)), ignorenulls=True).alias(f"__{k}_{i}")
