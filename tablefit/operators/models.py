@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tablefit.functions.frames import join_on
 from tablefit.functions.lookups import CLASSIFICATION, CLUSTERING, REGRESSION, TIME_SERIES
-from tablefit.functions.stats import as_number, dtype_of, is_numeric, missing
+from tablefit.functions.stats import as_number, dtype_of, infinite, is_numeric, missing
 from tablefit.operators.columns import drop_incomplete, lenient_timestamp, shared_features
 from tablefit.operators.order import with_previous
 from tablefit.operators.remediate import fill_values
@@ -23,11 +23,12 @@ TREES, DEPTH = 40, 6
 
 
 def train_filled(train: DataFrame, test: DataFrame, columns: Sequence[str], exact: bool = True):
-    """Both parts with gaps filled by the training medians."""
+    """Both parts with gaps filled by the training medians; infinite cells count as gaps."""
+    train, test = (
+        d.withColumns({c: F.when(~infinite(d, c), as_number(d, c)) for c in columns}) for d in (train, test))
     fills = fill_values(train.select(*columns), exact=exact)
-    cells = {c: F.coalesce(as_number(train, c), F.lit(float(fills.get(c, 0.0)))) for c in columns}
-    tests = {c: F.coalesce(as_number(test, c), F.lit(float(fills.get(c, 0.0)))) for c in columns}
-    return train.withColumns(cells), test.withColumns(tests)
+    filled = {c: F.coalesce(F.col(c), F.lit(float(fills.get(c, 0.0)))) for c in columns}
+    return train.withColumns(filled), test.withColumns(filled)
 
 
 def lag_features(parts: DataFrame, target: str, row_order: str, time: str | None = None, compat: bool = True,

@@ -21,6 +21,7 @@ from tablefit.operators.splits import MIN_ROWS, random_split, stratified_split
 from tablefit.plans.evaluate import Evaluation, evaluate
 from tablefit.sources.writers import cleansed
 
+SEQUENCE = "__sequence"
 METRIC_NAMES = {CLASSIFICATION: "F1", CLUSTERING: "Silhouette Score"}
 
 
@@ -39,7 +40,7 @@ class ClosedLoop:
         return action_log(self.result.sparkSession, self.log)
 
     def cleansed(self) -> DataFrame:
-        return cleansed(self.train.drop("part"), self.test.drop("part"))
+        return cleansed(self.train, self.test).drop("part", SEQUENCE)
 
 
 def split_for(df: DataFrame, task: str, key: str, target: str | None, train_share: float = 0.7,
@@ -81,14 +82,16 @@ def remediate_and_validate(df: DataFrame, task: str, target: str | None, row_ord
     metric_before = observed_metric(parts, task, target, time, row_order, hidden)
 
     train, test, log = repair_split(raw_train, raw_test, actions, task, target, time, row_order)
+    train, test = in_sequence(train, test, row_order, time if log[0].executed else None)
     train, test = materialize(train, "train"), materialize(test, "test")
     both = cleansed(train, test)
-    metric_after = observed_metric(both, task, target, time, row_order, hidden)
+    hidden.append(SEQUENCE)
+    metric_after = observed_metric(both, task, target, time, SEQUENCE, hidden)
 
-    marked = both.withColumn("part", F.explode(F.array(F.col("part"), F.lit("all"))))
-    scored = evaluate(marked, task, target, time, by=["part"], policy=policy, anomaly=anomaly,
-                      without=[*without, row_order], row_order=row_order)
+    options.update(without=hidden, row_order=SEQUENCE)
     after = evaluate(both, task, target, time, observed=metric_after, **options)
+    marked = both.withColumn("part", F.explode(F.array(F.col("part"), F.lit("all"))))
+    scored = evaluate(marked, task, target, time, by=["part"], **options)
     by_part = {r["part"]: r for r in scored.rows.select("part", "n", "fitness", "tier").collect()}
     start = before.rows.select("fitness", "tier", "n").first()
 
@@ -115,6 +118,17 @@ def remediate_and_validate(df: DataFrame, task: str, target: str | None, row_ord
                       split_receipt(parts, row_order, features, target), immutability(raw_test, test, row_order))
 
 
+def in_sequence(train: DataFrame, test: DataFrame, row_order: str,
+                sorted_by: str | None) -> tuple[DataFrame, DataFrame]:
+    """Add the arrival key after a repair: sorted training rows first, then the test rows as they came."""
+    if sorted_by is None:
+        return tuple(d.withColumn(SEQUENCE, F.col(row_order).cast("long")) for d in (train, test))
+    train = train.withColumn(SEQUENCE, F.unix_micros(F.col(sorted_by).cast("timestamp")))
+    last = train.agg(F.max(SEQUENCE)).first()[0] or 0
+    first = test.agg(F.min(F.col(row_order).cast("long"))).first()[0] or 0
+    return train, test.withColumn(SEQUENCE, F.col(row_order).cast("long") - first + last + 1)
+
+
 def fraction_sweep(df: DataFrame, target: str, time: str, row_order: str,
                    shares: Sequence[float] = (0.50, 0.60, 0.70, 0.80, 0.85), without: Sequence[str] = ()) -> DataFrame:
     """Sort repair of a series under several train shares: predicted against observed gain."""
