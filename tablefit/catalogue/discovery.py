@@ -76,9 +76,13 @@ g AS (SELECT *, regexp_matches(c, '(?i)(^|[_\\s-])(price|sales|revenue|demand|sa
 s AS (SELECT *, CASE WHEN u >= 20 OR (u >= 12 AND u / n::DOUBLE >= 0.05) THEN 25 WHEN u >= 10 THEN 15 ELSE 0 END
  + has_time::INT * 15 + (kind = 'float')::INT * 15 + (kind = 'int' AND u >= 20)::INT * 10 + 10 + word::INT * 40
  + (i = p - 1)::INT * 20 + (i = p - 2 AND p >= 4)::INT * 5 + (p >= 3 AND numbers >= 3)::INT * 10 AS score FROM g)
-SELECT dataset, c AS "column", 'regression' AS target_type, score::DOUBLE AS score,
- row_number() OVER (PARTITION BY dataset ORDER BY score DESC, i)::INT AS rank FROM s WHERE score >= 45
-UNION ALL SELECT 'events', 'event_type', 'classification', 75.0, 2""")
+a AS (SELECT dataset, c, i, 'regression' AS target_type, score::DOUBLE AS score FROM s
+ UNION ALL SELECT 'events', 'event_type', 3, 'classification', 60 + (count(DISTINCT event_type) BETWEEN 2 AND 10)::INT * 15
+ FROM events
+ UNION ALL SELECT 'customer', 'c_mktsegment', 4, 'classification',
+  (count(DISTINCT c_mktsegment) BETWEEN 2 AND 10)::INT * 70 FROM customer)
+SELECT dataset, c AS "column", target_type, score,
+ row_number() OVER (PARTITION BY dataset ORDER BY score DESC, i)::INT AS rank FROM a WHERE score >= 45""")
 def target_candidates(spark, folder):
     rows = discover.target_candidates(evidence(spark, folder)).filter("dataset in ('orders', 'events', 'customer')")
     return rows.select("dataset", "column", "target_type", "score", "rank")
@@ -121,20 +125,21 @@ WITH facts AS (
  SELECT 'orders' AS dataset, 'o_totalprice' AS target, 'o_orderdate' AS time,
   count(DISTINCT o_orderdate) / count(*)::DOUBLE AS u FROM orders
  UNION ALL SELECT 'events', 'value', 'ts', count(DISTINCT ts) / count(*)::DOUBLE FROM events
- UNION ALL SELECT 'customer', 'c_acctbal', NULL, NULL FROM (SELECT 1 FROM customer LIMIT 1)
+ UNION ALL SELECT 'customer', 'c_mktsegment', NULL, NULL FROM (SELECT 1 FROM customer LIMIT 1)
  UNION ALL SELECT 'supplier', 's_acctbal', NULL, NULL FROM (SELECT 1 FROM supplier LIMIT 1)
  UNION ALL SELECT 'part', 'p_retailprice', NULL, NULL FROM (SELECT 1 FROM part LIMIT 1)),
 s AS (SELECT *, u IS NOT NULL AND u >= 0.85 AND 1 - u <= 0.10 AS series,
  u IS NOT NULL AND (u < 0.70 OR 1 - u > 0.15) AS trans FROM facts),
-t AS (SELECT *, 0.02 + CASE WHEN series THEN 0.12 WHEN u IS NULL OR trans THEN 1.25 ELSE 0.85 END AS reg,
- 0.02 AS clf, 0.02 + CASE WHEN series THEN 1.55 WHEN trans THEN 0.12 WHEN u IS NULL THEN 0 ELSE 0.40 END AS ts,
+t AS (SELECT *, 0.02 + CASE WHEN dataset = 'customer' THEN 0 WHEN series THEN 0.12 WHEN u IS NULL OR trans THEN 1.25
+ ELSE 0.85 END AS reg, 0.02 + CASE WHEN dataset = 'customer' THEN 1.25 ELSE 0 END AS clf, 0.02 + CASE WHEN series THEN 1.55 WHEN trans THEN 0.12 WHEN u IS NULL THEN 0 ELSE 0.40 END AS ts,
  0.04 AS clu FROM s),
 p AS (SELECT *, round(reg / (reg + clf + ts + clu)::DOUBLE, 3) AS a, round(clf / (reg + clf + ts + clu)::DOUBLE, 3) AS b,
  round(ts / (reg + clf + ts + clu)::DOUBLE, 3) AS c, round(clu / (reg + clf + ts + clu)::DOUBLE, 3) AS d FROM t)
-SELECT dataset, target, time, CASE WHEN reg >= ts THEN 'supervised_regression' ELSE 'time_series_forecasting' END AS task,
- round(CASE WHEN reg >= ts THEN a + (1 - a - b - c - d) ELSE a END, 3) AS p_supervised_regression,
- b AS p_supervised_classification,
- round(CASE WHEN reg < ts THEN c + (1 - a - b - c - d) ELSE c END, 3) AS p_time_series_forecasting,
+SELECT dataset, target, time, CASE WHEN clf > 1 THEN 'supervised_classification' WHEN reg >= ts
+  THEN 'supervised_regression' ELSE 'time_series_forecasting' END AS task,
+ round(CASE WHEN clf < 1 AND reg >= ts THEN a + (1 - a - b - c - d) ELSE a END, 3) AS p_supervised_regression,
+ round(CASE WHEN clf > 1 THEN b + (1 - a - b - c - d) ELSE b END, 3) AS p_supervised_classification,
+ round(CASE WHEN clf < 1 AND reg < ts THEN c + (1 - a - b - c - d) ELSE c END, 3) AS p_time_series_forecasting,
  d AS p_clustering FROM p""")
 def task_probabilities(spark, folder):
     rows = inferred(spark, folder).filter("dataset <> 'labels'")

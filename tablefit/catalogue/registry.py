@@ -37,7 +37,7 @@ DIRTY_EVENTS = """dirty_events AS (
 PATCHY_ORDERS = """patchy_orders AS (
  SELECT o_orderkey, o_orderstatus, o_orderdate,
   CASE WHEN (o_orderkey*7) % 100 < 12 THEN NULL
-       WHEN (o_orderkey*31) % 500 = 0 THEN o_totalprice*1000 ELSE o_totalprice END AS o_totalprice,
+       WHEN (o_orderkey*31 + 7) % 500 = 0 THEN o_totalprice*1000 ELSE o_totalprice END AS o_totalprice,
   CASE WHEN (o_orderkey*11) % 100 < 20 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
   CASE WHEN (o_orderkey*17) % 1000 < 60 THEN 1 ELSE 0 END AS flag FROM orders)"""
 
@@ -76,7 +76,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 def patchy_orders(spark: SparkSession, folder: str) -> DataFrame:
     df, key = table(spark, folder, "orders"), F.col("o_orderkey")
-    df = defects.spike(df, "o_totalprice", defects.hit(key, 31, 500, 1), 1000)
+    df = defects.spike(df, "o_totalprice", defects.hit(key, 31, 500, 1, 7), 1000)
     df = defects.blank(df, "o_totalprice", defects.hit(key, 7, 100, 12))
     df = defects.blank(df, "o_orderpriority", defects.hit(key, 11, 100, 20))
     df = df.withColumn("flag", defects.hit(key, 17, 1000, 60).cast("int"))

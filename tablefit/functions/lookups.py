@@ -157,10 +157,8 @@ def sensitivity_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "task string, dimension string, sensitivity double")
 
 
-def sensitivity_of(task: Column, code: str) -> Column:
-    """Sensitivity of the task in a column to one dimension, as an expression."""
+def sensitivity_of(code: str, task: str = "task") -> Column:
+    """Sensitivity of the task named in a column to one dimension, as an expression."""
     index = CODES.index(code)
-    expr = F.lit(SENSITIVITY[CLUSTERING][index])
-    for name in (CLASSIFICATION, REGRESSION, TIME_SERIES):
-        expr = F.when(task == name, F.lit(SENSITIVITY[name][index])).otherwise(expr)
-    return expr
+    cases = " ".join(f"WHEN '{name}' THEN {SENSITIVITY[name][index]}D" for name in TASKS)
+    return F.expr(f"CASE {task} {cases} ELSE {SENSITIVITY[CLUSTERING][index]}D END")

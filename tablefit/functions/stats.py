@@ -107,37 +107,40 @@ def correlation(a: Column, b: Column) -> Column:
     return nan_to_null(F.try_divide(F.covar_pop(a, b), F.nullif(spread, F.lit(0.0))))
 
 
-def correlation_of_sums(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
-    """Pearson r from sums of values that were shifted close to their means."""
-    var_x, var_y = xx - x * x / n, yy - y * y / n
-    spread = F.sqrt(F.greatest(var_x, F.lit(0.0))) * F.sqrt(F.greatest(var_y, F.lit(0.0)))
-    flat = (var_x <= 1e-14 * xx) | (var_y <= 1e-14 * yy)
-    r = F.try_divide(xy - x * y / n, F.nullif(spread, F.lit(0.0)))
-    return F.when(~flat, clip(nan_to_null(r), -1.0, 1.0))
+def correlation_of_sums(n: str, x: str, y: str, xx: str, yy: str, xy: str) -> Column:
+    """Pearson r from columns with sums of values that were shifted close to their means.
+
+    Written as SQL text: one such expression per column pair is built in one call.
+    """
+    var_x, var_y = f"({xx} - {x} * {x} / {n})", f"({yy} - {y} * {y} / {n})"
+    spread = f"sqrt(greatest({var_x}, 0D)) * sqrt(greatest({var_y}, 0D))"
+    r = f"try_divide({xy} - {x} * {y} / {n}, nullif({spread}, 0D))"
+    flat = f"{var_x} <= 1e-14 * {xx} OR {var_y} <= 1e-14 * {yy} OR isnan({r})"
+    return F.expr(f"CASE WHEN {n} > 0 AND NOT ({flat}) THEN least(greatest({r}, -1D), 1D) END")
 
 
-def imputed_kurtosis(n: Column, var_pop: Column, g1: Column, g2: Column, mean: Column,
-                     gaps: Column, fill: Column) -> Column:
-    """Adjusted kurtosis of a column after its ``gaps`` missing cells take the value ``fill``.
+def imputed_kurtosis(moments: str, rows: str, fill: str) -> Column:
+    """Adjusted kurtosis of a column whose missing cells all take the value ``fill``.
 
-    Merges the central moments of the given cells with those of a constant
-    block, so no second scan over imputed rows is needed.
+    Merges the central moments of the given cells (a struct column with n, m,
+    v, g1, g2) with those of a constant block, so imputed rows are never
+    scanned. Arguments are SQL text.
     """
-    na, nb = n.cast("double"), gaps.cast("double")
-    m2 = var_pop * na
-    m3 = F.coalesce(g1, F.lit(0.0)) * F.pow(var_pop, 1.5) * na
-    m4 = (F.coalesce(g2, F.lit(-3.0)) + 3) * F.pow(var_pop, 2) * na
-    size = na + nb
-    d = F.coalesce(fill - mean, F.lit(0.0))
-    all2 = m2 + d * d * na * nb / size
+    na, nb, size = f"{moments}.n", f"({rows} - {moments}.n)", f"CAST({rows} AS DOUBLE)"
+    m2 = f"({moments}.v * {na})"
+    m3 = f"(coalesce({moments}.g1, 0D) * pow({moments}.v, 1.5D) * {na})"
+    m4 = f"((coalesce({moments}.g2, -3D) + 3) * {moments}.v * {moments}.v * {na})"
+    d = f"coalesce({fill} - {moments}.m, 0D)"
+    all2 = f"({m2} + {d} * {d} * {na} * {nb} / {size})"
     all4 = (
-        m4
-        + F.pow(d, 4) * na * nb * (na * na - na * nb + nb * nb) / F.pow(size, 3)
-        + 6 * d * d * nb * nb * m2 / (size * size)
-        - 4 * d * nb * m3 / size
+        f"({m4} + pow({d}, 4) * {na} * {nb} * ({na} * CAST({na} AS DOUBLE) - {na} * CAST({nb} AS DOUBLE)"
+        f" + {nb} * CAST({nb} AS DOUBLE)) / pow({size}, 3)"
+        f" + 6 * {d} * {d} * {nb} * CAST({nb} AS DOUBLE) * {m2} / ({size} * {size}) - 4 * {d} * {nb} * {m3} / {size})"
     )
-    g2_all = F.try_divide(size * all4, F.nullif(all2 * all2, F.lit(0.0))) - 3
-    return adjusted_kurtosis(size, g2_all)
+    g2 = f"try_divide({size} * {all4}, nullif({all2} * {all2}, 0D)) - 3"
+    adjusted = f"({size} - 1) / (({size} - 2) * ({size} - 3)) * (({size} + 1) * g + 6)"
+    inner = f"element_at(transform(array(g2v), g -> CASE WHEN NOT isnan(g) THEN {adjusted} END), 1)".replace("g2v", g2)
+    return F.expr(f"CASE WHEN {rows} > 3 THEN coalesce({inner}, 0D) END")
 
 
 def scatter(key: Column, seed: int = 42) -> Column:

@@ -321,9 +321,8 @@ def heavy_tails(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), c
         wide = join_on(wide, fills, by)
 
     def entry(c: str) -> Column:
-        k = F.col(f"k_{c}")
-        fill = F.col(f"fill_{c}") if c in gappy else F.lit(None).cast("double")
-        value = imputed_kurtosis(k["n"], k["v"], k["g1"], k["g2"], k["m"], F.col("n") - k["n"], fill)
+        fill = f"`fill_{c}`" if c in gappy else "CAST(NULL AS DOUBLE)"
+        value = imputed_kurtosis(f"`k_{c}`", "n", fill)
         return F.struct(F.lit(c).alias("column"), value.alias("kurtosis"))
 
     long = wide.select(*by, F.inline(F.array(*[entry(c) for c in columns])))

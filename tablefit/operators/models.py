@@ -150,7 +150,7 @@ def utility(error: Column, spread: Column) -> Column:
 
 
 def error_ratio(observed: Column, predicted: Column) -> Column:
-    return observed / F.greatest(F.lit(1e-5), predicted)
+    return F.when(predicted.isNotNull(), observed / F.greatest(F.lit(1e-5), predicted))
 
 
 def observed_metric(parts: DataFrame, task: str, target: str | None, time: str | None = None,

@@ -213,9 +213,8 @@ def _pair_pass(df: DataFrame, pairs: Sequence[tuple[str, str]], centres: dict[st
             names = ("n", f"s{number[a]}", f"s{number[b]}", f"q{number[a]}", f"q{number[b]}", f"p{i}")
         else:
             names = (f"n{i}", f"sa{i}", f"sb{i}", f"qa{i}", f"qb{i}", f"p{i}")
-        r = correlation_of_sums(*map(F.col, names))
         return F.struct(F.lit(a).alias("feat_a"), F.lit(b).alias("feat_b"), F.col(names[0]).alias("n"),
-                        F.when(F.col(names[0]) > 0, r).alias("r"))
+                        correlation_of_sums(*names).alias("r"))
 
     return wide.select(*by, F.inline(F.array(*[entry(i, a, b) for i, (a, b) in enumerate(pairs)])))
 

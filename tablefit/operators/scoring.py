@@ -43,7 +43,7 @@ def weights(code: str) -> Column:
 
 def with_base_weights(rows: DataFrame) -> DataFrame:
     """w_cmp … w_cov: sensitivity of the task, normalised to 1."""
-    raw = {code: sensitivity_of(F.col("task"), code) for code in CODES}
+    raw = {code: sensitivity_of(code) for code in CODES}
     whole = _sum(list(raw.values()))
     return rows.withColumns({f"w_{code}": value / whole for code, value in raw.items()})
 
@@ -75,7 +75,7 @@ def with_adaptive_weights(rows: DataFrame, compat: bool = True) -> DataFrame:
     pipeline never emits.
     """
     factors = modulations(compat)
-    raw = {code: sensitivity_of(F.col("task"), code) * factors[code] for code in CODES}
+    raw = {code: sensitivity_of(code) * factors[code] for code in CODES}
     whole = _sum(list(raw.values()))
     return rows.withColumns({f"w_{code}": value / whole for code, value in raw.items()})
 
@@ -98,11 +98,11 @@ def weights_long(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def raw_fitness() -> Column:
-    return clip(_sum([F.col(code) * weights(code) for code in CODES]), 0.0, 100.0)
+    return clip(F.expr(" + ".join(f"{code} * w_{code}" for code in CODES)), 0.0, 100.0)
 
 
 def equal_weight_fitness() -> Column:
-    return _sum([F.col(code) for code in CODES]) / len(CODES)
+    return F.expr(f"({' + '.join(CODES)}) / {len(CODES)}")
 
 
 def fitness_of_scores(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -274,7 +274,8 @@ def metric_name(task: Column) -> Column:
 
 def predicted_metric(fitness: Column, task: Column, target_std: Column) -> Column:
     """Metric a reference model should reach at this fitness (unrounded)."""
-    rmse = F.greatest(F.lit(0.1), target_std * (0.20 + (100 - fitness) * 0.015))
+    spread = F.coalesce(target_std, F.lit(10.0))
+    rmse = F.greatest(F.lit(0.1), spread * (0.20 + (100 - fitness) * 0.015))
     f1 = clip(0.94 * F.pow(fitness / 100, 1.15), 0.0, 1.0)
     silhouette = clip(-0.20 + 0.85 * fitness / 100, -0.20, 0.85)
     return F.when(task == CLASSIFICATION, f1).when(task == CLUSTERING, silhouette).otherwise(rmse)
@@ -303,31 +304,31 @@ def with_calibration(rows: DataFrame, observed: str = "observed", target_std: st
     })
     prepared = prepared.withColumn("loss_before", F.abs("residual_before"))
     pull = {
-        code: F.col("__push") * (F.col(code) - F.col("__mean")) * sensitivity_of(task, code) for code in CODES
+        code: F.col("__push") * (F.col(code) - F.col("__mean")) * sensitivity_of(code) for code in CODES
     }
     prepared = prepared.withColumns({f"__g_{code}": g for code, g in pull.items()})
 
-    def moved(step: Column) -> dict[str, Column]:
-        return {code: F.greatest(F.lit(W_MIN), F.least(F.lit(W_MAX), weights(code) - step * F.col(f"__g_{code}")))
-                for code in CODES}
-
-    def trial(step: Column) -> Column:
-        new = moved(step)
-        whole = _sum(list(new.values()))
-        gained = F.greatest(F.lit(0.0), F.least(F.lit(100.0), _sum([new[k] * F.col(k) for k in CODES]) / whole))
-        loss = F.abs(F.round(seen - F.round(predicted_metric(gained, task, std), 2), 2))
-        return F.struct(loss.alias("loss"), step.alias("step"), gained.alias("fitness"))
-
-    best = F.array_min(F.transform(F.array(*map(F.lit, STEP_SIZES)), trial))
+    def moved(step: str) -> dict[str, str]:
+        return {k: f"greatest({W_MIN}D, least({W_MAX}D, w_{k} - {step} * __g_{k}))" for k in CODES}
+
+    new = moved("eta")
+    whole = " + ".join(new.values())
+    gained = f"greatest(0D, least(100D, ({' + '.join(f'{new[k]} * {k}' for k in CODES)}) / ({whole})))"
+    fitnesses = F.expr(
+        f"transform(array({', '.join(f'{e}D' for e in STEP_SIZES)}), "
+        f"eta -> named_struct('step', eta, 'fitness', {gained}))")
+    best = F.array_min(F.transform(fitnesses, lambda t: F.struct(
+        F.abs(F.round(seen - F.round(predicted_metric(t["fitness"], task, std), 2), 2)).alias("loss"),
+        t["step"].alias("step"), t["fitness"].alias("fitness"))))
     tried = prepared.withColumn("__best", best)
     helped = (F.col("loss_before") >= 0.02) & (F.col("__best.loss") < F.col("loss_before") - 1e-4)
     tried = tried.withColumn("accepted", F.coalesce((F.col("tier") != "RED") & helped, F.lit(False)))
-    new = moved(F.col("__best.step"))
-    whole = _sum(list(new.values()))
+    new = moved("__best.step")
+    whole = " + ".join(new.values())
     result = F.when(F.col("accepted"), F.col("__best.fitness")).otherwise(start)
     capped = F.when(F.col("tier") == "RED", 0.0).otherwise(F.least(result, F.coalesce(F.col("cap"), F.lit(100.0))))
     done = tried.withColumns({
-        **{f"v_{code}": F.when(F.col("accepted"), new[code] / whole).otherwise(weights(code)) for code in CODES},
+        **{f"v_{code}": F.when(F.col("accepted"), F.expr(f"{new[code]} / ({whole})")).otherwise(weights(code)) for code in CODES},
         "step": F.when(F.col("accepted"), F.col("__best.step")),
         "loss_after": F.when(F.col("accepted"), F.col("__best.loss")).otherwise(F.col("loss_before")),
         "calibrated_fitness": capped,
@@ -352,7 +353,8 @@ def with_interval(rows: DataFrame, fitness: str = "fitness", confidence: Column
     sampling = _sum([F.pow(weights(k) * F.greatest(F.lit(0.4), 0.06 * gap[k] / sample), 2) for k in CODES])
     measurement = _sum([F.pow(weights(k) * F.greatest(F.lit(0.2), 0.03 * gap[k]), 2) for k in CODES])
     task = F.pow((1 - clip(confidence, 0.0, 1.0)) * 2.5, 2)
-    rest = F.pow(F.coalesce(F.least(F.lit(2.5), 0.12 * F.abs(residual)), F.lit(0.5)), 2)
+    gap_size = F.when(residual.isNotNull(), F.least(F.lit(2.5), 0.12 * F.abs(residual)))
+    rest = F.pow(F.coalesce(gap_size, F.lit(0.5)), 2)
     few = F.col("n") < 15
     out = rows.withColumns({
         "var_sampling": F.when(few, 1.5).otherwise(sampling),
