@@ -75,10 +75,12 @@ WITH f AS ({COLUMN_FACTS}),
 g AS (SELECT *, regexp_matches(c, '(?i)(^|[_\\s-])(price|sales|revenue|demand|salary|cost|loss|profit|yield|amount|score|count|value|target|outcome|response|measurement)([_\\s-]|$)|^y$') AS word FROM f),
 s AS (SELECT *, CASE WHEN u >= 20 OR (u >= 12 AND u / n::DOUBLE >= 0.05) THEN 25 WHEN u >= 10 THEN 15 ELSE 0 END
  + has_time::INT * 15 + (kind = 'float')::INT * 15 + (kind = 'int' AND u >= 20)::INT * 10 + 10 + word::INT * 40
- + (i = p - 1)::INT * 20 + (i = p - 2 AND p >= 4)::INT * 5 + (p >= 3 AND numbers >= 3)::INT * 10 AS score FROM g)
+ + (i = p - 1)::INT * 20 + (i = p - 2 AND p >= 4)::INT * 5 + (p >= 3 AND numbers >= 3)::INT * 10 AS score FROM g),
 a AS (SELECT dataset, c, i, 'regression' AS target_type, score::DOUBLE AS score FROM s
  UNION ALL SELECT 'events', 'event_type', 3, 'classification', 60 + (count(DISTINCT event_type) BETWEEN 2 AND 10)::INT * 15
  FROM events
+ UNION ALL SELECT 'orders', 'o_orderpriority', 5, 'classification',
+  (count(DISTINCT o_orderpriority) BETWEEN 2 AND 10)::INT * 70 FROM orders
  UNION ALL SELECT 'customer', 'c_mktsegment', 4, 'classification',
   (count(DISTINCT c_mktsegment) BETWEEN 2 AND 10)::INT * 70 FROM customer)
 SELECT dataset, c AS "column", target_type, score,

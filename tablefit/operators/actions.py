@@ -47,14 +47,14 @@ def action_rules(fitness: Column, vetoed: Column, compat: bool = True) -> list[t
     return rules
 
 
-def ranked_actions(rows: DataFrame, keys: Sequence[str], fitness: str = "fitness", train_share: Column | float = TRAIN_SHARE,
-                   compat: bool = True) -> DataFrame:
+def ranked_actions(rows: DataFrame, keys: Sequence[str], fitness: str = "fitness",
+                   train_share: float = TRAIN_SHARE, compat: bool = True) -> DataFrame:
     """Candidate actions per key: gain, cost, utility (gain per cost) and rank.
 
     Gains count only for the train part, since test rows are never repaired.
     ``compat`` leaves out rules whose inputs the reference pipeline never emits.
     """
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.1), train_share if isinstance(train_share, Column) else F.lit(train_share)))
+    share = min(1.0, max(0.1, train_share))
     fired = []
     for i, (action, dimension, discounted, gain, condition) in enumerate(
         action_rules(F.col(fitness), F.col("tier") == "RED", compat)

@@ -63,21 +63,21 @@ def kind_of(dtype: T.DataType) -> str:
 def identifier_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
     """Columns named like a key whose distinct share exceeds 85 %.
 
-    A sketch settles the clear cases; only shares near the limit are counted exactly.
+    A sketch rules out columns far below the limit; the rest is counted exactly.
     """
     named = [c for c in (columns or df.columns) if "id" in c.lower() or "key" in c.lower()]
     if not named:
         return []
     sketch = df.agg(
-        F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c, 0.01).alias(c) for c in named]
+        F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c).alias(c) for c in named]
     ).first()
     n = max(1, sketch["n"])
-    share = {c: sketch[c] / n for c in named}
-    close = [c for c in named if abs(share[c] - IDENTIFIER_SHARE) < 0.1]
-    if close:
-        exact = df.agg(*[F.count_distinct(F.when(~missing(df, c), F.col(c))).alias(c) for c in close]).first()
-        share.update({c: exact[c] / n for c in close})
-    return [c for c in named if share[c] > IDENTIFIER_SHARE]
+    # Six standard errors of the sketch below the limit.
+    likely = [c for c in named if sketch[c] > 0.7 * IDENTIFIER_SHARE * n]
+    if not likely:
+        return []
+    exact = df.agg(*[F.count_distinct(F.when(~missing(df, c), F.col(c))).alias(c) for c in likely]).first()
+    return [c for c in likely if exact[c] > IDENTIFIER_SHARE * n]
 
 
 def column_roles(df: DataFrame, target: str | None = None, time: str | None = None,

@@ -479,7 +479,8 @@ def coverage_score(features: Column, n: Column) -> Column:
     )
 
 
-def score_dimensions(metrics: DataFrame, tasks: Sequence[str], policy: ImbalancePolicy = ImbalancePolicy()) -> DataFrame:
+def score_dimensions(metrics: DataFrame, tasks: Sequence[str],
+                     policy: ImbalancePolicy = ImbalancePolicy()) -> DataFrame:
     """Metrics rows times tasks, with the columns cmp … cov and the veto flags.
 
     Metrics are computed once; comparing tasks only repeats these expressions.

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablefit.functions.frames import ROWS_PER_TASK, join_on, segment_sizes
+from tablefit.functions.stats import missing
 from tablefit.operators.select import sortable, with_tile
 
 ROWS_PER_RANGE = 500_000
@@ -81,19 +82,20 @@ def with_range(df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PE
 
 def with_previous(df: DataFrame, values: Sequence[str], keys: Sequence[str], by: Sequence[str] = (),
                   rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Add ``prev_<value>``: the last non-NULL value of an earlier row in key order."""
+    """Add ``prev_<value>``: the last given value of an earlier row in key order."""
     by, keys, values = list(by), list(keys), list(values)
     ranged = with_range(df, keys, rows_per_range)
+    given = {v: F.when(~missing(df, v), F.col(v)) for v in values}
     place = F.struct(*keys)
     edges = ranged.groupBy(*by, "__range").agg(
-        *[F.max_by(v, F.when(F.col(v).isNotNull(), place)).alias(f"__last_{v}") for v in values]
+        *[F.max_by(v, F.when(given[v].isNotNull(), place)).alias(f"__last_{v}") for v in values]
     )
     before = W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     edges = edges.select(
         *by, "__range", *[F.last(f"__last_{v}", ignorenulls=True).over(before).alias(f"__edge_{v}") for v in values]
     )
     inside = W.partitionBy(*by, "__range").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
-    rows = ranged.withColumns({f"prev_{v}": F.last(v, ignorenulls=True).over(inside) for v in values})
+    rows = ranged.withColumns({f"prev_{v}": F.last(given[v], ignorenulls=True).over(inside) for v in values})
     rows = join_on(rows, edges, [*by, "__range"])
     return rows.withColumns(
         {f"prev_{v}": F.coalesce(f"prev_{v}", f"__edge_{v}") for v in values}

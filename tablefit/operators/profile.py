@@ -88,7 +88,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
 
     def count(c: str) -> Column:
         cell = F.when(~missing(df, c), F.col(c))
-        return F.count_distinct(cell) if exact else F.approx_count_distinct(cell, 0.01)
+        return F.count_distinct(cell) if exact else F.approx_count_distinct(cell, 0.02)
 
     return df.groupBy(*by).agg(*[count(c).alias(f"distinct_{c}") for c in columns])
 

@@ -72,7 +72,8 @@ def leaking_columns(df: DataFrame, target: str) -> DataFrame:
     return pairs.filter(F.abs("r") > LEAKAGE).select(F.col("feat_a").alias("column"), "r")
 
 
-def winsor_bounds(df: DataFrame, columns: Sequence[str], exact: bool = True, **options) -> dict[str, tuple[float, float]]:
+def winsor_bounds(df: DataFrame, columns: Sequence[str], exact: bool = True,
+                  **options) -> dict[str, tuple[float, float]]:
     """1 % and 99 % quantiles of the columns with heavy tails and more than 10 values."""
     stats = df.agg(*[
         F.struct(F.count(as_number(df, c)).alias("n"), kurtosis(as_number(df, c)).alias("k")).alias(c)
@@ -105,12 +106,12 @@ def fill_values(df: DataFrame, without: Sequence[str] = (), exact: bool = True)
 def redundant_columns(df: DataFrame, keep: Sequence[str]) -> list[str]:
     """Columns with at most one value, and texts distinct in over 95 % of the rows."""
     columns = [c for c in df.columns if c not in keep]
-    sketch = df.agg(F.count(F.lit(1)).alias("__n"), *[F.approx_count_distinct(c, 0.01).alias(c) for c in columns])
+    sketch = df.agg(F.count(F.lit(1)).alias("__n"), *[F.approx_count_distinct(c).alias(c) for c in columns])
     row = sketch.first()
     n = max(1, row["__n"])
     texts = [c for c in columns if isinstance(dtype_of(df, c), T.StringType)]
     # Only columns that a sketch leaves open are counted exactly.
-    open_cases = [c for c in columns if row[c] <= 3 or (c in texts and row[c] > 0.85 * n)]
+    open_cases = [c for c in columns if row[c] <= 3 or (c in texts and row[c] > 0.65 * n)]
     if not open_cases:
         return []
     exact = distinct_counts(df, open_cases).first()

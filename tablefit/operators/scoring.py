@@ -328,7 +328,8 @@ def with_calibration(rows: DataFrame, observed: str = "observed", target_std: st
     result = F.when(F.col("accepted"), F.col("__best.fitness")).otherwise(start)
     capped = F.when(F.col("tier") == "RED", 0.0).otherwise(F.least(result, F.coalesce(F.col("cap"), F.lit(100.0))))
     done = tried.withColumns({
-        **{f"v_{code}": F.when(F.col("accepted"), F.expr(f"{new[code]} / ({whole})")).otherwise(weights(code)) for code in CODES},
+        **{f"v_{code}": F.when(F.col("accepted"), F.expr(f"{new[code]} / ({whole})")).otherwise(weights(code))
+           for code in CODES},
         "step": F.when(F.col("accepted"), F.col("__best.step")),
         "loss_after": F.when(F.col("accepted"), F.col("__best.loss")).otherwise(F.col("loss_before")),
         "calibrated_fitness": capped,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from tablefit.functions.frames import materialize
 from tablefit.functions.lookups import CLASSIFICATION, CLUSTERING, TIME_SERIES, ImbalancePolicy, canonical_task
 from tablefit.functions.stats import missing
 from tablefit.operators.audit import immutability, split_receipt
+from tablefit.operators.columns import identifier_columns
 from tablefit.operators.compare import combined_fitness, gain_comparison, with_change, with_decision
 from tablefit.operators.dimensions import duplicate_timestamps
 from tablefit.operators.models import observed_metric
@@ -60,16 +61,17 @@ def split_for(df: DataFrame, task: str, key: str, target: str | None, train_shar
 def remediate_and_validate(df: DataFrame, task: str, target: str | None, row_order: str, time: str | None = None,
                            actions: Sequence[str] | None = None, train_share: float = 0.7, seed: int = 42,
                            policy: ImbalancePolicy = ImbalancePolicy(), anomaly: str = "pinned",
-                           without: Sequence[str] = ()) -> ClosedLoop:
+                           without: Sequence[str] = (), before: Evaluation | None = None) -> ClosedLoop:
     """Before and after a repair, judged on test rows that the repair never touched.
 
     ``row_order`` is a unique integer key: arrival order and identity of a row.
-    Without ``actions`` the three most useful ones are taken.
+    Without ``actions`` the three most useful ones are taken. ``before`` takes
+    an evaluation of the same table that is already there.
     """
     task = canonical_task(task)
     hidden = [*without, "part", row_order]
     options = dict(policy=policy, anomaly=anomaly, without=hidden, row_order=row_order)
-    before = evaluate(df, task, target, time, **options)
+    before = before or evaluate(df, task, target, time, **options)
     target = before.roles.target
     ranked = before.actions().filter("rank <= 3").collect()
     predicted = {r["action"]: r["gain"] for r in ranked}
@@ -88,10 +90,12 @@ def remediate_and_validate(df: DataFrame, task: str, target: str | None, row_ord
     hidden.append(SEQUENCE)
     metric_after = observed_metric(both, task, target, time, SEQUENCE, hidden)
 
-    options.update(without=hidden, row_order=SEQUENCE)
-    after = evaluate(both, task, target, time, observed=metric_after, **options)
+    # Train, test and the whole are three segments of one evaluation.
+    options.update(without=[c for c in hidden if c != "part"], row_order=SEQUENCE)
     marked = both.withColumn("part", F.explode(F.array(F.col("part"), F.lit("all"))))
-    scored = evaluate(marked, task, target, time, by=["part"], **options)
+    keys = identifier_columns(both, [c for c in both.columns if c not in hidden])
+    scored = evaluate(marked, task, target, time, by=["part"], observed=metric_after, identifiers=keys, **options)
+    after = replace(scored, rows=scored.rows.filter("part = 'all'").drop("part"), keys=["task"])
     by_part = {r["part"]: r for r in scored.rows.select("part", "n", "fitness", "tier").collect()}
     start = before.rows.select("fitness", "tier", "n").first()
 
@@ -132,11 +136,11 @@ def in_sequence(train: DataFrame, test: DataFrame, row_order: str,
 def fraction_sweep(df: DataFrame, target: str, time: str, row_order: str,
                    shares: Sequence[float] = (0.50, 0.60, 0.70, 0.80, 0.85), without: Sequence[str] = ()) -> DataFrame:
     """Sort repair of a series under several train shares: predicted against observed gain."""
-    before = evaluate(df, TIME_SERIES, target, time, row_order=row_order, without=without)
+    before = evaluate(df, TIME_SERIES, target, time, row_order=row_order, without=[*without, "part", row_order])
     rows = []
     for share in shares:
         loop = remediate_and_validate(df, TIME_SERIES, target, row_order, time, ["sort_timestamps"], share,
-                                      without=without)
+                                      without=without, before=before)
         gain = before.actions(train_share=share).filter("action = 'sort_timestamps'").select("gain").first()
         r = loop.result.first()
         rows.append((share, r["train_fitness"], r["test_fitness"], r["partition_fitness"],

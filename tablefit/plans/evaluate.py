@@ -110,11 +110,13 @@ def score_rows(df: DataFrame, roles: Roles, tasks: Sequence[str], row_order: str
 def evaluate(df: DataFrame, tasks: str | Sequence[str], target: str | None = None, time: str | None = None,
              row_order: str | None = None, by: Sequence[str] = (), observed: float | None = None,
              policy: ImbalancePolicy = ImbalancePolicy(), anomaly: str = "pinned", compat: bool = True,
-             confidence: float = 1.0, without: Sequence[str] = (), clean: bool = True) -> Evaluation:
+             confidence: float = 1.0, without: Sequence[str] = (), clean: bool = True,
+             identifiers: Sequence[str] | None = None) -> Evaluation:
     """Fitness of a table, or of each of its segments, for one or several tasks.
 
     ``observed`` is the metric a reference model reached; given, it calibrates
-    the weights of every row that no hard defect rules out.
+    the weights of every row that no hard defect rules out. ``identifiers``
+    names the key columns, where they should not be found by their values.
     """
     tasks = [canonical_task(t) for t in ([tasks] if isinstance(tasks, str) else tasks)]
     df, order, hidden = ordered(df, row_order)
@@ -123,7 +125,7 @@ def evaluate(df: DataFrame, tasks: str | Sequence[str], target: str | None = Non
     if target is None and TIME_SERIES in tasks:
         numbers = numeric_columns(df, [*by, *hidden, *([time] if time else [])])
         target = numbers[0] if numbers else None
-    roles = column_roles(df, target, time, by, [*hidden, *without])
+    roles = column_roles(df, target, time, by, [*hidden, *without], identifiers)
     rows = score_rows(df, roles, tasks, order, by, policy, anomaly, compat)
     spread = F.when(F.col("task").isin(CLASSIFICATION, CLUSTERING), 1.0).when(
         F.col("target_std") > 0, F.col("target_std")).otherwise(10.0)
