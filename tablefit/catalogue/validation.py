@@ -238,7 +238,7 @@ def before_after(spark, folder):
 @query("fraction_sweep")
 def sweep(spark, folder):
     df = events(spark, folder).select("event_id", "user_id", "value", "ts")
-    return rounded(fraction_sweep(df, "value", "ts", "event_id", (0.5, 0.7, 0.85)))
+    return rounded(fraction_sweep(df, "value", "ts", "event_id", (0.5, 0.7)))
 
 
 # ---------------------------------------------------------------- audit

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablefit.functions.frames import join_on, segment_sizes
+from tablefit.functions.frames import ROWS_TO_BROADCAST, join_on, materialize, segment_sizes
 from tablefit.functions.stats import as_number, count_true
 from tablefit.operators.select import medians, quantiles
 
@@ -60,8 +60,9 @@ def grow_tree(sample: np.ndarray, tree: int, seed: int) -> pd.DataFrame:
 
 def imputed(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """The columns as doubles, gaps and infinities replaced by the column's median."""
-    fills = medians(df, columns, by).withColumnsRenamed({c: f"__fill_{c}" for c in columns})
-    rows = join_on(df, fills, by, small=True)
+    segments, largest = segment_sizes(df, by)
+    fills = medians(df, columns, by, largest=largest).withColumnsRenamed({c: f"__fill_{c}" for c in columns})
+    rows = join_on(df, fills, by, small=segments <= ROWS_TO_BROADCAST)
     cells = {c: as_number(df, c) for c in columns}
     return rows.select(*keep, *[
         F.coalesce(F.when(~x.isin(math.inf, -math.inf), x), F.col(f"__fill_{c}"), F.lit(0.0)).alias(c)
@@ -141,9 +142,12 @@ def forest_anomaly(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     if mode == "threshold":
         flagged = scored.withColumn("odd", F.col("anomaly_score") > cutoff)
     else:
-        limits = quantiles(scored, ["anomaly_score"], [1 - contamination], by).select(
+        # Scores are read twice, and the Python pass behind them is the expensive part.
+        scored = materialize(scored, "anomaly")
+        segments, largest = segment_sizes(scored, by)
+        limits = quantiles(scored, ["anomaly_score"], [1 - contamination], by, largest=largest).select(
             *by, F.get("anomaly_score", F.lit(0)).alias("__limit")
         )
-        flagged = join_on(scored, limits, by, small=True).withColumn("odd", F.col("anomaly_score") > F.col("__limit"))
+        flagged = join_on(scored, limits, by, small=segments <= ROWS_TO_BROADCAST).withColumn("odd", F.col("anomaly_score") > F.col("__limit"))
     counts = flagged.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), count_true(F.col("odd")).alias("anomalies"))
     return counts.withColumn("anomaly_ratio", F.col("anomalies") / F.col("n"))

@@ -44,7 +44,8 @@ def _splits(df: DataFrame, key: Column, rows: int, ranges: int) -> tuple[list[fl
     if share < 1.0:
         sample = sample.sample(fraction=share, seed=7)
     probs = [i / ranges for i in range(1, ranges)]
-    ends = sample.agg(F.approx_percentile("k", probs, 20 * ranges).alias("q")).first()["q"] or []
+    found = sample.agg(F.approx_percentile("k", probs, 20 * ranges).alias("q")).first()["q"] or []
+    ends = [v for v in found if math.isfinite(v)]
     hot = [v for v, times in Counter(ends).items() if times > 1 and abs(v) < EXACT_DOUBLE]
     return sorted(set(ends) | {math.nextafter(v, math.inf) for v in hot}), hot
 

@@ -114,7 +114,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
         )
     if largest is None:
         largest = segment_sizes(df, by)[1]
-    if largest <= rows_per_task:
+    # One task may hold the distinct values of all columns of a segment.
+    if largest * len(columns) <= 4 * rows_per_task:
         return df.groupBy(*by).agg(
             *[F.percentile(numbers[c], F.array(*map(F.lit, probs))).alias(c) for c in columns]
         )

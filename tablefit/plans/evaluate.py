@@ -123,7 +123,7 @@ def evaluate(df: DataFrame, tasks: str | Sequence[str], target: str | None = Non
     if clean:
         df = normalize_missing(df)
     if target is None and TIME_SERIES in tasks:
-        numbers = numeric_columns(df, [*by, *hidden, *([time] if time else [])])
+        numbers = numeric_columns(df, [*by, *hidden, *without, *([time] if time else [])])
         target = numbers[0] if numbers else None
     roles = column_roles(df, target, time, by, [*hidden, *without], identifiers)
     rows = score_rows(df, roles, tasks, order, by, policy, anomaly, compat)
