@@ -454,7 +454,18 @@ def empirical_weights(spark, folder):
     return rounded(learned.select("task", "dimension", "rho", "weight"))
 
 
-@query("flagship_fitness")
+FLAGSHIP_CTES = scored_ctes("value", (REGRESSION, CLUSTERING))
+
+
+@query("flagship_fitness", *FLAGSHIP_CTES, sql=f"""
+WITH v AS (SELECT *, least(6, greatest(0.5, 1.96 * sqrt({_variance('0.4', '0.06 * {s} / sqrt(greatest(10, n))')}
+ + {_variance('0.2', '0.03 * {s}')} + 0.25))) AS margin FROM scored)
+SELECT event_type, task, n, round(raw_fitness, 6) AS raw_fitness, tier, cap, round(fitness, 6) AS fitness,
+ round(fitness, 6) AS final_fitness, CASE WHEN tier = 'RED' THEN 'Critical Defect / Unfit'
+ WHEN fitness >= 85 THEN 'High Fitness / Low Risk' WHEN fitness >= 70 THEN 'Moderate Fitness / Conditional'
+ WHEN fitness >= 50 THEN 'Sub-Optimal Fitness / High Risk' ELSE 'Critical Defect / Unfit' END AS status,
+ round(greatest(0, fitness - margin)::DOUBLE, 6) AS interval_low,
+ round(least(100, fitness + margin)::DOUBLE, 6) AS interval_high FROM v""")
 def flagship_fitness(spark, folder):
     done = evaluate(fit_events(spark, folder), [REGRESSION, CLUSTERING], "value", "ts", "event_id", BY)
     return rounded(done.fitness())

@@ -206,6 +206,17 @@ def complete_rows(spark, folder):
         F.count(F.lit(1)).alias("n"), F.count_if("has_quantity").alias("with_quantity")).join(listwise, "l_linestatus")
 
 
+@query("class_filter", sql="""
+SELECT l_linestatus, count(*) FILTER (WHERE l_returnflag = 'A') AS chosen,
+ count(*) FILTER (WHERE l_returnflag <> 'A') AS others,
+ count(*) FILTER (WHERE year(l_shipdate) BETWEEN 1995 AND 1997) AS in_range FROM lineitem GROUP BY l_linestatus""")
+def class_filter(spark, folder):
+    chosen = F.col("l_returnflag") == "A"
+    return table(spark, folder, "lineitem").groupBy("l_linestatus").agg(
+        F.count_if(chosen).alias("chosen"), F.count_if(~chosen).alias("others"),
+        F.count_if(F.year("l_shipdate").between(1995, 1997)).alias("in_range"))
+
+
 @query("clip_and_fill", DIRTY_LINEITEM, sql="""
 SELECT l_returnflag, round(avg(least(greatest(l_quantity, 5), 45)), 6) AS clipped_mean,
  count(least(greatest(l_quantity, 5), 45)) FILTER (WHERE l_quantity IS NOT NULL) AS given,

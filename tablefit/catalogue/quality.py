@@ -248,6 +248,36 @@ def timeliness_score(spark, folder):
                                veto.alias("veto")))
 
 
+@query("timeliness_without_axis", sql="""
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)
+ <= count(*) OVER (PARTITION BY o_orderstatus) // 2 AS h FROM orders),
+d AS (SELECT o_orderstatus, (abs(avg(x) FILTER (WHERE h) - avg(x) FILTER (WHERE NOT h)) / sqrt((var_samp(x)
+ FILTER (WHERE h) + var_samp(x) FILTER (WHERE NOT h)) / 2) > 0.5)::INT AS drifted
+ FROM (SELECT o_orderstatus, h, o_orderkey AS x, 'k' AS c FROM o UNION ALL
+  SELECT o_orderstatus, h, o_totalprice, 'p' FROM o UNION ALL SELECT o_orderstatus, h, o_custkey, 'c' FROM o)
+ GROUP BY o_orderstatus, c),
+s AS (SELECT o_orderstatus, sum(drifted)::INT AS drifted FROM d GROUP BY o_orderstatus)
+SELECT o_orderstatus, task, drifted, round(CASE WHEN task = 'time_series_forecasting' THEN 15
+ ELSE greatest(50, 100 - 40 * drifted / 3.0::DOUBLE - 2 * drifted) END, 6) AS score,
+ task = 'time_series_forecasting' AS veto
+FROM s, (VALUES ('supervised_regression'), ('clustering'), ('time_series_forecasting')) t(task)""")
+def timeliness_without_axis(spark, folder):
+    by = ["o_orderstatus"]
+    df = table(spark, folder, "orders").select("o_orderstatus", "o_orderkey", "o_custkey", "o_totalprice")
+    roles = column_roles(df, by=by, identifiers=[])
+    rows = dims.timeliness_metrics(df, roles, "o_orderkey", by)
+    rows = rows.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+    tasks = ["supervised_regression", "clustering", "time_series_forecasting"]
+    rows = rows.withColumn("task", F.explode(F.array(*map(F.lit, tasks))))
+    c, drifted = F.col, F.size("drifted_cols")
+    score = dims.timeliness_score(c("task"), c("time_given"), c("time_found"), c("n"), c("time_invalid"),
+                                  c("backward_jumps"), c("duplicate_timestamps"), c("cadence_cv"),
+                                  dims.drift_penalty(drifted, F.lit(3)))
+    veto = dims.timeliness_veto(c("task"), c("time_found"), c("n"), c("time_invalid"), c("backward_jumps"),
+                                c("duplicate_timestamps"))
+    return rounded(rows.select(*by, "task", drifted.alias("drifted"), score.alias("score"), veto.alias("veto")))
+
+
 @query("heavy_tail_columns", DIRTY_LINEITEM, sql="""
 WITH m AS (SELECT l_linestatus, quantile_cont(l_quantity, 0.5) AS q, quantile_cont(l_tax, 0.5) AS t
  FROM dirty_lineitem GROUP BY l_linestatus),

@@ -227,6 +227,25 @@ def combined_fitness(spark, folder):
     return compare.combined_fitness(rows).select("c_nationkey", "partition_fitness", "fitness_after", "tier_after")
 
 
+@query("gain_comparison", RUNS, sql="""
+SELECT c_nationkey, round(fitness_after - fitness_before, 1) AS fitness_gain, metric_before AS predicted_gain,
+ round(abs(metric_before - round(fitness_after - fitness_before, 1)), 2) AS gain_gap,
+ abs(metric_before - round(fitness_after - fitness_before, 1)) <= 10 AS within_10_points FROM runs""")
+def gain_comparison(spark, folder):
+    rows = compare.with_change(runs(spark, folder)).withColumn("predicted_gain", F.col("metric_before"))
+    return compare.gain_comparison(rows).select(
+        "c_nationkey", "fitness_gain", "predicted_gain", "gain_gap", "within_10_points")
+
+
+@query("error_ratio", PATCHY_ORDERS, sql="""
+SELECT o_orderstatus, round(stddev_samp(o_totalprice) / greatest(1e-5, avg(o_totalprice)), 6) AS error_ratio
+FROM patchy_orders GROUP BY o_orderstatus""")
+def error_ratio(spark, folder):
+    rows = patchy_orders(spark, folder).groupBy("o_orderstatus").agg(
+        F.stddev_samp("o_totalprice").alias("s"), F.avg("o_totalprice").alias("m"))
+    return rounded(rows.select("o_orderstatus", models.error_ratio(F.col("s"), F.col("m")).alias("error_ratio")))
+
+
 @query("before_after")
 def before_after(spark, folder):
     df = patchy_orders(spark, folder).select("o_orderkey", "o_totalprice", "flag", "o_orderstatus")
