@@ -8,7 +8,6 @@ from tablefit.catalogue.registry import (
     DIRTY_EVENTS,
     PATCHY_ORDERS,
     events,
-    lineitem,
     patchy_orders,
     query,
     rounded,

@@ -86,6 +86,8 @@ def moments(x: Column) -> Column:
 class TableFacts:
     """A few numbers per table and column that later plans depend on."""
 
+    rows: int
+    segments: int
     largest: int
     gappy: frozenset[str]
     centres: dict[str, float]
@@ -94,11 +96,13 @@ class TableFacts:
 def table_facts(cells: DataFrame, roles: Roles) -> TableFacts:
     """Totals over the segments of a cell table; one small row reaches the driver."""
     row = cells.agg(
-        F.max("n").alias("largest"), *[F.sum(f"m_{c}").alias(f"m_{c}") for c in roles.columns],
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("segments"), F.max("n").alias("largest"), *[F.sum(f"m_{c}").alias(f"m_{c}") for c in roles.columns],
         *[F.try_divide(F.sum(F.col(f"c_{c}") * F.col("n")), F.sum(F.when(F.col(f"c_{c}").isNotNull(), F.col("n"))))
           .alias(f"c_{c}") for c in roles.numeric],
     ).first()
     return TableFacts(
+        rows=int(row["rows"] or 0),
+        segments=int(row["segments"]),
         largest=int(row["largest"] or 0),
         gappy=frozenset(c for c in roles.columns if row[f"m_{c}"]),
         centres={c: float(row[f"c_{c}"] or 0.0) for c in roles.numeric},
@@ -272,12 +276,13 @@ def half_split_drift(df: DataFrame, columns: Sequence[str], row_order: str, by:
 
 
 def timeliness_metrics(df: DataFrame, roles: Roles, row_order: str, by: Sequence[str] = (),
-                       with_axis: bool = True) -> DataFrame:
+                       with_axis: bool = True, facts: TableFacts | None = None) -> DataFrame:
     by = list(by)
     base = rows_per_segment(df, by).drop("n") if by else df.sparkSession.range(1).drop("id")
     empty = F.array().cast("array<string>")
     if roles.features:
-        drift = half_split_drift(df, roles.features, row_order, by).groupBy(*by).agg(
+        counted = (facts.segments, facts.largest) if facts else None
+        drift = half_split_drift(df, roles.features, row_order, by, counted=counted).groupBy(*by).agg(
             F.array_sort(F.collect_list(F.when(F.col("drifted"), F.col("column")))).alias("drifted_cols")
         )
         base = join_on(base, drift, by)
@@ -295,7 +300,7 @@ def timeliness_metrics(df: DataFrame, roles: Roles, row_order: str, by: Sequence
         return base.withColumns({**nothing, **{c: F.lit(None).cast("double") for c in (
             "cadence_mean", "cadence_std", "cadence_cv")}})
     stamps = duplicate_timestamps(df, axis, by).drop("duplicate_rate")
-    order = temporal_order(df, axis, row_order, by).drop("gaps", "in_order")
+    order = temporal_order(df, axis, row_order, by, rows=facts.rows if facts else None).drop("gaps", "in_order")
     both = join_on(join_on(base, stamps, by), order, by)
     return both.fillna({"backward_jumps": 0, "cadence_mean": 1.0, "cadence_std": 0.0, "cadence_cv": 0.0})
 
@@ -387,7 +392,7 @@ def quality_metrics(df: DataFrame, roles: Roles, row_order: str, by: Sequence[st
     parts = (
         consistency_metrics(df, roles, by, facts.centres),
         uniqueness_metrics(df, roles, by),
-        timeliness_metrics(df, roles, row_order, by, with_axis),
+        timeliness_metrics(df, roles, row_order, by, with_axis, facts),
         outlier_metrics(df, roles, by, cells=cells, gappy=facts.gappy, largest=facts.largest),
         balance_metrics(df, roles, by, CLASSIFICATION in tasks),
     )

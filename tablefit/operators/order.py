@@ -57,14 +57,15 @@ def _bucket(df: DataFrame, key: Column, ends: list[float], name: str) -> DataFra
     return bucketizer.transform(keyed).drop("__key")
 
 
-def with_range(df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def with_range(df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PER_RANGE,
+               rows: int | None = None) -> DataFrame:
     """Add ``__range``: ascending with the order keys, and of bounded size.
 
     Keys are one unique column, or a column plus a unique tie-break. A value of
     the first key that fills whole ranges gets its own range, split further by
-    the tie-break.
+    the tie-break. ``rows`` is an upper bound of the row count, where known.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
     if ranges <= 1:
         return df.withColumn("__range", F.lit(0).cast("long"))
@@ -82,10 +83,10 @@ def with_range(df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PE
 
 
 def with_previous(df: DataFrame, values: Sequence[str], keys: Sequence[str], by: Sequence[str] = (),
-                  rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                  rows_per_range: int = ROWS_PER_RANGE, rows: int | None = None) -> DataFrame:
     """Add ``prev_<value>``: the last given value of an earlier row in key order."""
     by, keys, values = list(by), list(keys), list(values)
-    ranged = with_range(df, keys, rows_per_range)
+    ranged = with_range(df, keys, rows_per_range, rows)
     given = {v: F.when(~missing(df, v), F.col(v)) for v in values}
     place = F.struct(*keys)
     edges = ranged.groupBy(*by, "__range").agg(
@@ -96,9 +97,9 @@ def with_previous(df: DataFrame, values: Sequence[str], keys: Sequence[str], by:
         *by, "__range", *[F.last(f"__last_{v}", ignorenulls=True).over(before).alias(f"__edge_{v}") for v in values]
     )
     inside = W.partitionBy(*by, "__range").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
-    rows = ranged.withColumns({f"prev_{v}": F.last(given[v], ignorenulls=True).over(inside) for v in values})
-    rows = join_on(rows, edges, [*by, "__range"])
-    return rows.withColumns(
+    looked = ranged.withColumns({f"prev_{v}": F.last(given[v], ignorenulls=True).over(inside) for v in values})
+    looked = join_on(looked, edges, [*by, "__range"])
+    return looked.withColumns(
         {f"prev_{v}": F.coalesce(f"prev_{v}", f"__edge_{v}") for v in values}
     ).drop("__range", *[f"__edge_{v}" for v in values])
 

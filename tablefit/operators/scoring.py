@@ -120,6 +120,7 @@ def fitness_of_scores(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def defect_rules(policy: ImbalancePolicy = ImbalancePolicy()) -> list[tuple[str, str, float, Column]]:
     """(name, tier, cap, condition) in reporting order."""
+    # Names, tiers, caps and limits of the defect rules.
     c, task = F.col, F.col("task")
     clf, series = task == CLASSIFICATION, task == TIME_SERIES
     lost = (c("missing_rate") > 0.70) | (c("cmp") < 25)
@@ -193,6 +194,7 @@ def veto_ceiling() -> Column:
 
 
 def status_tier(tier: Column, fitness: Column) -> Column:
+    # Texts and limits of the status tiers.
     return (
         F.when(tier == "RED", "Critical Defect / Unfit")
         .when(fitness >= 85, "High Fitness / Low Risk")

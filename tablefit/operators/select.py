@@ -182,16 +182,18 @@ def ranked_keys(df: DataFrame, keys: Sequence[str], targets: DataFrame, by: Sequ
 
 
 def with_tile(df: DataFrame, keys: Sequence[str], cuts: Sequence[Callable[[Column], Column]],
-              by: Sequence[str] = (), name: str = "tile", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+              by: Sequence[str] = (), name: str = "tile", rows_per_task: int = ROWS_PER_TASK,
+              counted: tuple[int, int] | None = None) -> DataFrame:
     """Number the contiguous parts that cuts make of each segment in key order.
 
     Every cut maps the segment's row count to the number of rows before it.
     Rows get 0 before the first cut, 1 after it, and so on. The keys together
-    must be unique.
+    must be unique. ``counted`` gives (segments, rows of the largest one) where
+    they are already known.
     """
     by, keys = list(by), list(keys)
     sizes = rows_per_segment(df, by)
-    segments, largest = segment_sizes(df, by)
+    segments, largest = counted or segment_sizes(df, by)
     small = segments <= ROWS_TO_BROADCAST
     targets = sizes.select(
         *by,
