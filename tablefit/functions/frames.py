@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +15,10 @@ ROWS_PER_TASK = 1_000_000
 ROWS_TO_BROADCAST = 200_000
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tablefit-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that ``spark.checkpoint.dir`` names, else one in the warehouse: both are shared by all executors."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "_tablefit")
 
 
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
