@@ -10,7 +10,8 @@ A byte goes when it lies in a string of ``length`` bytes that starts at another
    up to ``length`` bytes: multikey quicksort, a word of eight bytes at a time, to a shallow depth; groups that are still
    together are ordered by a blind trie, which skips the bytes that a group has in common and branches at the first
    difference. Suffixes that end in one leaf are equal windows. An anchor with more than ``GROUP`` classes is cut into
-   slices; the leaves of the slices are then matched by 128-bit digests with a pre-aggregated count.
+   slices; leaves of the slices are then matched by 128-bit digests with pre-aggregated counts, first of the bytes that
+   neighbouring windows share, then, where these occur twice, of the windows.
 4. *Cut.* The repeated windows of each row are merged into spans and cut out.
 
 Defined results: NULL and empty texts have no bytes and stay empty; texts below ``length`` bytes keep all; repeated rows
@@ -36,6 +37,7 @@ POSITION = np.uint64((1 << 24) - 1)
 CHUNK = 4 << 20  # bytes of one text that are turned into arrays at a time; below 2**24
 SHALLOW = 16  # bytes ordered by multikey quicksort
 GROUP = 1024  # classes of an anchor that are sorted together
+BLOCK = 8  # windows next to each other that are compared between slices together
 SORT_BYTES = 4 << 20
 BYTE_CODES = np.random.default_rng(32).integers(1, 1 << 63, 256, dtype=np.uint64)
 FACTORS = np.random.default_rng(64).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
@@ -177,8 +179,9 @@ def extract_classes(rows: DataFrame, wanted: DataFrame, length: int) -> DataFram
 def repeated_windows(classes: DataFrame, length: int) -> DataFrame:
     """Suffix-sort the classes of each (anchor, slice).
 
-    Rows with ``digest``: a leaf of an anchor that has several slices, with its class if it is the only one in the slice.
-    Other rows: windows [first, last] of a class that lie in another class too.
+    Rows without ``core``: windows [first, last] of a class that lie in another class too. Other rows: up to ``BLOCK``
+    windows of an anchor that has several slices, each with its place (-1: repeated in the slice); windows that are equal
+    in two slices come with the same core.
     """
     dealt = classes.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice")
 
@@ -200,7 +203,8 @@ def repeated_windows(classes: DataFrame, length: int) -> DataFrame:
             if batch is None:
                 rest = None
 
-    return dealt.mapInArrow(run, "anchor bigint, off int, n int, cls bigint, first int, last int, digest binary")
+    return dealt.mapInArrow(run, "anchor bigint, off int, n int, cls bigint, first int, last int, core binary, "
+                            "windows array<struct<at: int, digest: binary>>")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -224,18 +228,31 @@ def _sorted_block(table: pa.RecordBatch, length: int) -> pa.RecordBatch:
     begin = np.flatnonzero(hit & ~(np.roll(hit, 1) & (index > 0)))
     end = np.flatnonzero(hit & ~(np.roll(hit, -1) & (np.roll(index, -1) > 0)))
     rows, first, last = row[begin], index[begin], index[end]
-    # Leaves to compare between slices: the first window of each.
+    # Leaves to compare between slices: one window of each, put together by the bytes that windows nearby share.
     some = np.flatnonzero(sliced)
     _, one = np.unique(leaf[some], return_index=True)
-    one = some[one]
-    digests = [None] * len(rows) + [xxh3_128_digest(raw[s:s + length]) for s in starts[one].tolist()]
+    one = np.sort(some[one])
+    off = table.column("off").to_numpy().astype(np.int64)
+    back = off[row[one]] - index[one]  # bytes from the window's start to its anchor
+    block = back // BLOCK
+    core = starts[one] + back - block * BLOCK
+    edge = np.flatnonzero((np.diff(row[one], prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+    size = length - BLOCK + 1
+    cores = [xxh3_128_digest(raw[c:c + size] + bytes([k])) for c, k in zip(core[edge].tolist(), block[edge].tolist())]
     owner = several[one] | ~single[one]
-    rows = np.concatenate([rows, row[one]])
-    columns = [table.column(x).take(pa.array(rows)) for x in CLASS]
-    first = np.concatenate([first, np.where(owner, -1, index[one])]).astype(np.int32)
-    last = np.concatenate([last, np.where(owner, -1, index[one])]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([*columns, pa.array(first), pa.array(last), pa.array(digests, pa.binary())],
-                                      names=[*CLASS, "first", "last", "digest"])
+    windows = pa.ListArray.from_arrays(
+        pa.array(np.append(edge, len(one)).astype(np.int32)),
+        pa.StructArray.from_arrays(
+            [pa.array(np.where(owner, -1, index[one]).astype(np.int32)),
+             pa.array([xxh3_128_digest(raw[s:s + length]) for s in starts[one].tolist()], pa.binary())],
+            names=["at", "digest"]))
+    columns = [table.column(x).take(pa.array(np.concatenate([rows, row[one][edge]]))) for x in CLASS]
+    none = len(rows)
+    return pa.RecordBatch.from_arrays(
+        [*columns, pa.array([*first.tolist(), *[None] * len(edge)], pa.int32()),
+         pa.array([*last.tolist(), *[None] * len(edge)], pa.int32()), pa.array([None] * none + cores, pa.binary()),
+         pa.concat_arrays([pa.nulls(none, windows.type), windows])],
+        names=[*CLASS, "first", "last", "core", "windows"])
 
 
 def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -265,20 +282,27 @@ def remove_repeats(docs: DataFrame, length: int = 200, group: int = GROUP, carry
         "d", F.coalesce("doc_id", F.lit(-(1 << 63))))
     found = materialize(occurrences(rows.select("d", "th", "text"), length), "stretches")
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("anchor")
+    # Written, so that both sides of the join are plain shuffles, which AQE splits at hot anchors.
+    twice = materialize(twice, "twice")
     repeated = materialize(found.join(twice, "anchor"), "repeated")
     classes = materialize(repeated.groupBy(*CLASS).agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("d", "th", "start")).alias("place")), "classes")
     open_ = classes.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("classes"), F.count_if(F.col("copies") == 1).alias("single")).filter(
         "classes > 1 AND single > 0").select("anchor", F.ceil(F.col("classes") / group).cast("int").alias("slices"))
+    open_ = materialize(open_, "open")
     wanted = classes.join(open_, "anchor").select(
         "place.*", *CLASS, "copies", F.pmod(F.xxhash64("cls", "off", "n"), "slices").cast("int").alias("slice"), "slices")
     pieces = extract_classes(rows.select("d", "th", "text"), wanted, length)
     sorted_ = materialize(repeated_windows(pieces, length), "sorted")
-    local = sorted_.filter("digest IS NULL").select(*CLASS, "first", "last")
-    leaves = sorted_.filter("digest IS NOT NULL")
-    shared = leaves.groupBy("digest").agg(F.count(F.lit(1)).alias("slices")).filter("slices > 1").select("digest")
-    across = leaves.filter("first >= 0").join(shared, "digest").select(*CLASS, "first", "last")
+    local = sorted_.filter("core IS NULL").select(*CLASS, "first", "last")
+    sliced = sorted_.filter("core IS NOT NULL")
+    cores = materialize(sliced.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "cores")
+    leaves = materialize(sliced.join(cores, "core").select(*CLASS, F.inline("windows")), "leaves")
+    shared = materialize(leaves.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"),
+                         "shared")
+    across = leaves.filter("at >= 0").join(shared, "digest").select(*CLASS, F.col("at").alias("first"),
+                                                                    F.col("at").alias("last"))
     whole = classes.filter("copies > 1").select(*CLASS, F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
     windows = whole.unionByName(local).unionByName(across)
     # Classes are few and joined by their whole key; a class that fills a third of all rows is split by AQE.
