@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablefit.llm.common import blocks_of, texts
+from tablefit.llm.common import blocks_of, materialize, texts
 
 CACHE_SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("tokenizer", T.StringType()),
                              T.StructField("n_tokens", T.LongType())])
@@ -135,7 +135,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024)
                      pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = stored_counts(spark, cache, version)
+    # Written, so that both sides of the join are plain shuffles, which AQE splits at hot digests.
+    counts = materialize(stored_counts(spark, cache, version), "counts")
     return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(
         counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
