@@ -43,21 +43,23 @@ def _contract(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)`` (long ids); root is the smallest node of its component.
 
-    Each round writes its edges to the shared folder. Nothing is gathered by node: only minima are aggregated, so a node
-    with very many edges is no hot key. An edge table without rows gives no rows.
+    Each round writes its edges to the shared folder. Nothing is gathered by node: only minima are aggregated, and joins
+    on nodes can be split, so a node with very many edges is no hot key. An edge table without rows gives no rows.
     """
     edges = edges.filter("a <> b").selectExpr("a", "b").mapInArrow(_contract, "a bigint, b bigint")
     edges = materialize(edges.distinct(), "edges")
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
         low = both.groupBy("a").agg(F.min("b").alias("low")).selectExpr("a", "least(a, low) AS low")
+        # Written, so that both sides of the join are plain shuffles, which AQE splits at nodes with very many edges.
+        low = materialize(low, "low")
         # Large star: every larger neighbour moves to the smallest node around.
         large = both.filter("b > a").join(low, "a").selectExpr("b AS a", "low AS b").filter("a <> b").distinct()
         large = materialize(large, "large")
         # Small star: every smaller neighbour, and the node itself, moves to the smallest of them.
         down = large.selectExpr("greatest(a, b) AS a", "least(a, b) AS b")
         least = down.groupBy("a").agg(F.min("b").alias("low"))
-        small = down.join(least, "a").selectExpr("explode(array(a, b)) AS a", "low AS b").filter("a <> b").distinct()
+        small = down.join(materialize(least, "least"), "a").selectExpr("explode(array(a, b)) AS a", "low AS b").filter("a <> b").distinct()
         small = materialize(small, "small")
         state = small.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1000003).alias("sum")).first()
         before = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1000003).alias("sum")).first()
