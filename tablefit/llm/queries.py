@@ -81,12 +81,12 @@ SQL: dict[str, str] = {
     "op8_nearest": """WITH usable AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-   AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-   AND len(list_filter(embedding, x -> x <> 0)) > 0),
+   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+   AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
  queries AS (SELECT vec_id AS query_id, min(v) AS q FROM usable WHERE vec_id % 100 = 0 GROUP BY vec_id, len(v)),
  scored AS (
-  SELECT query_id, vec_id, sqrt(list_reduce(list_transform(list_zip(q, v), p -> (p[1] - p[2]) * (p[1] - p[2])),
-    (a, b) -> a + b)) AS score
+  SELECT query_id, vec_id, sqrt(list_sum(list_transform(range(1, len(q) + 1),
+    lambda i: (q[i] - v[i]) * (q[i] - v[i])))) AS score
   FROM queries JOIN usable ON vec_id <> query_id AND len(q) = len(v)),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored)
  SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10""",
