@@ -29,7 +29,7 @@ WINDOW = 5
 SHARE = 0.8
 CONSISTENT = 0.5
 BITMAP_BITS = 24  # 2 MB, whatever the size of the benchmark
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 UNITS = frozenset("""
 mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz ton tons ml cl l liter liters
@@ -62,7 +62,10 @@ class _Words(dict):
             inside.append(NAME if named else token)
             if i and named:
                 begins[-1] = NAME
-        value = self[raw] = (tuple(begins), tuple(inside), raw.rstrip("\"')»”*&#%$")[-1:] in (".", "!", "?", ":"))
+        begins, inside = tuple(begins), tuple(inside)
+        if begins == inside:
+            begins = inside
+        value = self[raw] = (begins, inside, raw.rstrip("\"')»”*&#%$")[-1:] in (".", "!", "?", ":"))
         return value
 
 

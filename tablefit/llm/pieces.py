@@ -6,7 +6,7 @@ encoder walks over the matches of an Aho-Corasick automaton, stores for each pre
 compatible with the last piece of the remaining prefix, and then reads the ids backwards from the end.
 
 No piece holds a space mark after another character, or a line feed, so texts are cut into segments there; segments
-repeat, and a worker remembers them.
+repeat, and a task remembers them.
 
 Defined results: NULL and empty texts have no ids and decode to the empty text; repeated rows keep their rows; an empty
 table gives an empty table. Other input columns are not read.
@@ -23,13 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablefit.llm.common import blocks_of, map_batches, texts
+from tablefit.llm.common import blocks_of, texts
 
 MARK = "▁"
 NEVER = float("inf")
-# Segments and piece pairs that a worker remembers; a full store is emptied.
-KNOWN_SEGMENTS = 800_000
-KNOWN_PAIRS = 1_000_000
+# Segments and piece pairs that a task remembers; a full store is emptied.
+KNOWN_SEGMENTS = 250_000
+KNOWN_PAIRS = 300_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids string, decoded string"
 
 
@@ -184,6 +184,10 @@ class PieceModel:
             out.append(_utf8(bytes(pending)))
         return "".join(out)
 
+    def forget(self) -> None:
+        """Drop what is remembered: workers live on and serve other jobs."""
+        self.known_ids, self.known_text, self.pairs = {}, {}, {}
+
     def rows(self, values: list[str]) -> Iterator[tuple[str, int, str]]:
         """(ids joined by commas, number of ids, decoded text) of each text."""
         known_ids, known_text, decimal = self.known_ids, self.known_text, self.decimal
@@ -234,17 +238,19 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     ``path`` names a BPE model file that all executors have installed.
     """
 
-    def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        column = batch.column("text")
-        for a, b in blocks_of(pc.binary_length(column).to_numpy(zero_copy_only=False), 1 << 20):
-            rows = list(own.rows(column.slice(a, b - a).to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
-                names=["doc_id", "n_tokens", "ids", "decoded"])
-
-    return map_batches(texts(docs), encode, SCHEMA)
+        for batch in batches:
+            column = batch.column("text")
+            for a, b in blocks_of(pc.binary_length(column).to_numpy(zero_copy_only=False), 1 << 20):
+                rows = list(own.rows(column.slice(a, b - a).to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), pa.array([r[1] for r in rows], pa.int64()),
+                     pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
+                    names=["doc_id", "n_tokens", "ids", "decoded"])
+        own.forget()
+
+    return texts(docs).mapInArrow(encode, SCHEMA)
 
 
 def id_array(ids: str = "ids"):
