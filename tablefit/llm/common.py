@@ -11,15 +11,25 @@ from pyspark.sql import functions as F
 
 from tablefit.functions.frames import materialize
 
-__all__ = ["blocks_of", "broadcastable", "map_batches", "materialize", "read", "texts"]
+__all__ = ["blocks_of", "broadcastable", "map_batches", "materialize", "read", "small_batches",
+           "texts"]
 
 # Most bytes of a lookup side that may be broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 # Bytes of text that a task turns into arrays at a time.
 BLOCK_BYTES = 2 << 20
+ROWS_PER_BATCH = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of few rows: ten thousand long texts at a time would fill an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ROWS_PER_BATCH:
+        spark.conf.set(name, str(ROWS_PER_BATCH))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
