@@ -58,7 +58,7 @@ def split_three_way(spark, folder):
 WITH r AS (SELECT o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey)
  <= floor(count(*) OVER () * 0.7::DOUBLE) AS train FROM orders)
 SELECT count(*) FILTER (WHERE train) AS train_rows, count(*) FILTER (WHERE NOT train) AS test_rows,
- max(o_orderdate) FILTER (WHERE train) <= min(o_orderdate) FILTER (WHERE NOT train) AS in_time_order,
+ max(o_orderdate) FILTER (WHERE train) < min(o_orderdate) FILTER (WHERE NOT train) AS in_time_order,
  0::BIGINT AS shared_keys FROM r""")
 def split_checks(spark, folder):
     parts = splits.chronological_split(table(spark, folder, "orders"), "o_orderdate", "o_orderkey")

@@ -17,7 +17,7 @@ from tablefit.functions.lookups import CLASSIFICATION, CLUSTERING, REGRESSION, T
 from tablefit.functions.stats import as_number, dtype_of, infinite, is_numeric, missing
 from tablefit.operators.columns import drop_incomplete, lenient_timestamp, shared_features
 from tablefit.operators.order import with_previous
-from tablefit.operators.remediate import fill_values
+from tablefit.operators.select import medians
 
 TREES, DEPTH = 40, 6
 
@@ -26,8 +26,9 @@ def train_filled(train: DataFrame, test: DataFrame, columns: Sequence[str], exac
     """Both parts with gaps filled by the training medians; infinite cells count as gaps."""
     train, test = (
         d.withColumns({c: F.when(~infinite(d, c), as_number(d, c)) for c in columns}) for d in (train, test))
-    fills = fill_values(train.select(*columns), exact=exact)
-    filled = {c: F.coalesce(F.col(c), F.lit(float(fills.get(c, 0.0)))) for c in columns}
+    # Of all columns: one that is complete in training may have gaps in the test part.
+    fills = medians(train.select(*columns), list(columns), exact=exact).first()
+    filled = {c: F.coalesce(F.col(c), F.lit(float(fills[c] or 0.0))) for c in columns}
     return train.withColumns(filled), test.withColumns(filled)
 
 

@@ -84,5 +84,5 @@ def split_checks(parts: DataFrame, key: str, time: str | None = None) -> DataFra
     sizes = [F.count_if(train).alias("train_rows"), F.count_if(test).alias("test_rows")]
     if time:
         at = lenient_timestamp(parts, time)
-        sizes.append((F.max(F.when(train, at)) <= F.min(F.when(test, at))).alias("in_time_order"))
+        sizes.append((F.max(F.when(train, at)) < F.min(F.when(test, at))).alias("in_time_order"))
     return parts.agg(*sizes).crossJoin(F.broadcast(shared))

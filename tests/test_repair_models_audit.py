@@ -146,3 +146,16 @@ def test_closed_loop_repairs_a_disordered_series(spark):
     assert row["fitness_after"] > 50 and row["decision"] in ("ACCEPTED", "REGRESSED", "NO_IMPROVEMENT")
     assert loop.unchanged_test.first()["immutable"]
     assert loop.cleansed().count() == n
+
+
+def test_test_gaps_take_training_medians(spark):
+    train = spark.createDataFrame([(float(x),) for x in range(100, 110)], "x double")
+    test = spark.createDataFrame([(None,), (1.0,)], "x double")
+    _, filled = models.train_filled(train, test, ["x"])
+    assert sorted(r.x for r in filled.collect()) == [1.0, 104.5]
+
+
+def test_equal_times_across_the_cut_are_not_in_order(spark):
+    rows = [(1, "train", "2024-01-01"), (2, "train", "2024-01-02"), (3, "test", "2024-01-02")]
+    parts = spark.createDataFrame(rows, "k int, part string, t string").withColumn("t", F.to_timestamp("t"))
+    assert splits.split_checks(parts, "k", "t").first()["in_time_order"] is False
