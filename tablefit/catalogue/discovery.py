@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +26,12 @@ UNION ALL SELECT 'customer', 5, 3, false, 'c_nationkey', 2, 'int', count(*), cou
  stddev_samp(c_nationkey) FROM customer"""
 
 
-@lru_cache(maxsize=4)
 def inferred(spark, folder):
     names = ["orders", "events", "customer", "labels", "supplier", "part"]
     tables = {n: table(spark, folder, n) for n in names}
     return discover.infer_tasks(tables, ROW_ORDERS)
 
 
-@lru_cache(maxsize=4)
 def evidence(spark, folder):
     parts = [discover.column_evidence(table(spark, folder, n), n, ROW_ORDERS[n])
              for n in ("orders", "events", "customer")]
@@ -65,7 +63,7 @@ SELECT 'orders' AS dataset, 'o_orderdate' AS "column", 4 AS position WHERE EXIST
 UNION ALL SELECT 'events', 'ts', 1 WHERE EXISTS (SELECT 1 FROM events)
 UNION ALL SELECT 'dirty_events', 'ts', 4 WHERE EXISTS (SELECT 1 FROM dirty_events)
 UNION ALL SELECT 'dirty_events', 'ts_text', 5 FROM (SELECT avg((TRY_CAST(ts_text AS TIMESTAMP) IS NOT NULL)::INT) AS ok
- FROM (SELECT ts_text FROM dirty_events ORDER BY event_id LIMIT 30)) WHERE ok >= 0.8""")
+ FROM dirty_events) WHERE ok >= 0.8""")
 def timestamp_candidates(spark, folder):
     return discover.timestamp_candidates(evidence(spark, folder))
 

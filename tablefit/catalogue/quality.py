@@ -295,7 +295,8 @@ def heavy_tail_columns(spark, folder):
 @query("anomaly_score")
 def anomaly_score(spark, folder):
     columns = ["l_quantity", "l_extendedprice", "l_discount"]
-    return rounded(forest_anomaly(lineitem(spark, folder), columns, SEGMENT, "threshold"))
+    return rounded(forest_anomaly(lineitem(spark, folder), columns, SEGMENT, "threshold",
+                                  keys=["l_orderkey", "l_linenumber"]))
 
 
 @query("outlier_score", sql="""

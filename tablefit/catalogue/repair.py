@@ -52,7 +52,7 @@ def fix_winsorize(spark, folder):
 WITH c AS (SELECT flag, count(*) AS c FROM patchy_orders GROUP BY flag),
 w AS (SELECT min(c) AS m, greatest(2 * min(c), floor(max(c) * 0.4)::BIGINT) AS t FROM c),
 r AS (SELECT o_orderkey, flag, row_number() OVER (PARTITION BY flag
- ORDER BY ((o_orderkey % 2147483648) * 2654435761 + 42) % 2147483648, o_orderkey) AS i FROM patchy_orders)
+ ORDER BY ((xor(o_orderkey, o_orderkey >> 31) % 2147483648) * 2654435761 + 42) % 2147483648, o_orderkey) AS i FROM patchy_orders)
 SELECT o_orderkey, flag, CASE WHEN flag = 1 THEN t // m + (i <= t % m)::INT ELSE 1 END::BIGINT AS copies FROM r, w""")
 def fix_resample(spark, folder):
     df = patchy_orders(spark, folder).select("o_orderkey", "flag")
@@ -92,7 +92,7 @@ def fix_drop_high_null(spark, folder):
 
 
 SPLIT = """split AS (SELECT *, CASE WHEN row_number() OVER (
- ORDER BY ((o_orderkey % 2147483648) * 2654435761 + 42) % 2147483648, o_orderkey)
+ ORDER BY ((xor(o_orderkey, o_orderkey >> 31) % 2147483648) * 2654435761 + 42) % 2147483648, o_orderkey)
  <= count(*) OVER () - ceil(round(count(*) OVER () * 0.3::DOUBLE, 9)) THEN 'train' ELSE 'test' END AS part
  FROM patchy_orders)"""
 

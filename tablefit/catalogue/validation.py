@@ -17,7 +17,7 @@ from tablefit.functions.lookups import CLASSIFICATION, REGRESSION, TIME_SERIES
 from tablefit.operators import audit, compare, models, splits
 from tablefit.plans.closed_loop import fraction_sweep, remediate_and_validate
 
-SCATTER = "((o_orderkey % 2147483648) * 2654435761 + 42) % 2147483648"
+SCATTER = "((xor(o_orderkey, o_orderkey >> 31) % 2147483648) * 2654435761 + 42) % 2147483648"
 N_TRAIN = "{n} - ceil(round({n} * 0.3::DOUBLE, 9))"
 
 
@@ -125,7 +125,7 @@ def model_ridge(spark, folder):
 @query("model_kmeans")
 def model_kmeans(spark, folder):
     df = table(spark, folder, "embeddings")
-    columns = [f"x{i}" for i in range(8)]
+    columns = [f"x{i}" for i in range(df.agg(F.max(F.size("embedding"))).first()[0])]
     wide = df.select("vec_id", *[F.col("embedding")[i].alias(c) for i, c in enumerate(columns)])
     clustered = models.cluster_rows(wide, columns, k=3)
     sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
@@ -256,12 +256,12 @@ def before_after(spark, folder):
 @query("fraction_sweep")
 def sweep(spark, folder):
     df = events(spark, folder).select("event_id", "user_id", "value", "ts")
-    return rounded(fraction_sweep(df, "value", "ts", "event_id", (0.5, 0.7)))
+    return rounded(fraction_sweep(df, "value", "ts", "event_id"))
 
 
 # ---------------------------------------------------------------- audit
 
-HASHED = """WITH b AS (SELECT {key} AS id, ((({key} % 2147483648) * 2654435761) % 2147483647)
+HASHED = """WITH b AS (SELECT {key} AS id, (((xor({key}, {key} >> 31) % 2147483648) * 2654435761) % 2147483647)
   % greatest(1, ceil((SELECT count(*) FROM {table}) / 4096.0)::BIGINT) AS bucket FROM {table}),
 l AS (SELECT bucket, sha256(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest, count(*) AS c FROM b GROUP BY bucket)
 SELECT sum(c)::BIGINT AS ids, sha256(string_agg(digest, ',' ORDER BY bucket)) AS digest FROM l"""
@@ -273,8 +273,9 @@ def id_set_hash(spark, folder):
 
 
 @query("content_hash", sql="""
-WITH r AS (SELECT sha256('=' || o_orderkey || '|=' || o_custkey || '|=' || o_orderstatus || '|=' || o_orderpriority)
- AS row FROM orders),
+WITH r AS (SELECT sha256(length(o_orderkey::VARCHAR) || '=' || o_orderkey || '|' || length(o_custkey::VARCHAR) || '='
+ || o_custkey || '|' || length(o_orderstatus) || '=' || o_orderstatus || '|' || length(o_orderpriority) || '='
+ || o_orderpriority) AS row FROM orders),
 c AS (SELECT row, count(*) AS c FROM r GROUP BY row),
 b AS (SELECT row || ':' || c AS e, c, ('0x' || substr(row, 1, 12))::BIGINT
  % greatest(1, ceil((SELECT count(*) FROM orders) / 4096.0)::BIGINT) AS bucket FROM c),

@@ -143,9 +143,15 @@ def imputed_kurtosis(moments: str, rows: str, fill: str) -> Column:
     return F.expr(f"CASE WHEN {rows} > 3 THEN coalesce({inner}, 0D) END")
 
 
+def folded(key: Column) -> Column:
+    """An integer key in [0, 2^31): its high bits are mixed into the low ones."""
+    key = key.cast("long")
+    return F.pmod(key.bitwiseXOR(F.shiftright(key, 31)), F.lit(2147483648))
+
+
 def scatter(key: Column, seed: int = 42) -> Column:
     """Arithmetic hash of an integer key in [0, 2^31), the same in any SQL engine."""
-    return F.pmod(F.pmod(key.cast("long"), F.lit(2147483648)) * F.lit(2654435761) + F.lit(seed), F.lit(2147483648))
+    return F.pmod(folded(key) * F.lit(2654435761) + F.lit(seed), F.lit(2147483648))
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> list[Column]:

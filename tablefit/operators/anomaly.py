@@ -22,7 +22,8 @@ from tablefit.operators.select import medians, quantiles
 TREES = 50
 ROWS_PER_TREE = 256
 CUTOFF = 0.6
-NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double"
+DRAWS = 1 << 40
+NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double, size int"
 
 
 def mean_depth(rows: np.ndarray | float) -> np.ndarray | float:
@@ -46,12 +47,12 @@ def grow_tree(sample: np.ndarray, tree: int, seed: int) -> pd.DataFrame:
         part = sample[rows]
         varied = np.flatnonzero(part.min(axis=0) < part.max(axis=0)) if len(rows) > 1 else np.empty(0, int)
         if depth >= limit or not len(varied):
-            nodes.append([tree, node, -1, 0.0, -1, -1, depth + float(mean_depth(len(rows)))])
+            nodes.append([tree, node, -1, 0.0, -1, -1, depth + float(mean_depth(len(rows))), len(sample)])
             continue
         feature = int(rng.choice(varied))
         low, high = part[:, feature].min(), part[:, feature].max()
         cut = float(rng.uniform(low, high))
-        nodes.append([tree, node, feature, cut, -1, -1, 0.0])
+        nodes.append([tree, node, feature, cut, -1, -1, 0.0, len(sample)])
         left = part[:, feature] <= cut
         pending.append((rows[~left], depth + 1, node, 1))
         pending.append((rows[left], depth + 1, node, 0))
@@ -70,20 +71,27 @@ def imputed(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), keep:
     ])
 
 
-def fit_forest(rows: DataFrame, columns: Sequence[str], trees: int = TREES, seed: int = 42) -> pd.DataFrame:
-    """Grow the forest on random samples of complete rows; returns its node table."""
-    columns = list(columns)
+def fit_forest(rows: DataFrame, columns: Sequence[str], trees: int = TREES, seed: int = 42,
+               keys: Sequence[str] = ()) -> pd.DataFrame:
+    """Grow the forest on random samples of complete rows; returns its node table.
+
+    With unique ``keys`` the rows of each tree follow from their hash, whatever the partitioning; without, the draw
+    depends on it.
+    """
+    columns, keys = list(columns), list(keys)
     wanted = trees * ROWS_PER_TREE
     share = min(1.0, 1.5 * wanted / max(1, segment_sizes(rows, [])[1]))
-    sample = rows.select(*columns)
-    if share < 1.0:
-        sample = sample.sample(fraction=share, seed=seed)
     # Rows are dealt to trees; a short table is dealt to every tree in full.
-    draw = F.xxhash64(F.lit(seed), *columns)
-    if share < 1.0:
-        dealt = sample.withColumn("tree", F.pmod(F.xxhash64(draw, F.monotonically_increasing_id()), F.lit(trees)))
+    if share < 1.0 and keys:
+        draw = F.xxhash64(F.lit(seed), *keys)
+        sample = rows.filter(F.pmod(draw, F.lit(DRAWS)) < math.ceil(share * DRAWS))
+        dealt = sample.select(*columns, F.pmod(F.xxhash64(draw), F.lit(trees)).cast("int").alias("tree"))
+    elif share < 1.0:
+        sample = rows.select(*columns).sample(fraction=share, seed=seed)
+        draw = F.xxhash64(F.lit(seed), *columns, F.monotonically_increasing_id())
+        dealt = sample.withColumn("tree", F.pmod(draw, F.lit(trees)))
     else:
-        dealt = sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        dealt = rows.select(*columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
 
     def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
@@ -116,28 +124,31 @@ def path_lengths(values: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
 def anomaly_scores(rows: DataFrame, columns: Sequence[str], nodes: pd.DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Add ``anomaly_score`` in (0, 1]; rows near 1 are isolated early."""
     columns, keep = list(columns), list(keep)
-    norm = float(mean_depth(ROWS_PER_TREE))
+    # Trees of a short table see fewer rows and are shallower; where all trees see one row, nothing is odd.
+    norm = float(mean_depth(nodes.groupby("tree")["size"].first()).mean()) if len(nodes) else 0.0
     fields = [rows.schema[c] for c in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["anomaly_score double"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lengths = path_lengths(batch[columns].to_numpy(dtype=float), nodes)
-            yield batch[keep].assign(anomaly_score=np.exp2(-lengths / norm))
+            yield batch[keep].assign(anomaly_score=np.exp2(-lengths / norm) if norm else 0.5)
 
     return rows.select(*keep, *columns).mapInPandas(score, schema)
 
 
 def forest_anomaly(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), mode: str = "contamination",
-                   contamination: float = 0.05, cutoff: float = CUTOFF, seed: int = 42) -> DataFrame:
+                   contamination: float = 0.05, cutoff: float = CUTOFF, seed: int = 42,
+                   keys: Sequence[str] = ()) -> DataFrame:
     """Per segment: rows and the share of anomalous ones, from one forest over the table.
 
     ``contamination`` counts rows beyond the segment's own score quantile;
-    ``threshold`` counts scores above a fixed cutoff.
+    ``threshold`` counts scores above a fixed cutoff. With unique ``keys`` the result does not depend on the
+    partitioning.
     """
-    by, columns = list(by), list(columns)
-    rows = imputed(df, columns, by, keep=[c for c in by if c not in columns])
-    nodes = fit_forest(rows, columns, seed=seed)
+    by, columns, keys = list(by), list(columns), list(keys)
+    rows = imputed(df, columns, by, keep=[c for c in dict.fromkeys([*by, *keys]) if c not in columns])
+    nodes = fit_forest(rows, columns, seed=seed, keys=keys)
     scored = anomaly_scores(rows, columns, nodes, keep=by)
     if mode == "threshold":
         flagged = scored.withColumn("odd", F.col("anomaly_score") > cutoff)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablefit.functions.frames import join_on
-from tablefit.functions.stats import missing
+from tablefit.functions.stats import folded, missing
 
 FAN_IN = 4096
 PRIME = 2147483647
@@ -44,7 +44,7 @@ def id_set_hash(df: DataFrame, key: str, by: Sequence[str] = (), fan_in: int = F
     by = list(by)
     ids = df.select(*by, F.col(key).cast("long").alias("id")).filter("id is not null").distinct()
     buckets = bucket_count(ids.count(), fan_in)
-    spread = F.pmod(F.col("id"), F.lit(2147483648)) * F.lit(2654435761)
+    spread = folded(F.col("id")) * F.lit(2654435761)
     bucket = F.pmod(F.pmod(spread, F.lit(PRIME)), F.lit(buckets))
     leaves = ids.groupBy(*by, bucket.alias("bucket")).agg(
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ","), 256)
@@ -56,8 +56,10 @@ def id_set_hash(df: DataFrame, key: str, by: Sequence[str] = (), fan_in: int = F
 
 
 def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
-    cells = [F.when(missing(df, c), F.lit("~")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
-             for c in columns]
+    """SHA-256 of a row; each cell goes in behind its length, so no text can pose as two cells."""
+    texts = {c: F.col(c).cast("string") for c in columns}
+    cells = [F.when(missing(df, c), F.lit("~")).otherwise(F.concat(F.length(x).cast("string"), F.lit("="), x))
+             for c, x in texts.items()]
     return F.sha2(F.concat_ws("|", *cells), 256)
 
 

@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 from tablefit.functions.stats import both, clip, dtype_of, is_float, is_integer, is_numeric, is_temporal, missing
 
 # Text layouts tried in turn; the first that parses wins.
-TIME_LAYOUTS = (
-    "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss", "dd-MM-yyyy", "dd/MM/yyyy",
-    "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd",
-)
+TIME_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss", "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd")
+# Layouts that read the same text differently: a column follows one of the two.
+MONTH_FIRST = ("MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "MM-dd-yyyy")
+DAY_FIRST = ("dd/MM/yyyy", "dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy")
 IDENTIFIER_SHARE = 0.85
 
 
@@ -100,15 +100,33 @@ def shared_features(train: DataFrame, test: DataFrame, target: str | None) -> li
     return [c for c in numeric_columns(train, [target] if target else []) if c in test.columns]
 
 
+def read_time(cell: Column, days_first: bool = False) -> Column:
+    """Timestamp of a text, NULL where no layout fits. No layout fits a text without a digit."""
+    layouts = TIME_LAYOUTS + (DAY_FIRST if days_first else MONTH_FIRST)
+    read = F.coalesce(cell.try_cast("timestamp"), *[F.try_to_timestamp(cell, F.lit(p)) for p in layouts])
+    return F.when(cell.rlike(r"\d"), read)
+
+
+def writes_days_first(df: DataFrame, column: str) -> bool:
+    """Do more cells of a text column read with the day first than with the month first? One scan of the column."""
+    shares = df.agg(*[F.count(F.coalesce(*[F.try_to_timestamp(F.col(column), F.lit(p)) for p in layouts])).alias(name)
+                      for name, layouts in (("days", DAY_FIRST), ("months", MONTH_FIRST))]).first()
+    return shares["days"] > shares["months"]
+
+
 def lenient_timestamp(df: DataFrame, column: str) -> Column:
-    """Timestamp of a cell, NULL where it cannot be read; never an error."""
+    """Timestamp of a cell, NULL where it cannot be read; never an error.
+
+    Day and month of a text column keep one order in all its cells: the one that reads more of them, on ties the month
+    first.
+    """
     cell, dtype = F.col(column), dtype_of(df, column)
     if is_temporal(dtype):
         return cell.cast("timestamp")
     if is_integer(dtype):
         return F.timestamp_micros(cell.cast("long"))
     if isinstance(dtype, T.StringType):
-        return F.coalesce(cell.try_cast("timestamp"), *[F.try_to_timestamp(cell, F.lit(p)) for p in TIME_LAYOUTS])
+        return read_time(cell, writes_days_first(df, column))
     return F.lit(None).cast("timestamp")
 
 

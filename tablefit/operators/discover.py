@@ -28,32 +28,25 @@ from tablefit.functions.lookups import (
     canonical_task,
 )
 from tablefit.functions.stats import as_number, dtype_of, is_integer, is_numeric, missing
-from tablefit.operators.columns import kind_of, lenient_timestamp, numeric_text
+from tablefit.operators.columns import kind_of, lenient_timestamp, numeric_text, read_time
 from tablefit.operators.order import with_previous
 from tablefit.operators.profile import distinct_counts
 
-SNIFF_ROWS = 30
-NAME_SNIFF_ROWS = 20
-
-
-def sniff_times(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """How well the first given cells of text columns read as times (30-row look)."""
-    empty = "column string, all_numbers boolean, parsed double, years_ok double, parsed_20 double"
-    looks = []
-    for c in columns:
-        head = df.select(F.col(c).alias("cell")).filter("cell is not null").limit(SNIFF_ROWS)
-        head = head.withColumns({"__i": F.monotonically_increasing_id(), "at": lenient_timestamp(head, "cell")})
-        year = F.year("at")
-        early = F.col("__i") < NAME_SNIFF_ROWS
-        looks.append(head.agg(
-            F.lit(c).alias("column"), numeric_text("cell").alias("all_numbers"),
-            F.avg(F.col("at").isNotNull().cast("double")).alias("parsed"),
-            F.avg(year.between(1900, 2100).cast("double")).alias("years_ok"),
-            F.avg(F.when(early, F.col("at").isNotNull().cast("double"))).alias("parsed_20"),
-        ))
-    if not looks:
-        return df.sparkSession.createDataFrame([], empty)
-    return reduce(DataFrame.unionByName, looks)
+
+def time_likeness(column: str) -> dict[str, Column]:
+    """Aggregates over all given cells of a text column: are all numbers, what share reads as times, with likely years."""
+    cell = F.col(column)
+    shares = {}
+    for name, days_first in (("months", False), ("days", True)):
+        at = read_time(cell, days_first)
+        shares[name] = (F.avg(F.when(cell.isNotNull(), at.isNotNull().cast("double"))),
+                        F.avg(F.year(at).between(1900, 2100).cast("double")))
+    days_first = F.coalesce(shares["days"][0] > shares["months"][0], F.lit(False))
+    return {
+        "all_numbers": numeric_text(column),
+        "parsed": F.when(days_first, shares["days"][0]).otherwise(shares["months"][0]),
+        "years_ok": F.when(days_first, shares["days"][1]).otherwise(shares["months"][1]),
+    }
 
 
 def column_evidence(df: DataFrame, dataset: str, row_order: str | None = None,
@@ -71,6 +64,7 @@ def column_evidence(df: DataFrame, dataset: str, row_order: str | None = None,
         *[F.count_if(~missing(df, c)).alias(f"given_{c}") for c in columns],
         *[agg.alias(f"{name}_{c}") for c, x in numbers.items()
           for name, agg in (("min", F.min(x)), ("max", F.max(x)), ("std", F.stddev_samp(x)))],
+        *[agg.alias(f"{name}_{c}") for c in columns if kinds[c] == "text" for name, agg in time_likeness(c).items()],
     ).crossJoin(distinct_counts(df, columns))
     if row_order and integers:
         base = base.crossJoin(_steps(df, integers, row_order))
@@ -85,11 +79,11 @@ def column_evidence(df: DataFrame, dataset: str, row_order: str | None = None,
             F.col("n"), F.col(f"given_{c}").alias("given"), F.col(f"distinct_{c}").alias("n_unique"),
             pick("min", "double").alias("min"), pick("max", "double").alias("max"), pick("std", "double").alias("std"),
             pick("step_min", "double").alias("step_min"), pick("step_max", "double").alias("step_max"),
+            pick("all_numbers", "boolean").alias("all_numbers"), pick("parsed", "double").alias("parsed"),
+            pick("years_ok", "double").alias("years_ok"),
         )
 
     rows = base.select(F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
-    texts = [c for c in columns if kinds[c] == "text"]
-    rows = rows.join(F.broadcast(sniff_times(df, texts)), "column", "left")
     many, given = F.col("given"), F.col("given") > 0
     year_range = (F.col("min") >= 1800) & (F.col("max") <= 2100)
     likely = (
@@ -100,7 +94,7 @@ def column_evidence(df: DataFrame, dataset: str, row_order: str | None = None,
         .otherwise(False)
     )
     by_name = F.col("column").rlike(TIME_PATTERN) & given & (
-        F.when(F.col("kind") == "int", year_range).when(F.col("kind") == "text", F.col("parsed_20") >= 0.5)
+        F.when(F.col("kind") == "int", year_range).when(F.col("kind") == "text", F.col("parsed") >= 0.5)
         .otherwise(False)
     )
     return rows.select(

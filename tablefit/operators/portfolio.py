@@ -15,7 +15,6 @@ from tablefit.operators.scoring import equal_weight_fitness
 from tablefit.operators.select import medians
 
 CONDITIONS = ("FULL", "NO_VETO", "NO_CALIBRATION", "NO_REMEDIATION", "STATIC_BASELINE")
-EXACT_PAIRS = 20
 
 
 def summary(results: DataFrame, keys: Sequence[str], values: Sequence[str], first: Sequence[str] = ()) -> DataFrame:
@@ -101,28 +100,24 @@ def signed_rank(diffs: DataFrame) -> DataFrame:
     return sums.withColumn("w", F.least("w_plus", "w_minus"))
 
 
-def signed_rank_exact(diffs: DataFrame, limit: int = EXACT_PAIRS) -> DataFrame:
-    """Signed-rank sums with the exact two-sided p over all sign patterns (up to 20 pairs).
+def signed_rank_exact(diffs: DataFrame) -> DataFrame:
+    """Signed-rank sums with the exact two-sided p over all sign patterns, for any number of pairs.
 
-    p is NULL beyond the limit, where the normal approximation is the usual choice.
+    The chance of each rank sum is built up one rank at a time: an array over the doubled sums, of the order of n^2
+    cells. No pair, no p.
     """
-    spark = diffs.sparkSession
     sums = signed_rank(diffs)
-    nonzero = diffs.filter("d <> 0")
-    n = nonzero.count()
-    if n > limit or n == 0:
-        return sums.withColumn("p_exact", F.lit(None).cast("double"))
-    ranked = with_average_rank(nonzero.select(F.abs("d").alias("size")), "size", name="r")
-    ranks = F.broadcast(ranked.agg(F.sort_array(F.collect_list("r")).alias("ranks"), F.sum("r").alias("all")))
-    patterns = spark.range(1 << n).crossJoin(ranks)
-    chosen = F.aggregate(
-        F.transform("ranks", lambda r, i: F.when(F.getbit(F.col("id"), i) == 1, r).otherwise(0.0)),
-        F.lit(0.0), lambda total, r: total + r,
-    )
-    tails = patterns.select(F.least(chosen, F.col("all") - chosen).alias("m")).crossJoin(
-        F.broadcast(sums.select("w")))
-    share = tails.agg((F.count_if(F.col("m") <= F.col("w") + 1e-9) / F.lit(1 << n)).alias("p_exact"))
-    return sums.crossJoin(F.broadcast(share))
+    ranked = with_average_rank(diffs.filter("d <> 0").select(F.abs("d").alias("size")), "size", name="r")
+    doubled = F.round(F.col("r") * 2).cast("long")
+    ranks = ranked.agg(F.sort_array(F.collect_list(doubled)).alias("ranks"), F.sum(doubled).cast("int").alias("all"))
+    start = F.transform(F.sequence(F.lit(0), F.col("all")), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    chances = F.aggregate("ranks", start, lambda p, r: F.transform(
+        p, lambda x, s: (x + F.coalesce(F.get(p, (s - r).cast("int")), F.lit(0.0))) / 2))
+    tails = F.transform(chances, lambda x, s: F.when(F.least(s, F.col("all") - s) <= 2 * F.col("w") + 1e-9, x)
+                        .otherwise(0.0))
+    # One row on either side.
+    joined = sums.crossJoin(F.broadcast(ranks))
+    return joined.withColumn("p_exact", F.aggregate(tails, F.lit(0.0), lambda total, x: total + x)).drop("ranks", "all")
 
 
 def rank_correlations(results: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

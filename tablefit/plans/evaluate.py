@@ -97,7 +97,7 @@ def score_rows(df: DataFrame, roles: Roles, tasks: Sequence[str], row_order: str
     """
     metrics = quality_metrics(df, roles, row_order, by, tasks)
     if anomaly != "pinned" and roles.measures:
-        found = forest_anomaly(df, roles.measures, by, anomaly).select(
+        found = forest_anomaly(df, roles.measures, by, anomaly, keys=[row_order]).select(
             *by, F.col("anomaly_ratio").alias("__share"))
         metrics = materialize(join_on(metrics, found, by).withColumn(
             "anomaly_ratio", F.when(F.col("n") < 15, 0.0).otherwise(F.col("__share"))).drop("__share"), "metrics")

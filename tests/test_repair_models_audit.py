@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablefit.functions.lookups import CLASSIFICATION, REGRESSION, TIME_SERIES
+from tablefit.functions.stats import scatter
 from tablefit.operators import audit, models, remediate, splits
 from tablefit.operators.anomaly import forest_anomaly
+from tablefit.operators.columns import lenient_timestamp
+from tablefit.operators.portfolio import signed_rank_exact
 from tablefit.plans.closed_loop import remediate_and_validate
 from tablefit.sources.readers import TableError, format_of, read_table, require_rows
 from tablefit.sources.writers import write_csv, write_report
@@ -159,3 +162,56 @@ def test_equal_times_across_the_cut_are_not_in_order(spark):
     rows = [(1, "train", "2024-01-01"), (2, "train", "2024-01-02"), (3, "test", "2024-01-02")]
     parts = spark.createDataFrame(rows, "k int, part string, t string").withColumn("t", F.to_timestamp("t"))
     assert splits.split_checks(parts, "k", "t").first()["in_time_order"] is False
+
+
+def test_forest_on_few_rows_and_any_partitioning(spark):
+    rows = [(i, float((i * 7919) % 1009), float((i * 104729) % 997)) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    few = forest_anomaly(df.filter("k < 20"), ["a", "b"], mode="threshold").first()
+    assert few["n"] == 20 and few["anomalies"] <= 4
+    assert forest_anomaly(df.filter("k < 1"), ["a", "b"], mode="threshold").first()["anomalies"] == 0
+    one, three = (forest_anomaly(df.repartition(p), ["a", "b"], mode="threshold", cutoff=0.5, keys=["k"]).first()
+                  for p in (1, 3))
+    assert one == three and one["anomalies"] > 0
+
+
+def test_high_key_bits_count(spark):
+    keys = spark.range(20).crossJoin(spark.range(100).withColumnRenamed("id", "row")).select(
+        (F.col("id") * F.lit(1 << 40) + F.col("row")).alias("key"))
+    assert keys.select(scatter(F.col("key"))).distinct().count() > 1500
+
+
+def test_content_hash_keeps_cells_apart(spark):
+    one = spark.createDataFrame([("a|=b", "c"), ("a", "1=b|1=c")], "x string, y string")
+    two = spark.createDataFrame([("a", "b|=c"), ("a|1=b", "1=c")], "x string, y string")
+    assert audit.content_hash(one).first()["digest"] != audit.content_hash(two).first()["digest"]
+
+
+@pytest.mark.parametrize(("texts", "want"), [
+    (["12/31/2020", "01/02/2021", None, "none"], ["2020-12-31", "2021-01-02", None, None]),
+    (["31/12/2020", "01/02/2021"], ["2020-12-31", "2021-02-01"]),
+    (["01/02/2021", "03-04-2021"], ["2021-01-02", "2021-03-04"]),
+])
+def test_one_order_of_day_and_month_per_column(spark, texts, want):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", lenient_timestamp(df, "t").cast("date").cast("string").alias("d")).orderBy("i").collect()
+    assert [r["d"] for r in got] == want
+
+
+def test_signed_rank_of_forty_pairs(spark):
+    diffs = [(-1) ** (i % 3) * (i // 2 + 1) / 4 for i in range(40)]
+    sizes = np.abs(diffs)
+    ranks = [float((sizes < s).sum() + ((sizes == s).sum() + 1) / 2) for s in sizes]
+    chances = {0.0: 1.0}
+    for r in ranks:
+        after = {}
+        for s, p in chances.items():
+            for t in (s, s + r):
+                after[t] = after.get(t, 0.0) + p / 2
+        chances = after
+    w = min(sum(r for r, d in zip(ranks, diffs) if d > 0), sum(r for r, d in zip(ranks, diffs) if d < 0))
+    want = sum(p for s, p in chances.items() if min(s, sum(ranks) - s) <= w)
+    got = signed_rank_exact(spark.createDataFrame([(d,) for d in diffs], "d double")).first()
+    assert got["n"] == 40 and got["w"] == w and got["p_exact"] == pytest.approx(want)
+    none = signed_rank_exact(spark.createDataFrame([(0.0,)], "d double")).first()
+    assert none["n"] == 0 and none["p_exact"] is None
