@@ -426,7 +426,20 @@ def counterfactuals(spark, folder):
         *KEYS, "rank", "action", "gain", "isolated", "cumulative")
 
 
-@query("budgeted_actions")
+# A running choice: an action is taken when what is left of the budget pays for it.
+TAKE = """list_reduce(list_prepend({{'cost': 0::DOUBLE, 'gain': 0::DOUBLE, 'taken': 0}},
+  list({{'cost': cost::DOUBLE, 'gain': gain::DOUBLE, 'taken': 1}} ORDER BY {order})),
+  lambda t, a: CASE WHEN t.cost + a.cost <= 4
+   THEN {{'cost': t.cost + a.cost, 'gain': t.gain + a.gain, 'taken': t.taken + 1}} ELSE t END)"""
+
+
+@query("budgeted_actions", *ACTION_CTES, ACTIONS, sql=f"""
+WITH t AS (SELECT event_type, task, 'utility' AS strategy, {TAKE.format(order="rank")} AS t FROM actions
+  GROUP BY event_type, task
+ UNION ALL SELECT event_type, task, 'greedy', {TAKE.format(order="gain DESC, rank")} FROM actions
+  GROUP BY event_type, task)
+SELECT event_type, task, strategy, t.taken AS taken, round(t.cost, 6) AS total_cost, round(t.gain, 6) AS total_gain
+FROM t""")
 def budgeted_actions(spark, folder):
     return rounded(act.budgeted_actions(all_actions(spark, folder), KEYS, 4))
 

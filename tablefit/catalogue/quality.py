@@ -18,7 +18,7 @@ from tablefit.catalogue.registry import (
 from tablefit.functions.lookups import CLASSIFICATION, REGRESSION, TASKS
 from tablefit.operators import dimensions as dims
 from tablefit.operators.anomaly import forest_anomaly
-from tablefit.operators.columns import column_roles
+from tablefit.operators.columns import column_roles, numeric_columns
 
 SEGMENT = ["l_returnflag"]
 CELLS = ["l_quantity", "l_tax", "l_extendedprice", "l_discount", "inf_col", "const_col", "empty_col", "rare_label"]
@@ -339,10 +339,12 @@ def balance_regression(spark, folder):
 
 
 @query("coverage_score", sql="""
-WITH c AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey)
-SELECT c_nationkey, n, round(n / 12.0::DOUBLE, 6) AS ratio,
- round(greatest(20, 50 + 50 * least(1, n / 12.0::DOUBLE / 10)), 6) AS score FROM c""")
+WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT o_custkey, n, round(n / 2.0::DOUBLE, 6) AS ratio,
+ round(greatest(20, 50 + 50 * least(1, n / 2.0::DOUBLE / 10)), 6) AS score FROM c""")
 def coverage_score(spark, folder):
-    sizes = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    df = table(spark, folder, "orders")
+    features = len(numeric_columns(df, ("o_custkey",)))  # o_orderkey and o_totalprice
+    sizes = df.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     return rounded(sizes.withColumns({
-        "ratio": F.col("n") / 12, "score": dims.coverage_score(F.lit(12), F.col("n"))}))
+        "ratio": F.col("n") / features, "score": dims.coverage_score(F.lit(features), F.col("n"))}))

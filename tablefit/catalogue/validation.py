@@ -14,7 +14,7 @@ from tablefit.catalogue.registry import (
     table,
 )
 from tablefit.functions.lookups import CLASSIFICATION, REGRESSION, TIME_SERIES
-from tablefit.operators import audit, compare, models, splits
+from tablefit.operators import audit, compare, models, remediate, splits
 from tablefit.plans.closed_loop import fraction_sweep, remediate_and_validate
 
 SCATTER = "((xor(o_orderkey, o_orderkey >> 31) % 2147483648) * 2654435761 + 42) % 2147483648"
@@ -297,7 +297,15 @@ def double_run_diff(spark, folder):
     return done.select("paired", "only_first", "only_second", "mismatches")
 
 
-@query("split_receipt")
+@query("split_receipt", sql=f"""
+WITH s AS (SELECT o_orderkey AS id, CASE WHEN row_number() OVER (ORDER BY {SCATTER}, o_orderkey)
+ <= {N_TRAIN.format(n="count(*) OVER ()")} THEN 'train' ELSE 'test' END AS part FROM orders),
+b AS (SELECT part, id, (((xor(id, id >> 31) % 2147483648) * 2654435761) % 2147483647)
+  % greatest(1, ceil((SELECT count(*) FROM orders) / 4096.0)::BIGINT) AS bucket FROM s),
+l AS (SELECT part, bucket, sha256(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest, count(*) AS c FROM b
+ GROUP BY part, bucket)
+SELECT part, sum(c)::BIGINT AS rows, sha256(string_agg(digest, ',' ORDER BY bucket)) AS key_hash,
+ 'o_custkey,o_totalprice' AS features, 'o_orderstatus' AS target FROM l GROUP BY part""")
 def split_receipt(spark, folder):
     parts = splits.random_split(table(spark, folder, "orders"), "o_orderkey")
     return audit.split_receipt(parts, "o_orderkey", ["o_custkey", "o_totalprice"], "o_orderstatus")
@@ -308,5 +316,6 @@ SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice IS NOT NULL) AS labell
 FROM patchy_orders GROUP BY o_orderstatus""")
 def model_ready_rows(spark, folder):
     rows = patchy_orders(spark, folder)
-    return rows.groupBy("o_orderstatus").agg(
-        F.count("o_totalprice").alias("labelled"), F.count(F.lit(1)).alias("n"))
+    labelled, _ = remediate.repair(rows, ["drop_unlabelled_target"], REGRESSION, "o_totalprice")
+    sizes = [d.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias(n)) for d, n in ((rows, "n"), (labelled, "labelled"))]
+    return sizes[0].join(sizes[1], "o_orderstatus", "left").withColumn("labelled", F.coalesce("labelled", F.lit(0)))
