@@ -115,7 +115,16 @@ def model_forecast(spark, folder):
     return rounded(done.agg(F.count(F.lit(1)).alias("n"), models.rmse(F.col("label"), F.col("prediction")).alias("rmse")))
 
 
-@query("model_ridge")
+@query("model_ridge", sql="""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) <= floor(count(*) OVER () * 0.7::DOUBLE) AS train
+ FROM events WHERE ts IS NOT NULL),
+a AS (SELECT value, lag(value) OVER (ORDER BY event_id) AS lag1 FROM r WHERE train AND value IS NOT NULL),
+m AS (SELECT count(*) * covar_pop(lag1, value) / (count(*) * var_pop(lag1) + 1) AS slope, avg(value) AS y, avg(lag1) AS x
+ FROM a WHERE lag1 IS NOT NULL),
+l AS (SELECT value AS last FROM r WHERE train AND value IS NOT NULL ORDER BY event_id DESC LIMIT 1),
+b AS (SELECT value, coalesce(lag(value) OVER (ORDER BY ts, event_id), last) AS lag1 FROM r, l
+ WHERE NOT train AND value IS NOT NULL)
+SELECT count(*) AS n, round(sqrt(avg(pow(value - (y + slope * (lag1 - x)), 2))), 6) AS rmse FROM b, m""")
 def model_ridge(spark, folder):
     parts = splits.chronological_split(table(spark, folder, "events"), "ts", "event_id")
     done = models.ridge_forecast(parts, "value", "event_id", "ts")

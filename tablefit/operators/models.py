@@ -8,7 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,13 +85,18 @@ def fit_predict(train: DataFrame, test: DataFrame, task: str, target: str, featu
 
 def ridge_forecast(parts: DataFrame, target: str, row_order: str, time: str | None = None,
                    alpha: float = 1.0) -> DataFrame:
-    """Test rows predicted by a ridge regression on the previous value alone."""
+    """Test rows predicted by a ridge regression on the previous value alone.
+
+    Minimises the squared errors plus ``alpha`` times the squared slope; the penalty of Spark ML is scaled by the spread
+    of the label, so the one slope is taken from sums. Without training rows the prediction is NULL.
+    """
     rows = lag_features(parts, target, row_order, time, compat=False).withColumn("label", as_number(parts, target))
-    train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
-    n = max(1, train.count())
-    model = LinearRegression(labelCol="label", featuresCol="__features", elasticNetParam=0.0, regParam=alpha / n,
-                             standardization=False)
-    return model.fit(_assemble(train, ["lag1"])).transform(_assemble(test, ["lag1"])).drop("__features")
+    test = rows.filter("part = 'test' AND lag1 IS NOT NULL")
+    n, x, y = F.count(F.lit(1)), F.avg("lag1"), F.avg("label")
+    slope = n * F.covar_pop("lag1", "label") / (n * F.var_pop("lag1") + F.lit(alpha))
+    line = rows.filter("part = 'train'").agg(slope.alias("__slope"), (y - slope * x).alias("__start"))
+    predicted = F.col("__start") + F.col("__slope") * F.col("lag1")
+    return test.crossJoin(F.broadcast(line)).withColumn("prediction", predicted).drop("__slope", "__start")
 
 
 def cluster_rows(df: DataFrame, columns: Sequence[str], k: int | None = None, seed: int = 42) -> DataFrame:

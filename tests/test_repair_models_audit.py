@@ -92,6 +92,18 @@ def test_constant_series_is_forecast_without_error(spark):
     assert models.observed_metric(parts.limit(8), TIME_SERIES, "temp", "t", "i", ["i"]) is None
 
 
+def test_ridge_penalty_does_not_depend_on_the_spread_of_the_label(spark):
+    y = [0.3, -0.2, 0.5, 0.1, -0.4, 0.6, 0.2, -0.1, 0.4, 0.0]
+    df = spark.createDataFrame(pd.DataFrame({"i": range(10), "y": y, "part": ["train"] * 7 + ["test"] * 3}))
+    lag, label = np.array(y[:6]), np.array(y[1:7])
+    x, z = lag - lag.mean(), label - label.mean()
+    slope = (x @ z) / (x @ x + 1)
+    got = {r["i"]: r["prediction"] for r in models.ridge_forecast(df, "y", "i").collect()}
+    assert got == pytest.approx({i: label.mean() + slope * (y[i - 1] - lag.mean()) for i in (7, 8, 9)})
+    none = models.ridge_forecast(df.filter("part = 'test'"), "y", "i").collect()
+    assert {r["prediction"] for r in none} == {None}
+
+
 def test_macro_and_weighted_f1(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b")], "label string, prediction string")
     row = models.f1_scores(df).first()
