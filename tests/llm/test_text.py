@@ -144,6 +144,28 @@ def test_lm_scores(spark, docs, rows, none):
     assert pseudo_likelihood.score(none, steps=2).count() == 0
 
 
+def test_lm_words_of_a_bucket(spark, monkeypatch):
+    """Words that share a bucket have their own probabilities, whether their counts are sent or joined."""
+    bucket, seen = pseudo_likelihood._Buckets(), {}
+    for i in range(5000):
+        other = seen.setdefault(bucket[f"w{i}"], f"w{i}")
+        if other != f"w{i}":
+            break
+    frequent, rare = other, f"w{i}"
+    rows = [(i, frequent) for i in range(30)] + [(30 + i, rare) for i in range(10)] + [(40, f"{rare} {rare} {frequent}")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = []
+    for hot in (1 << 16, 1):
+        monkeypatch.setattr(pseudo_likelihood, "HOT_WORDS", hot)
+        got = pseudo_likelihood.score(df, steps=3).collect()
+        assert len(got) == len(rows)
+        by_id = {r.doc_id: r for r in got}
+        assert by_id[0].log_likelihood - by_id[30].log_likelihood == pytest.approx(math.log(32 / 14), rel=1e-5)
+        assert by_id[40].mean_log_likelihood == pytest.approx(by_id[40].log_likelihood / 3)
+        scores.append(sorted((r.doc_id, round(r.log_likelihood, 6)) for r in got))
+    assert scores[0] == scores[1]
+
+
 def test_network_learns_context():
     counts = np.zeros((4, 4, 3))
     counts[0, 1, 0] = counts[1, 0, 1] = counts[2, 2, 2] = 100
