@@ -4,11 +4,15 @@ Numbers, names and units become typed placeholders, other words lose case and su
 of the benchmark items and of the documents are joined by their hash; a Bloom bitmap of fixed size lets a task drop
 windows that no item has before they are sent. Matched windows of one alignment (same distance between both places) must
 fill their slots consistently: a value of the item always stands for one value of the document. A document is
-contaminated by an item when at least ``SHARE`` of the item's different windows are left.
+contaminated by an item when at least ``SHARE`` of the item's different windows are left, or when the windows left in one
+alignment cover at least ``SHARE`` of the item's tokens.
 
-Defined results: NULL and empty texts match nothing; items below five tokens match documents that consist of the same
-tokens only; repeated rows and repeated items are judged each; empty tables give no rows. Other input columns are not
-read.
+An item's first word is read as a sentence's first word and, where the document has this same word, as a name. Items
+below five tokens are windows of their own length, which are also taken from longer documents; their numbers, names and
+units must be the same there.
+
+Defined results: NULL and empty texts match nothing; repeated rows and repeated items are judged each; empty tables give
+no rows. Other input columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -38,6 +42,7 @@ mph kmh kph hz khz mhz ghz w kw v a j kj cal kcal pa kpa k c f usd eur gbp dolla
 pounds percent degree degrees % $ € £ ° meter meters metre metres gram grams kilogram kilograms kilometer kilometers
 """.split())
 PART = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£°]")
+INSIDE = 16  # added to the length in hashes of short items inside longer documents
 WINDOW_SCHEMA = "w bigint, place int, slots array<string>"
 FACTORS = np.random.default_rng(5).integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
 
@@ -108,9 +113,74 @@ def _windows(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (total ^ (total >> np.uint64(31))).view(np.int64), row, place
 
 
-def windows(df: DataFrame, keep: list[str], bitmap: np.ndarray | None = None) -> DataFrame:
-    """Windows of the column ``text``, with the kept columns; only those in the bitmap where one is given."""
-    shared = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
+def _inside(ids: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, place) of the windows of a short item's length in rows of token hashes."""
+    begins = np.cumsum(counts) - counts
+    sizes = np.maximum(counts - length + 1, 0)
+    row = np.repeat(np.arange(len(counts)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    total = np.full(len(row), length + INSIDE, np.uint64)
+    for i in range(length):
+        total += ids[begins[row] + place + i] * FACTORS[i]
+    return (total ^ (total >> np.uint64(31))).view(np.int64), row, place
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """Windows of the items: w as documents have it, base (the window that it is a form of), the item's size in tokens,
+    and which slots a document must fill with the item's own value."""
+
+    def forms(text: str, known: _Words, hashes: _Hashes) -> Iterator[tuple]:
+        found, raws = tokens(text, known)
+        size = len(found)
+        if not size:
+            return
+        ids = np.array([hashes[t] for t in found], np.uint64)
+        named = [NAME, *found[1:]] if found[0][0].isalpha() else None
+        count = np.array([size])
+
+        def form(w: int, base: int, place: int, row: list[str], exact: int) -> tuple:
+            """The first ``exact`` tokens must keep their values."""
+            at = [i for i, t in enumerate(row[place:place + WINDOW]) if t in (NUMBER, NAME, UNIT)]
+            return w, base, place, size, [raws[place + i] for i in at], [i < exact for i in at]
+
+        whole = [(int(w), int(p)) for w, _, p in zip(*_windows(ids, count))]
+        for w, place in whole:
+            yield form(w, w, place, found, 0)
+        base = whole[0][0]
+        other = np.array([hashes[NAME], *ids[1:]], np.uint64)
+        if size < WINDOW:
+            yield form(int(_inside(ids, count, size)[0][0]), base, 0, found, size)
+            if named:
+                yield form(int(_inside(other, count, size)[0][0]), base, 0, named, size)
+        elif named:
+            yield form(int(_windows(other[:WINDOW], np.array([WINDOW]))[0][0]), base, 0, named, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hashes = _Words(), _Hashes()
+        for batch in batches:
+            for a, b in blocks_of(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)):
+                part = batch.slice(a, b - a)
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                    hashes.clear()
+                found = [(r, *f) for r, text in enumerate(part.column("text").to_pylist())
+                         for f in forms(text, known, hashes)]
+                row, w, base, place, size, slots, exact = zip(*found) if found else ((),) * 7
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("item_id").take(at), part.column("item_th").take(at), pa.array(w, pa.int64()),
+                     pa.array(base, pa.int64()), pa.array(place, pa.int32()), pa.array(size, pa.int32()),
+                     pa.array(slots, pa.list_(pa.string())), pa.array(exact, pa.list_(pa.bool_()))],
+                    names=["item_id", "item_th", "w", "base", "place", "size", "slots", "exact"])
+
+    return items.select("item_id", "item_th", "text").mapInArrow(
+        run, "item_id bigint, item_th bigint, w bigint, base bigint, place int, size int, slots array<string>, "
+             "exact array<boolean>")
+
+
+def windows(df: DataFrame, keep: list[str], bitmap: np.ndarray, lengths: list[int]) -> DataFrame:
+    """Windows of the column ``text`` that are in the bitmap, with the kept columns; also those of the given lengths."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +195,17 @@ def windows(df: DataFrame, keep: list[str], bitmap: np.ndarray | None = None) ->
                 found = [tokens(value, known) for value in part.column("text").to_pylist()]
                 counts = np.array([len(f[0]) for f in found], np.int64)
                 ids = np.fromiter((hashes[t] for f in found for t in f[0]), np.uint64, int(counts.sum()))
-                w, row, place = _windows(ids, counts)
-                if shared is not None:
+                kinds_found = []
+                for length, (w, row, place) in [(WINDOW, _windows(ids, counts)), *(
+                        (n, _inside(ids, counts, n)) for n in lengths)]:
                     bit = w.view(np.uint64) & np.uint64((1 << BITMAP_BITS) - 1)
                     hit = shared.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
                     w, row, place = w[hit == 1], row[hit == 1], place[hit == 1]
-                slots = [[raw for token, raw in zip(found[r][0][p:p + WINDOW], found[r][1][p:p + WINDOW])
-                          if token in (NUMBER, NAME, UNIT)] for r, p in zip(row.tolist(), place.tolist())]
+                    kinds_found.append((w, row, place, np.full(len(w), length)))
+                w, row, place, width = (np.concatenate(x) for x in zip(*kinds_found))
+                slots = [[raw for token, raw in zip(found[r][0][p:p + n], found[r][1][p:p + n])
+                          if token in (NUMBER, NAME, UNIT)]
+                         for r, p, n in zip(row.tolist(), place.tolist(), width.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c).take(pa.array(row)) for c in keep), pa.array(w),
                      pa.array(place.astype(np.int32)), pa.array(slots, pa.list_(pa.string()))],
@@ -150,18 +224,27 @@ def _bitmap(found: DataFrame) -> np.ndarray:
     return out
 
 
+def _bare(raw: Column) -> Column:
+    """A word without case and the signs around it."""
+    return F.lower(F.regexp_replace(raw, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, th (hash of the text), item_id, n_windows (of the item), n_matched, containment; contaminated pairs."""
     items = texts(benchmark, "item_id").select(
         F.col("doc_id").alias("item_id"), F.xxhash64("text").alias("item_th"), "text")
-    listed = materialize(windows(items, ["item_id", "item_th"]), "item-windows")
-    sizes = listed.groupBy("item_id", "item_th").agg(F.count_distinct("w").alias("n_windows"))
+    listed = materialize(item_windows(items), "item-windows")
+    sizes = listed.groupBy("item_id", "item_th").agg(F.count_distinct("base").alias("n_windows"))
+    lengths = [r["size"] for r in listed.filter(F.col("size") < WINDOW).select("size").distinct().collect()]
     rows = texts(docs).withColumn("th", F.xxhash64("text"))
-    found = windows(rows, ["doc_id", "th"], _bitmap(listed))
-    known = listed.select("item_id", "item_th", "w", F.col("place").alias("item_place"),
+    found = windows(rows, ["doc_id", "th"], _bitmap(listed), sorted(lengths))
+    known = listed.select("item_id", "item_th", "w", "base", "size", "exact", F.col("place").alias("item_place"),
                           F.col("slots").alias("item_slots"))
     # Very common windows fill many rows of documents, but each once per document and item place.
     pairs = found.join(broadcastable(known, listed.count(), 120), "w")
+    pairs = pairs.filter(~F.exists("exact", lambda x: x) | F.forall(
+        F.arrays_zip("exact", "item_slots", "slots"),
+        lambda x: ~x["exact"] | (_bare(x["item_slots"]) == _bare(x["slots"])))).drop("exact")
     pairs = materialize(pairs.withColumn("shift", F.col("place") - F.col("item_place")), "pairs")
     keys = ["doc_id", "th", "item_id", "item_th", "shift"]
     filled = pairs.filter(F.size("slots") > 0).select(
@@ -172,10 +255,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> Data
         F.col("same") < CONSISTENT)
     same = [pairs[k].eqNullSafe(broken[k]) for k in keys]
     left = pairs.join(broken, same[0] & same[1] & same[2] & same[3] & same[4], "left_anti")
-    counted = left.groupBy("doc_id", "th", "item_id", "item_th").agg(F.count_distinct("w").alias("n_matched"))
+    # Tokens of the item under the windows of one alignment; their places are as many as the item's at most.
+    placed = left.groupBy(*keys).agg(F.array_sort(F.collect_set("item_place")).alias("places"),
+                                     F.first("size").alias("size"))
+    width = F.least("size", F.lit(WINDOW))
+    placed = placed.withColumn("covered", width + F.aggregate(
+        F.zip_with(F.slice("places", 2, F.size("places")), F.slice("places", 1, F.size("places") - 1),
+                   lambda b, a: F.least(b - a, F.lit(WINDOW))), F.lit(0), lambda total, x: total + x))
+    covered = placed.groupBy("doc_id", "th", "item_id", "item_th").agg(F.max(F.col("covered") / F.col("size")).alias("covered"))
+    covered = covered.withColumnsRenamed({c: f"c_{c}" for c in ("doc_id", "th", "item_id", "item_th")})
+    counted = left.groupBy("doc_id", "th", "item_id", "item_th").agg(F.count_distinct("base").alias("n_matched"))
+    counted = counted.join(covered, counted["doc_id"].eqNullSafe(covered["c_doc_id"]) & (counted["th"] == covered["c_th"])
+                           & counted["item_id"].eqNullSafe(covered["c_item_id"])
+                           & (counted["item_th"] == covered["c_item_th"]))
     sizes = sizes.withColumnsRenamed({"item_id": "own_id", "item_th": "own_th"})
     joined = counted.join(sizes, counted["item_id"].eqNullSafe(sizes["own_id"]) & (counted["item_th"] == sizes["own_th"]))
-    return joined.withColumn("containment", F.col("n_matched") / F.col("n_windows")).filter(
+    return joined.withColumn("containment", F.greatest(
+        F.col("n_matched") / F.col("n_windows"), F.col("covered"))).filter(
         F.col("containment") >= share).select("doc_id", "th", "item_id", "n_windows", "n_matched", "containment")
 
 

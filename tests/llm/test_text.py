@@ -62,6 +62,20 @@ def test_leaks(spark, docs, none):
     assert decontaminate.matches(docs, benchmark.filter("false")).count() == 0
 
 
+def test_leaks_of_short_and_changed_items(spark):
+    """Verbatim copies of short items anywhere, the first word's two readings, and one changed word."""
+    changed = "the old man went to the market with his dog and bought some bread for his wife"
+    items = ["What is the capital of France?", "Blue whale song", "Rome 42", changed, "who wrote the long book of it"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [(1, "Question - What is the capital of France?"), (2, "so here is the blue whale song again"),
+             (3, "it was the Blue whale song of it"), (4, "we saw Rome 42 of it"), (5, "we saw Rome 43 of it"),
+             (6, "and so on " + changed.replace("dog", "cat")), (7, "of all - Rome is the capital of it"),
+             (8, "as he said Who wrote the long book of it")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).collect())
+    assert got == [(1, 0), (2, 1), (3, 1), (4, 2), (6, 3), (8, 4)]
+
+
 def kneser_ney(texts, symbols):
     """Plain version of the trigram model."""
     counts = Counter()
