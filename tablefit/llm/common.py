@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tablefit.functions.frames import materialize
 
-__all__ = ["blocks_of", "broadcastable", "map_batches", "materialize", "read", "small_batches",
-           "texts"]
+__all__ = ["blocks_of", "broadcastable", "finite_vectors", "map_batches", "materialize", "matrix_of", "read",
+           "small_batches", "texts"]
 
 # Most bytes of a lookup side that may be broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -39,6 +39,25 @@ def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                        F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
 
+def finite_vectors(df: DataFrame, id_column: str, vector_column: str, *others: Column) -> DataFrame:
+    """(id, v, others) of the rows whose vector is there and holds neither NULL nor non-finite components."""
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"),
+                     *others)
+    return rows.filter(F.col("v").isNotNull() & F.forall(
+        "v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+
+
+def matrix_of(column: pa.ListArray, width: int) -> np.ndarray:
+    """The rows of a list column as a matrix of doubles or longs; shorter rows are filled up with zeros."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == width).all():
+        return flat.reshape(len(column), width)
+    out = np.zeros((len(column), width), flat.dtype)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply a function to each Arrow batch of each partition."""
 

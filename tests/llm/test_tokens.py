@@ -8,7 +8,7 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tablefit.llm import pieces, token_counts
+from tablefit.llm import byte_pairs, pieces, token_counts
 
 PIECES, BYTES = (public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_50k.json"))
 PARTS = ["a", "aa", "the", " ", "  ", "\n", "▁", "\r", "\t", "é", "ß", "中", "😀", "\x00", "\u0301", "==", "....", "ing",
@@ -59,3 +59,25 @@ def test_count_cache(spark, docs, rows, none, tmp_path):
         assert stored.count() == len({t or "" for _, t in rows})
     assert token_counts.count_tokens(none, BYTES, cache).count() == 0
     assert {r.tokenizer for r in stored.collect()} == {hashlib.sha256(open(BYTES, "rb").read()).hexdigest()}
+
+
+def test_byte_pairs_equal_library(monkeypatch):
+    library, model = Tokenizer.from_file(BYTES), byte_pairs.BytePairModel(BYTES)
+    monkeypatch.setattr(byte_pairs, "KNOWN_BYTES", 100_000)  # the store is emptied many times
+    newer = "\u0558a \u0558 a\U000323b1b \U00016ff61"  # letters and digits that the library doesn't know as such
+    for text in [*odd_texts(1500), newer, "x" * 100_000, " " * 5000 + "a", "<|endoftext|>" * 3, "<|endoftext|", " \n a  b "]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert model.row(text) == (",".join(map(str, ids)), len(ids), library.decode(ids, skip_special_tokens=False))
+        assert model.encode(text) == ids
+    rnd = random.Random(2)
+    for _ in range(1500):
+        ids = [rnd.choice([rnd.randrange(50257), rnd.randrange(256)]) for _ in range(6)]
+        assert model.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_byte_pairs_rows(spark, docs, rows, none):
+    library = Tokenizer.from_file(BYTES)
+    want = Counter((d, len(ids := library.encode(t or "", add_special_tokens=False).ids), ",".join(map(str, ids)), t or "")
+                   for d, t in rows)
+    assert Counter(tuple(r) for r in byte_pairs.encode_decode(docs, BYTES).collect()) == want
+    assert byte_pairs.encode_decode(none, BYTES).count() == 0
