@@ -1,10 +1,14 @@
 """Order statistics and ordered windows against plain pandas, on both size paths."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablefit.functions.frames import materialize
+from tablefit.operators import select
 from tablefit.operators.order import with_average_rank, with_chunk, with_previous, with_range
 from tablefit.operators.select import quantiles, with_tile
 
@@ -41,6 +45,37 @@ def test_quantiles_with_infinities_and_empty_columns(spark):
     assert got["y"] is None
 
 
+def scans_of(spark, monkeypatch, cells):
+    """(values at all ranks, scans of the cells)."""
+    written = []
+    monkeypatch.setattr(select, "materialize", lambda df, name="part": written.append(name) or materialize(df, name))
+    n = cells.count()
+    targets = spark.range(1, n + 1).select(F.col("id").alias("rank"), F.col("id").alias("rank_id"))
+    found = select.values_at_ranks(cells, targets, [])
+    assert written[0] == "cells" and written.count("cells") == 1
+    rows = sorted((r["rank"], r["v"], r["less"]) for r in found.collect())
+    assert [r[0] for r in rows] == list(range(1, n + 1))
+    return rows, written.count("ranks") - 1  # the first writes the ranks that are asked for
+
+
+def test_few_scans_whatever_the_spread(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    wide = np.exp(rng.uniform(-200, 200, 400)) * rng.choice([-1, 1], 400)
+    close = np.nextafter(1.0, 2.0, dtype=float) ** np.arange(40)  # neighbours that differ in the last bits
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, math.inf, -math.inf, 3.0, 3.0, 3.0]
+    values = [*wide.tolist(), *close.tolist(), *odd]
+    rows, scans = scans_of(spark, monkeypatch, spark.createDataFrame([(v,) for v in values], "v double"))
+    assert [r[1] for r in rows] == sorted(values) and scans <= 6
+    assert all(less == sum(v < value for v in values) for _, value, less in rows[::40])
+
+
+def test_few_scans_of_whole_numbers(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    values = [*rng.integers(-(1 << 63), (1 << 63) - 1, 300).tolist(), -(1 << 63), (1 << 63) - 1, 0, 1, 2, 2, 2, *range(90, 130)]
+    rows, scans = scans_of(spark, monkeypatch, spark.createDataFrame([(int(v),) for v in values], "v long"))
+    assert [r[1] for r in rows] == sorted(values) and scans <= 6
+
+
 @pytest.mark.parametrize("limit", [5, 10_000])
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_tiles_split_ties_by_the_second_key(spark, frame, limit, by):
