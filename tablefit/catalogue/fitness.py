@@ -44,7 +44,8 @@ def scored(spark, folder, target: str = "value", tasks: tuple[str, ...] = TASKS)
     """Scored segments; many queries below read the same written table."""
     df = fit_events(spark, folder)
     roles = column_roles(df, target, "ts", BY)
-    return score_rows(df, roles, tasks, "event_id", BY)
+    # SQL can't grow a forest: the share that its contamination implies.
+    return score_rows(df, roles, tasks, "event_id", BY, anomaly="pinned")
 
 
 FIT_EVENTS = """fit_events AS (SELECT event_type, event_id, user_id, value, ts,
@@ -480,5 +481,6 @@ SELECT event_type, task, n, round(raw_fitness, 6) AS raw_fitness, tier, cap, rou
  round(greatest(0, fitness - margin)::DOUBLE, 6) AS interval_low,
  round(least(100, fitness + margin)::DOUBLE, 6) AS interval_high FROM v""")
 def flagship_fitness(spark, folder):
-    done = evaluate(fit_events(spark, folder), [REGRESSION, CLUSTERING], "value", "ts", "event_id", BY)
+    done = evaluate(fit_events(spark, folder), [REGRESSION, CLUSTERING], "value", "ts", "event_id", BY,
+                    anomaly="pinned")
     return rounded(done.fitness())

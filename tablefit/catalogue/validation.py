@@ -265,7 +265,7 @@ def before_after(spark, folder):
 @query("fraction_sweep")
 def sweep(spark, folder):
     df = events(spark, folder).select("event_id", "user_id", "value", "ts")
-    return rounded(fraction_sweep(df, "value", "ts", "event_id"))
+    return rounded(fraction_sweep(df, "value", "ts", "event_id", anomaly="pinned"))
 
 
 # ---------------------------------------------------------------- audit

@@ -60,7 +60,7 @@ def split_for(df: DataFrame, task: str, key: str, target: str | None, train_shar
 
 def remediate_and_validate(df: DataFrame, task: str, target: str | None, row_order: str, time: str | None = None,
                            actions: Sequence[str] | None = None, train_share: float = 0.7, seed: int = 42,
-                           policy: ImbalancePolicy = ImbalancePolicy(), anomaly: str = "pinned",
+                           policy: ImbalancePolicy = ImbalancePolicy(), anomaly: str = "contamination",
                            without: Sequence[str] = (), before: Evaluation | None = None) -> ClosedLoop:
     """Before and after a repair, judged on test rows that the repair never touched.
 
@@ -134,13 +134,15 @@ def in_sequence(train: DataFrame, test: DataFrame, row_order: str,
 
 
 def fraction_sweep(df: DataFrame, target: str, time: str, row_order: str,
-                   shares: Sequence[float] = (0.50, 0.60, 0.70, 0.80, 0.85), without: Sequence[str] = ()) -> DataFrame:
+                   shares: Sequence[float] = (0.50, 0.60, 0.70, 0.80, 0.85), without: Sequence[str] = (),
+                   anomaly: str = "contamination") -> DataFrame:
     """Sort repair of a series under several train shares: predicted against observed gain."""
-    before = evaluate(df, TIME_SERIES, target, time, row_order=row_order, without=[*without, "part", row_order])
+    before = evaluate(df, TIME_SERIES, target, time, row_order=row_order, without=[*without, "part", row_order],
+                      anomaly=anomaly)
     rows = []
     for share in shares:
         loop = remediate_and_validate(df, TIME_SERIES, target, row_order, time, ["sort_timestamps"], share,
-                                      without=without, before=before)
+                                      anomaly=anomaly, without=without, before=before)
         gain = before.actions(train_share=share).filter("action = 'sort_timestamps'").select("gain").first()
         r = loop.result.first()
         rows.append((share, r["train_fitness"], r["test_fitness"], r["partition_fitness"],

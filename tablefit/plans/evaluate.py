@@ -89,16 +89,18 @@ def ordered(df: DataFrame, row_order: str | None) -> tuple[DataFrame, str, list[
 
 
 def score_rows(df: DataFrame, roles: Roles, tasks: Sequence[str], row_order: str, by: Sequence[str] = (),
-               policy: ImbalancePolicy = ImbalancePolicy(), anomaly: str = "pinned", compat: bool = True) -> DataFrame:
+               policy: ImbalancePolicy = ImbalancePolicy(), anomaly: str = "contamination", compat: bool = True) -> DataFrame:
     """Metrics, eight scores, weights, raw fitness and policy per segment and task.
 
-    ``anomaly``: ``pinned`` takes the share that a fixed contamination implies,
-    ``contamination`` and ``threshold`` grow an isolation forest.
+    ``anomaly``: ``contamination`` and ``threshold`` grow an isolation forest in
+    each segment and count the rows beyond the segment's own score quantile, or
+    above a fixed score; ``extreme_ratio`` is the share above that score in both.
+    ``pinned`` reads no cell and takes the share that the contamination implies.
     """
     metrics = quality_metrics(df, roles, row_order, by, tasks)
     if anomaly != "pinned" and roles.measures:
         found = forest_anomaly(df, roles.measures, by, anomaly, keys=[row_order]).select(
-            *by, F.col("anomaly_ratio").alias("__share"))
+            *by, F.col("anomaly_ratio").alias("__share"), "extreme_ratio")
         metrics = materialize(join_on(metrics, found, by).withColumn(
             "anomaly_ratio", F.when(F.col("n") < 15, 0.0).otherwise(F.col("__share"))).drop("__share"), "metrics")
     scored = with_adaptive_weights(score_dimensions(metrics, tasks, policy), compat)
@@ -109,7 +111,7 @@ def score_rows(df: DataFrame, roles: Roles, tasks: Sequence[str], row_order: str
 
 def evaluate(df: DataFrame, tasks: str | Sequence[str], target: str | None = None, time: str | None = None,
              row_order: str | None = None, by: Sequence[str] = (), observed: float | None = None,
-             policy: ImbalancePolicy = ImbalancePolicy(), anomaly: str = "pinned", compat: bool = True,
+             policy: ImbalancePolicy = ImbalancePolicy(), anomaly: str = "contamination", compat: bool = True,
              confidence: float = 1.0, without: Sequence[str] = (), clean: bool = True,
              identifiers: Sequence[str] | None = None) -> Evaluation:
     """Fitness of a table, or of each of its segments, for one or several tasks.

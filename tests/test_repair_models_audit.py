@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tablefit.functions.lookups import CLASSIFICATION, REGRESSION, TIME_SERIES
 from tablefit.functions.stats import scatter
-from tablefit.operators import audit, models, remediate, splits
+from tablefit.operators import anomaly, audit, models, remediate, splits
 from tablefit.operators.anomaly import forest_anomaly
 from tablefit.operators.columns import lenient_timestamp
 from tablefit.operators.portfolio import signed_rank_exact
 from tablefit.plans.closed_loop import remediate_and_validate
+from tablefit.plans.evaluate import evaluate
 from tablefit.sources.readers import TableError, format_of, read_table, require_rows
 from tablefit.sources.writers import write_csv, write_report
 
@@ -187,6 +188,46 @@ def test_forest_on_few_rows_and_any_partitioning(spark):
     assert one == three and one["anomalies"] > 0
 
 
+def spiked(spark):
+    """A clean segment and one with two far rows in a hundred, as well as a segment of equal rows."""
+    x = np.random.default_rng(3).normal([10, 5], [2, 1], (200, 2)).tolist()
+    x[0], x[1] = [99999.0, 5.0], [-88888.0, 5.0]
+    rows = [(i, "spiked" if i < 100 else "clean", a, b) for i, (a, b) in enumerate(x)]
+    rows += [(200 + i, None, 1.0, 2.0) for i in range(40)]
+    return spark.createDataFrame(rows, "k long, g string, a double, b double")
+
+
+def test_forest_per_segment_from_the_data(spark):
+    df = spiked(spark)
+    one, three = ({r["g"]: r for r in forest_anomaly(df.repartition(p), ["a", "b"], ["g"], keys=["k"]).collect()}
+                  for p in (1, 3))
+    assert one == three
+    assert one["spiked"]["anomalies"] == 5 and one[None]["anomalies"] == 0  # five in a hundred; none among equal rows
+    assert one["spiked"]["extreme_ratio"] >= 0.02 and one["spiked"]["extreme_ratio"] != one["clean"]["extreme_ratio"]
+    # A segment alone has the same forest as among others.
+    alone = forest_anomaly(df.filter("g = 'clean'").drop("g"), ["a", "b"], keys=["k"]).first()
+    assert (alone["anomalies"], alone["extreme_ratio"]) == (one["clean"]["anomalies"], one["clean"]["extreme_ratio"])
+
+
+def test_forests_that_travel_or_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(anomaly, "ROWS_PER_CHUNK", 30)
+    rows = anomaly.imputed(spiked(spark), ["a", "b"], ["g"], ["g", "k"])
+    forests = anomaly.fit_forest(rows, ["a", "b"], ["g"], keys=["k"])
+    travel, joined = (sorted((r["k"], r["anomaly_score"]) for r in anomaly.anomaly_scores(
+        rows, ["a", "b"], forests, ["g"], ["k"], forest_bytes=size).collect()) for size in (1 << 30, 0))
+    assert travel == joined and len(travel) == 240
+
+
+def test_outlier_dimension_reads_the_cells(spark):
+    rows = {r["g"]: r for r in evaluate(spiked(spark).filter("g is not null"), "clustering", row_order="k", by=["g"],
+                                        without=["k"]).rows.collect()}
+    assert rows["spiked"]["out"] < 95 and rows["spiked"]["heavy_tail_cols"] == ["a"]
+    assert rows["spiked"]["extreme_ratio"] != rows["clean"]["extreme_ratio"]
+    strict = {r["g"]: r for r in evaluate(spiked(spark).filter("g is not null"), "clustering", row_order="k", by=["g"],
+                                          without=["k"], anomaly="threshold").rows.collect()}
+    assert strict["spiked"]["anomaly_ratio"] != strict["clean"]["anomaly_ratio"]
+
+
 def test_high_key_bits_count(spark):
     keys = spark.range(20).crossJoin(spark.range(100).withColumnRenamed("id", "row")).select(
         (F.col("id") * F.lit(1 << 40) + F.col("row")).alias("key"))
