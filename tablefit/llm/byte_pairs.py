@@ -5,8 +5,8 @@ become a doubly linked list of symbols; a priority queue holds the ranks of the
 rank (the leftmost on ties) is merged first, and entries whose symbols have changed since are skipped. Decoding
 concatenates the vocabulary's byte strings.
 
-No word reaches from a character that is no white space into a space, so texts are first cut into chunks before such
-spaces; chunks repeat, and a task remembers them up to a number of bytes.
+Words repeat, and a task remembers their ids and texts up to a number of bytes. A word holds whole characters, so the
+texts decoded from words make up the text decoded from all ids.
 
 Defined results: NULL and empty texts have no ids and decode to the empty text; repeated rows keep their rows; an empty
 table gives an empty table; bytes that are no UTF-8 decode to replacement characters and unknown ids to nothing. Other
@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 
 from tablefit.llm.common import blocks_of, texts
 
-# What a task remembers, in bytes with an allowance for each entry; longer chunks are not remembered.
+# What a task remembers, twice (a store and an older one), in bytes with an allowance for each entry; longer words are
+# not remembered.
 KNOWN_BYTES = 64 << 20
-ENTRY_BYTES, CHUNK_CHARS = 300, 128
+ENTRY_BYTES, WORD_CHARS = 300, 128
 SCHEMA = "doc_id bigint, n_tokens bigint, ids string, decoded string"
-# A space and what follows it up to the next space; and the only places where a text may be cut.
-PLAIN = re.compile(r" ?[^ ]+")
-BORDER = re.compile(r"(?<=\S)(?= \S)")
+# The words of a text, with classes for letters and numbers; ASCII texts are cut by the faster module.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{x}+| ?{n}+| ?[^\s{x}{n}]+|\s+(?!\S)|\s+"
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 
 
 def byte_characters() -> list[str]:
@@ -83,21 +84,23 @@ class BytePairModel:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocabulary[a] << self.shift | vocabulary[b]] = rank
             self.merged.append(vocabulary[a + b])
+        self.decimal = {i: str(i) for i in self.surface}
         self.special = {t["content"]: t["id"] for t in added}
         longest_first = sorted(self.special, key=len, reverse=True)
-        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if longest_first else None
+        self.special_strings = re.compile(f"({'|'.join(map(re.escape, longest_first))})")
         splitter = ByteLevel(add_prefix_space=False)
         newer = {"L": _newer(splitter, "L", "a"), "N": _newer(splitter, "N", "1")}
         self.newer = frozenset("".join(newer.values()))
         letters, numbers = (f"[\\p{{{kind}}}--[{regex.escape(found)}\\uFFFF]]" for kind, found in newer.items())
-        self.words, self.words_newer = (regex.compile(
-            rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{x}+| ?{n}+| ?[^\s{x}{n}]+|\s+(?!\S)|\s+")
-            for x, n in ((r"\p{L}", r"\p{N}"), (letters, numbers)))
+        self.words, self.words_newer = (regex.compile("(?V1)" + WORDS.format(x=x, n=n))
+                                        for x, n in ((r"\p{L}", r"\p{N}"), (letters, numbers)))
         self.forget()
 
     def forget(self) -> None:
         """Drop what is remembered: workers live on and serve other jobs."""
-        self.known: dict[str, tuple[str, int, str] | None] = {}
+        self.known_ids: dict[str, str] = {}
+        self.known_text: dict[str, str] = {}
+        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}
         self.held = 0
 
     def merge(self, word: bytes) -> list[int]:
@@ -106,79 +109,82 @@ class BytePairModel:
         size = len(ids)
         if size == 1:
             return ids
-        rank_of, merged, shift = self.rank.get, self.merged, self.shift
-        left, right = list(range(-1, size - 1)), list(range(1, size + 1))
-        # An entry is rank * size + place of the first symbol: ties go to the left.
-        queue = [rank * size + i for i in range(size - 1)
-                 if (rank := rank_of(ids[i] << shift | ids[i + 1])) is not None]
+        rank_of, merged, shift, bits = self.rank.get, self.merged, self.shift, size.bit_length()
+        left, right, mask = list(range(-1, size - 1)), list(range(1, size + 1)), (1 << bits) - 1
+        # Rank of the merge that each symbol and its neighbour have now. An entry is the rank above the place of the
+        # first symbol, so ties go to the left; it is stale where the rank is another one by now.
+        now = [rank_of(a << shift | b) for a, b in zip(ids, ids[1:])]
+        queue = [rank << bits | i for i, rank in enumerate(now) if rank is not None]
+        now.append(None)
         heapify(queue)
         while queue:
-            rank, i = divmod(heappop(queue), size)
-            j = right[i]
-            # Stale: the symbol is gone, or it or its neighbour has changed.
-            if j == size or ids[i] < 0 or rank_of(ids[i] << shift | ids[j]) != rank:
+            entry = heappop(queue)
+            i, rank = entry & mask, entry >> bits
+            if now[i] != rank:
                 continue
+            j = right[i]
             new = ids[i] = merged[rank]
-            ids[j] = -1
+            ids[j], now[j] = -1, None
             after = right[i] = right[j]
             if after < size:
                 left[after] = i
-                if (rank := rank_of(new << shift | ids[after])) is not None:
-                    heappush(queue, rank * size + i)
+                rank = now[i] = rank_of(new << shift | ids[after])
+                if rank is not None:
+                    heappush(queue, rank << bits | i)
+            else:
+                now[i] = None
             before = left[i]
-            if before >= 0 and (rank := rank_of(ids[before] << shift | new)) is not None:
-                heappush(queue, rank * size + before)
+            if before >= 0:
+                rank = now[before] = rank_of(ids[before] << shift | new)
+                if rank is not None:
+                    heappush(queue, rank << bits | before)
         return [i for i in ids if i >= 0]
 
-    def _chunk(self, chunk: str) -> list[int]:
-        words = self.words if chunk.isascii() or self.newer.isdisjoint(chunk) else self.words_newer
-        return [i for word in words.findall(chunk) for i in self.merge(word.encode())]
-
-    def encode(self, text: str) -> list[int]:
+    def cut(self, text: str) -> list[str]:
+        """The special strings and the words of a text."""
         out = []
-        for part in self.cut.split(text) if self.cut else [text]:
+        for part in self.special_strings.split(text) if self.special else [text]:
             if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                out += self._chunk(part)
+                out.append(part)
+            elif part.isascii():
+                out += ASCII_WORDS.findall(part)
+            else:
+                out += (self.words if self.newer.isdisjoint(part) else self.words_newer).findall(part)
         return out
 
+    def _ids(self, word: str) -> list[int]:
+        return [self.special[word]] if word in self.special else self.merge(word.encode())
+
+    def encode(self, text: str) -> list[int]:
+        return [i for word in self.cut(text) for i in self._ids(word)]
+
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.surface.get(i, b"") for i in ids]).decode(errors="replace")
 
-    def _remembered(self, chunk: str) -> tuple[str, int, str]:
-        found = self.known.get(chunk)
-        if found is None:
-            ids = self._chunk(chunk)
-            found = ",".join(map(str, ids)), len(ids), self.decode(ids)
-            if len(chunk) <= CHUNK_CHARS:
-                if self.held > KNOWN_BYTES:
-                    self.forget()
-                self.known[chunk] = found
-                self.held += 8 * len(chunk) + ENTRY_BYTES
-        return found
-
-    def _chunks(self, part: str) -> list[str]:
-        if "  " not in part and part[-1] != " ":
-            found = PLAIN.findall(part)
-            if not any(c[-1].isspace() or c[0] == " " and c[1].isspace() for c in found):
-                return found
-        return BORDER.split(part)
-
-    def row(self, text: str) -> tuple[str, int, str]:
-        """(ids joined by commas, number of ids, text decoded from them); a chunk holds whole characters."""
-        ids, total, out = [], 0, []
-        for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.special:
-                ids.append(str(self.special[part]))
-                total += 1
-                out.append(self.decode([self.special[part]]))
-            elif part:
-                chunk_ids, counts, decoded = zip(*map(self._remembered, self._chunks(part)))
-                ids += chunk_ids
-                total += sum(counts)
-                out += decoded
-        return ",".join(ids), total, "".join(out)
+    def rows(self, values: list[str]) -> Iterator[tuple[str, int, str]]:
+        """(ids joined by commas, number of ids, text decoded from them) of each text."""
+        cut = [self.cut(value) for value in values]
+        if self.held > KNOWN_BYTES:
+            # What isn't asked for again until the store is full once more goes.
+            self.older = self.known_ids, self.known_text
+            self.known_ids, self.known_text, self.held = {}, {}, 0
+        known_ids, known_text, (older_ids, older_text) = self.known_ids, self.known_text, self.older
+        long = []
+        for word in set().union(*cut).difference(known_ids):
+            if word in older_ids:
+                known_ids[word], known_text[word] = older_ids[word], older_text[word]
+            else:
+                ids = self._ids(word)
+                known_ids[word], known_text[word] = ",".join([self.decimal[i] for i in ids]), self.decode(ids)
+            if len(word) > WORD_CHARS:
+                long.append(word)
+            else:
+                self.held += 8 * len(word) + ENTRY_BYTES
+        for words in cut:
+            ids = ",".join(map(known_ids.__getitem__, words))
+            yield ids, ids.count(",") + 1 if ids else 0, "".join(map(known_text.__getitem__, words))
+        for word in long:
+            del known_ids[word], known_text[word]
 
 
 @lru_cache(maxsize=2)
@@ -198,7 +204,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             column = batch.column("text")
             for a, b in blocks_of(pc.binary_length(column).to_numpy(zero_copy_only=False), 1 << 20):
-                rows = [own.row(text) for text in column.slice(a, b - a).to_pylist()]
+                rows = list(own.rows(column.slice(a, b - a).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array([r[1] for r in rows], pa.int64()),
                      pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
