@@ -1,7 +1,8 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs, then an exact hash join.
 
 Only DataFrame functions are used. A rule is a host and the beginning of a path; it fits its host and all subdomains.
-Every URL yields one key for each (host suffix, listed path length); keys that pass the Bloom filter are joined exactly
+Every URL yields one key for each (host suffix of as many labels as a listed host may have, listed path length); keys that
+pass the Bloom filter are joined exactly
 with the list, and the longest fitting rule wins (same length: the longer host).
 
 Defined results: NULL or text without ``://`` has an empty host and path, fits no rule and gets the default verdict;
@@ -63,7 +64,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tupl
         .withColumn("key", F.concat("rule_host", "rule_path"))
     )
     # Path lengths are numbers of characters of listed paths: a short array, whatever the number of rules.
-    size = listed.agg(F.count("key").alias("n"), F.collect_set(F.length("rule_path")).alias("lengths")).first()
+    # No host suffix of more labels than any listed host has can be listed.
+    size = listed.agg(F.count("key").alias("n"), F.collect_set(F.length("rule_path")).alias("lengths"),
+                      F.max(F.size(F.split("rule_host", r"\."))).alias("labels")).first()
     judged = pages.select(*keep, canonical_host(F.col(url)).alias("host"), canonical_path(F.col(url)).alias("path"))
     if not size["n"]:
         return judged.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"),
@@ -71,6 +74,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tupl
     blocks = math.ceil(size["n"] * BITS_PER_KEY / (64 * WORDS))
     bloom = broadcastable(bloom_filter(listed, blocks), blocks, 8 * (WORDS + 1))
     labels = F.split("host", r"\.")
+    labels = F.slice(labels, F.greatest(F.size(labels) - size["labels"] + 1, F.lit(1)), size["labels"])
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     lengths = F.array(*[F.lit(n) for n in sorted(size["lengths"])])

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -31,6 +32,28 @@ def test_nearest(spark, monkeypatch):
     assert nearest.nearest(df.filter("false"), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_an_outlier_keeps_the_pruning(monkeypatch):
+    """A vector 10^4 times longer than the others makes few more pairs to measure again."""
+    rnd = np.random.default_rng(6)
+    vectors = rnd.normal(size=(3000, 32))
+    ids = np.arange(3000)
+    measured = []
+    original = nearest.distances
+    monkeypatch.setattr(nearest, "distances", lambda a, b: measured.append(len(a)) or original(a, b))
+    counts = []
+    for scale in (1, 1e4):
+        vectors[17] *= scale
+        measured.clear()
+        q, c, score = nearest.tile(ids[:50], vectors[:50], ids, vectors, 10)
+        counts.append(sum(measured))
+        assert max(measured) <= nearest.PAIRS
+        far = np.sqrt(((vectors[:50, None] - vectors[None]) ** 2).sum(axis=2))
+        far[np.arange(50), np.arange(50)] = np.inf
+        want = np.argsort(far, axis=1, kind="stable")[:, :10]
+        assert all(set(c[q == i]) == set(want[i]) for i in range(50))
+    assert counts[1] < 1.5 * counts[0] < 0.3 * 50 * 3000
+
+
 def slow_verdict(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
@@ -59,6 +82,18 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.filter("false"), rules).count() == 0
 
 
+def test_long_hosts(spark):
+    """A host of a megabyte costs as many keys as the longest listed host has labels."""
+    long = "a." * (1 << 19)
+    df = spark.createDataFrame([(1, f"http://{long}example.net/en/x"), (2, f"http://{long}"), (3, f"http://{'b' * (1 << 20)}.org/fr/"),
+                                (4, f"http://x.org/{'/fr/' * (1 << 18)}")], "page_id long, url string")
+    rules = literal_rows(spark, ["host", "path", "verdict"], RULES)
+    begun = time.monotonic()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, rules).collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: (None, "allow"), 3: ("org/fr/", "allow"), 4: (None, "allow")}
+    assert time.monotonic() - begun < 30
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     hosts = [f"h{i}.example.org" for i in range(500)]
     rules = literal_rows(spark, ["host", "path", "verdict"], [(h, "/", "block") for h in hosts])
