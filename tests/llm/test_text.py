@@ -1,10 +1,15 @@
 """Main text, leaks, quality and language-model scores."""
 
+import html
 import math
 import random
+import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tablefit.llm import decontaminate, main_text, pseudo_likelihood, quality
@@ -76,6 +81,237 @@ def test_leaks_of_short_and_changed_items(spark):
     assert got == [(1, 0), (2, 1), (3, 1), (4, 2), (6, 3), (8, 4)]
 
 
+LONG = "This is the text that is for the test of it and as long as it has to be for the rule. " * 4
+
+
+def test_names_that_only_mention_a_part():
+    for start in ("<div class='content has-sidebar'>", "<div id='page' class='fixed-header'>", "<section class='search-result-page'>",
+                  "<div class='sidebar'>", "<div class='page sidebarLayout'>"):
+        page = f"<body><ul class='main-menu'><li>{LONG}</ul>{start}<p>{LONG}</p><p>{LONG}</p></div></body>"
+        assert main_text.main_text(page).endswith("\n".join([LONG.strip()] * 2)), start
+    for name in ("sidebar", "site-footer", "post-comments", "commentBody", "ad box", "top_nav", "related-posts", "ad-slot"):
+        page = f"<div><p>{LONG}</p></div><div class='{name}'><p>{LONG} Not this.</p></div>"
+        assert main_text.main_text(page) == LONG.strip(), name
+
+
+def test_scripts_without_listed_words():
+    japanese = "これは日本語の長い段落であり、記事の本文として扱われるべきです。" * 4
+    russian = "Это длинный абзац русского текста, который должен остаться в статье целиком. " * 4
+    for text in (japanese, russian.strip()):
+        menu = "".join(f"<li><a href=x>{text[:5]}</a>" for _ in range(8))
+        assert main_text.main_text(f"<ul>{menu}</ul><div><p>{text}</p><p>{text}</p></div><div>{text[:4]}</div>").startswith(
+            f"{text}\n{text}")
+
+
+def test_hostile_pages_take_linear_time():
+    for page in ("<a '" * 250_000, "<b>" * 120_000 + "</i>" * 120_000, "<!" * 500_000, "<a href='" * 110_000, "< " * 500_000,
+                 "<i>" + "<div>" * 80_000 + "</i>" * 80_000, "<b>" * 80_000 + "x<hr>" * 80_000, "<script>" * 120_000,
+                 "<b>" * 80_000 + "<div></div>" * 80_000, "<p " + "a " * 500_000 + ">", "<a =" * 250_000):
+        begun = time.process_time()
+        main_text.main_text(page)
+        assert time.process_time() - begun < 6, page[:20]  # two readings at most; about a second here
+
+
+class Plain(HTMLParser):
+    """Blocks of well-formed pages by the library's parser: every text with the path of its open elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.path, self.found, self.block = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.block += tag in main_text.BLOCK
+        if tag == "br":
+            self.handle_data(" ")
+        if tag not in main_text.VOID:
+            self.path.append((tag, self.block, dict(attrs)))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _, _ in self.path):
+            while self.path.pop()[0] != tag:
+                pass
+        self.block += tag in main_text.BLOCK
+
+    def handle_data(self, data):
+        self.found.append((self.block, [(t, n) for t, n, _ in self.path], [a for _, _, a in self.path], data))
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
+
+
+def plain_main_text(page):
+    """The rules said again: where a text stands, link density, stop words and length, then nearest neighbours."""
+    parser = Plain()
+    parser.feed(page)
+    parser.close()
+    blocks = {}
+    for number, path, attributes, data in parser.found:
+        tags = [t for t, _ in path]
+        inside = False
+        bad = False
+        for (tag, _), own in zip(path, attributes):
+            names = f"{own.get('class') or ''} {own.get('id') or ''}".split()
+            bad |= tag in main_text.BAD_TAGS | main_text.RAW or (tag == "header" and not inside)
+            bad |= tag not in ("html", "body", "article", "main") and any(map(main_text._named_bad, names))
+            inside |= tag in ("article", "main")
+        if not bad:
+            entry = blocks.setdefault(number, [[], 0, next((t for t in reversed(tags) if t in main_text.BLOCK), "body"),
+                                               next((n for t, n in path if t in ("article", "main")), 0)])
+            entry[0].append(data)
+            entry[1] += len(" ".join(data.split())) if "a" in tags else 0
+    found = [(" ".join(html.unescape("".join(t)).split()), *rest) for t, *rest in blocks.values()]
+    found = [f for f in found if f[0]]
+    labels = []
+    for text, linked, tag, part in found:
+        words = [w.lower() for w in re.findall(r"[^\W\d_]+", text)]
+        share = sum(w in main_text.STOP_WORDS for w in words) / max(1, len(words))
+        if linked > 0.5 * len(text):
+            labels.append(False)
+        elif tag in main_text.HEADINGS:
+            labels.append(None)
+        elif part:
+            labels.append(True if len(text) >= 70 and (share >= 0.15 or len(text) >= 200) else None)
+        elif len(text) < 70:
+            labels.append(False if linked or "©" in text else None)
+        else:
+            labels.append(True if share >= 0.3 or share >= 0.15 and len(text) >= 200 else False if share < 0.15 else None)
+    out = []
+    for i, (text, _, _, part) in enumerate(found):
+        good = labels[i]
+        if good is None:
+            sides = []
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < len(found) and (found[j][3] != part or labels[j] is None):
+                    j += step
+                if 0 <= j < len(found):
+                    sides.append((abs(i - j), labels[j]))
+            least = min((d for d, _ in sides), default=0)
+            good = (not sides or any(g for _, g in sides)) if part else any(g for d, g in sides if d == least)
+        if good:
+            out.append(text)
+    return "\n".join(out)
+
+
+def test_given_pages_equal_plain_rules():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    assert [main_text.main_text(page) for page in pages] == [plain_main_text(page or "") for page in pages]
+
+
+def readings(raw: str) -> tuple[list[tuple], list[tuple], bool]:
+    """A raw word's (token, value) parts inside a sentence and as its first word, and whether it ends one.
+
+    Placeholders have the value that they stand for, other tokens none.
+    """
+    inside, begins = [], []
+    after_number = False
+    ends = raw.rstrip("\"')»”*&#%$")[-1:] in (".", "!", "?", ":")
+    for i, part in enumerate(re.findall(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£°]", raw)):
+        low = part.lower()
+        if part[0].isdigit():
+            found = "<number>", part
+        elif low in decontaminate.UNITS and (not low.isalpha() or after_number or len(low) > 2):
+            found = "<unit>", low
+        else:
+            found = low, None
+        after_number = found[0] == "<number>"
+        named = ("<name>", low) if found[1] is None and part[0].isupper() and not part.isupper() else found
+        inside.append(named)
+        begins.append(named if i else found)
+    return inside, begins, ends
+
+
+def plain_tokens(text):
+    """(token, value) of each token, read line by line."""
+    out = []
+    for line in (text or "").split("\n"):
+        first = True
+        for raw in line.split():
+            inside, begins, ends = readings(raw)
+            out += begins if first else inside
+            first = ends
+    return out
+
+
+def plain_leaks(docs, items):
+    """(doc_id, item_id) by comparing all template windows of all pairs, without hashes."""
+    found = []
+    for item_id, text in items:
+        item = plain_tokens(text)
+        size, n = len(item), max(len(item) - 4, 1)
+        if not size:
+            continue
+        readings = [item]
+        if item[0][1] is None and item[0][0].isalpha():
+            readings.append([("<name>", item[0][0]), *item[1:]])
+        for doc_id, text in docs:
+            doc = plain_tokens(text)
+            short = size < 5 and len(doc) != size
+            matched, cover, sure = set(), 0, False
+            for shift in range(-size, len(doc)):
+                bases, places, pairs = set(), set(), set()
+                for i in range(n):
+                    for reading in readings if i == 0 else readings[:1]:
+                        mine, theirs = reading[i:i + 5], doc[max(i + shift, 0):][:len(reading[i:i + 5])]
+                        if i + shift < 0 or [t for t, _ in mine] != [t for t, _ in theirs]:
+                            continue
+                        exact = short or all(v is not None for _, v in mine)
+                        if any(a != b for k, ((_, a), (_, b)) in enumerate(zip(mine, theirs))
+                               if a is not None and (exact or reading is not item and k == 0)):
+                            continue
+                        bases.add(tuple(t for t, _ in item[i:i + 5]))
+                        places |= {i + k for k in range(len(mine))}
+                        pairs |= {(a, b) for (_, a), (_, b) in zip(mine, theirs) if a is not None}
+                if not bases or len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
+                    continue
+                kinds = {tuple(t for t, _ in item[i:i + 5]) for i in range(n)}
+                share = len(places) / size
+                sure |= len(bases) == len(kinds) or len(bases) > 1 and share >= 0.8 and all(a == b for a, b in pairs)
+                matched |= bases
+                cover = max(cover, share)
+            if matched and max(len(matched) / len(kinds), cover) >= 0.8 and (sure or size >= 12):
+                found.append((doc_id, item_id))
+    return found
+
+
+def test_leaks_equal_brute_force(spark):
+    rnd = random.Random(12)
+    names, units = ["Anna", "Ben", "Carla", "Emil", "Fred"], ["km", "kg", "hours"]
+    plain = ["the", "of", "to", "was", "with", "train", "gave", "left"]
+
+    def sentence(n):
+        kinds = [lambda: rnd.choice(plain)] * 6 + [lambda: rnd.choice(names), lambda: str(rnd.randint(1, 4)),
+                                                   lambda: rnd.choice(units)]
+        return " ".join(rnd.choice(kinds)() for _ in range(n)) + rnd.choice([".", "", ",", "\n"])
+
+    def changed(text):
+        words = text.split(" ")
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            words[rnd.randrange(len(words))] = rnd.choice(plain + names + ["3", "4", "km"])
+        swap = dict(zip(names, rnd.choice([names, names[::-1], [names[0]] * 5])))
+        return " ".join(swap.get(w, w) for w in words)
+
+    story = "Anna gave 3 apples to Ben and Ben gave 5 apples to Carla, how many apples are left over now?"
+    items = [(i, sentence(rnd.choice([1, 2, 3, 4, 5, 6, 7, 9, 13, 20]))) for i in range(25)]
+    items += [(100, story), (101, "What is the capital of France?"), (102, "1 2 3 4 5 6"), (103, None), (104, ""), (1, "Ben")]
+    docs = [(i, sentence(rnd.randint(0, 6)) + " " + changed(rnd.choice(items[:26])[1]) + " " + sentence(rnd.randint(0, 6)))
+            for i in range(120)]
+    docs += [(200, story.replace("to Ben", "to Emil").replace("and Ben", "and Fred")),
+             (201, story.replace("Ben", "Anna").replace("Carla", "Anna").replace("3", "7").replace("5", "7")),
+             (202, "I like it. Berlin is the capital of Germany and it is large."), (203, None), (204, ""),
+             (205, story.replace("Ben", "Otto").replace("3", "8")), (206, "so 9 8 7 6 5 4 it is"), (207, "so 1 2 3 4 5 6 it is"),
+             (208, "Is it known? What is the capital of Spain? It is."), (209, "It said: what is the capital of France? Yes")]
+    frames = (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = [(r.doc_id, r.item_id) for r in decontaminate.matches(*frames).collect()]
+    assert sorted(got) == sorted(plain_leaks(docs, items))
+    hits = {g for g in got if g[0] >= 200}
+    assert {(205, 100), (207, 102), (208, 101), (209, 101)} <= hits
+    assert not {(200, 100), (201, 100), (202, 101), (206, 102)} & hits
+
+
 def kneser_ney(texts, symbols):
     """Plain version of the trigram model."""
     counts = Counter()
