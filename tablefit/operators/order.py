@@ -1,8 +1,11 @@
 """Row order as data: previous values and differences without a one-task window.
 
-The order key is cut into ranges of similar size; each range is windowed on
+The order key is cut into ranges of bounded size; each range is windowed on
 its own, and its first rows take the last value of the ranges before it from
-an edge table of one row per segment and range.
+an edge table of one row per segment and range. Where one sketch would have to
+tell too many ranges apart, ranges of ranges are cut first and each of them is
+cut again, so no range grows with the table: the driver holds one number for
+each range (16 MB for 10^12 rows).
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from tablefit.functions.stats import missing
 from tablefit.operators.select import sortable, with_tile
 
 ROWS_PER_RANGE = 500_000
-MAX_RANGES = 20_000
+# Ranges that one sketch tells apart.
+FANOUT = 2_000
 SAMPLE_PER_RANGE = 200
 EXACT_DOUBLE = 2.0**53
 
@@ -43,11 +47,14 @@ def _splits(df: DataFrame, key: Column, rows: int, ranges: int) -> tuple[list[fl
     sample = df.select(key.cast("double").alias("k"))
     if share < 1.0:
         sample = sample.sample(fraction=share, seed=7)
-    probs = [i / ranges for i in range(1, ranges)]
-    found = sample.agg(F.approx_percentile("k", probs, 20 * ranges).alias("q")).first()["q"] or []
-    ends = [v for v in found if math.isfinite(v)]
+    outer, inner = math.ceil(ranges / FANOUT), min(ranges, FANOUT)
+    wide = _splits(df, key, rows, outer)[0] if outer > 1 else []
+    parts = _bucket(sample, F.col("k"), wide, "__outer") if wide else sample.withColumn("__outer", F.lit(0))
+    probs = [i / inner for i in range(1, inner)]
+    found = parts.groupBy("__outer").agg(F.approx_percentile("k", probs, 20 * inner).alias("q")).collect()
+    ends = [v for r in found for v in r["q"] or [] if math.isfinite(v)]
     hot = [v for v, times in Counter(ends).items() if times > 1 and abs(v) < EXACT_DOUBLE]
-    return sorted(set(ends) | {math.nextafter(v, math.inf) for v in hot}), hot
+    return sorted({*wide, *ends, *(math.nextafter(v, math.inf) for v in hot)}), hot
 
 
 def _bucket(df: DataFrame, key: Column, ends: list[float], name: str) -> DataFrame:
@@ -66,7 +73,7 @@ def with_range(df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PE
     the tie-break. ``rows`` is an upper bound of the row count, where known.
     """
     rows = df.count() if rows is None else rows
-    ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
+    ranges = math.ceil(rows / rows_per_range)
     if ranges <= 1:
         return df.withColumn("__range", F.lit(0).cast("long"))
     first = sortable(df, keys[0])
@@ -82,16 +89,30 @@ def with_range(df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PE
     return marked.withColumn("__range", (F.col("__r1") * width + tied).cast("long")).drop("__r1", "__r2")
 
 
+def _last_given(ranged: DataFrame, given: dict[str, Column], spot: list[str], keys: list[str]) -> DataFrame:
+    """``__last_<value>``: the given value with the greatest keys, by aggregates over plain numbers alone.
+
+    Of two keys, the greatest first one is found first; only its rows compete by the second.
+    """
+    place = {k: sortable(ranged, k) for k in keys}
+    if len(keys) == 2:
+        firsts = ranged.groupBy(*spot).agg(*[F.max(F.when(x.isNotNull(), place[keys[0]])).alias(f"__first_{v}")
+                                             for v, x in given.items()])
+        tied = join_on(ranged, firsts, spot)
+        best = {v: F.when(x.isNotNull() & (place[keys[0]] == F.col(f"__first_{v}")), place[keys[1]])
+                for v, x in given.items()}
+    else:
+        tied, best = ranged, {v: F.when(x.isNotNull(), place[keys[0]]) for v, x in given.items()}
+    return tied.groupBy(*spot).agg(*[F.max_by(v, best[v]).alias(f"__last_{v}") for v in given])
+
+
 def with_previous(df: DataFrame, values: Sequence[str], keys: Sequence[str], by: Sequence[str] = (),
                   rows_per_range: int = ROWS_PER_RANGE, rows: int | None = None) -> DataFrame:
     """Add ``prev_<value>``: the last given value of an earlier row in key order."""
     by, keys, values = list(by), list(keys), list(values)
     ranged = with_range(df, keys, rows_per_range, rows)
     given = {v: F.when(~missing(df, v), F.col(v)) for v in values}
-    place = F.struct(*keys)
-    edges = ranged.groupBy(*by, "__range").agg(
-        *[F.max_by(v, F.when(given[v].isNotNull(), place)).alias(f"__last_{v}") for v in values]
-    )
+    edges = _last_given(ranged, given, [*by, "__range"], keys)
     before = W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     edges = edges.select(
         *by, "__range", *[F.last(f"__last_{v}", ignorenulls=True).over(before).alias(f"__edge_{v}") for v in values]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablefit.functions.frames import materialize
-from tablefit.operators import select
+from tablefit.operators import order, select
 from tablefit.operators.order import with_average_rank, with_chunk, with_previous, with_range
 from tablefit.operators.select import quantiles, with_tile
 
@@ -118,6 +118,20 @@ def test_a_frequent_key_value_is_split_into_several_ranges(spark, frame):
     assert sizes.agg(F.max("count")).first()[0] < 120
 
 
+@pytest.mark.parametrize("keys", [["i"], ["t", "i"]])
+def test_nested_ranges_stay_small(spark, frame, monkeypatch, keys):
+    monkeypatch.setattr(order, "FANOUT", 4)
+    df = spark.createDataFrame(frame)
+    sizes = with_range(df, keys, 12).groupBy("__range").count()
+    assert sizes.count() > 4 * 4 and sizes.agg(F.max("count")).first()[0] < 40
+    got = with_previous(df, ["x"], keys, ["g"], rows_per_range=12)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    merged = frame.sort_values(keys).copy()
+    merged["want"] = merged.groupby("g")["x"].transform(lambda s: s.ffill().shift(1).ffill())
+    both = got.toPandas().merge(merged[["i", "want"]], on="i")
+    np.testing.assert_allclose(both["prev_x"].astype(float), both["want"], rtol=0)
+
+
 @pytest.mark.parametrize("limit", [10, 10_000])
 def test_average_rank(spark, frame, limit, monkeypatch):
     monkeypatch.setattr("tablefit.operators.order.ROWS_PER_RANGE", 30)
