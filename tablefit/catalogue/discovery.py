@@ -53,7 +53,7 @@ UNION ALL SELECT 'orders', 'o_orderstatus', 2, count(*), count(o_orderstatus), c
 UNION ALL SELECT 'orders', 'o_orderpriority', 5, count(*), count(o_orderpriority), count(DISTINCT o_orderpriority),
  NULL, false FROM orders""")
 def column_evidence(spark, folder):
-    rows = evidence(spark, folder).filter("dataset = 'orders'")
+    rows = discover.column_evidence(table(spark, folder, "orders"), "orders", ROW_ORDERS["orders"], exact=True)
     return rows.select("dataset", "column", "position", "n", "given", "n_unique", F.round("std", 4).alias("std"),
                        "likely_time")
 

@@ -192,6 +192,27 @@ def lenient_times(spark, folder):
         F.unix_micros(F.max(at)).alias("last_us"))
 
 
+@query("column_roles", DIRTY_EVENTS, sql="""
+WITH t AS (SELECT ts_text, strftime(ts, '%m/%d/%Y') AS us_date, CASE WHEN event_id % 2 = 0 THEN 'none'
+  ELSE strftime(ts, '%Y-%m-%d') END AS half, event_id::VARCHAR AS code FROM dirty_events),
+s AS (SELECT avg((TRY_CAST(ts_text AS TIMESTAMP) IS NOT NULL)::INT) AS ts_text,
+ avg((try_strptime(us_date, '%m/%d/%Y') IS NOT NULL)::INT) AS us_date,
+ avg((TRY_CAST(half AS TIMESTAMP) IS NOT NULL)::INT) AS half,
+ avg((TRY_CAST(code AS DOUBLE) IS NULL)::INT) AS code FROM t)
+SELECT 0::INT AS position, 'event_type' AS "column", 'categorical' AS role UNION ALL SELECT 1, 'value', 'numeric'
+UNION ALL SELECT 2, 'ts', 'datetime'
+UNION ALL SELECT 3, 'ts_text', CASE WHEN ts_text >= 0.8 THEN 'datetime' ELSE 'categorical' END FROM s
+UNION ALL SELECT 4, 'us_date', CASE WHEN us_date >= 0.8 THEN 'datetime' ELSE 'categorical' END FROM s
+UNION ALL SELECT 5, 'half', CASE WHEN half >= 0.8 THEN 'datetime' ELSE 'categorical' END FROM s
+UNION ALL SELECT 6, 'code', CASE WHEN code > 0 THEN 'datetime' ELSE 'categorical' END FROM s""")
+def column_roles(spark, folder):
+    df, day = events(spark, folder), F.date_format("ts", "yyyy-MM-dd")
+    return cols.role_table(df.select(
+        "event_type", "value", "ts", "ts_text", F.date_format("ts", "MM/dd/yyyy").alias("us_date"),
+        F.when(F.pmod("event_id", F.lit(2)) == 0, "none").otherwise(day).alias("half"),
+        F.col("event_id").cast("string").alias("code")))
+
+
 @query("complete_rows", DIRTY_LINEITEM, sql="""
 SELECT l_linestatus, count(*) AS n, count(*) FILTER (WHERE l_quantity IS NOT NULL) AS with_quantity,
  count(*) FILTER (WHERE l_quantity IS NOT NULL AND l_tax IS NOT NULL) AS complete

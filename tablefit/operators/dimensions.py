@@ -28,9 +28,9 @@ from tablefit.functions.stats import (
     missing,
     total,
 )
-from tablefit.operators.columns import Roles, lenient_timestamp
+from tablefit.operators.columns import Roles, distinct_counts, lenient_timestamp
 from tablefit.operators.order import with_previous
-from tablefit.operators.profile import distinct_counts, duplicate_rows, pair_correlations
+from tablefit.operators.profile import duplicate_rows, pair_correlations
 from tablefit.operators.select import medians, with_tile
 
 HIGH_MISSING = 0.40

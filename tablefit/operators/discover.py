@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablefit.functions.frames import materialize
 from tablefit.functions.lookups import (
     CLASS_TARGET_PATTERN,
     CLASSIFICATION,
@@ -28,44 +29,56 @@ from tablefit.functions.lookups import (
     canonical_task,
 )
 from tablefit.functions.stats import as_number, dtype_of, is_integer, is_numeric, missing
-from tablefit.operators.columns import kind_of, lenient_timestamp, numeric_text, read_time
+from tablefit.operators.columns import (
+    SKETCH_ERROR,
+    distinct_counts,
+    fitting_layouts,
+    kind_of,
+    lenient_timestamp,
+    time_likeness,
+)
 from tablefit.operators.order import with_previous
-from tablefit.operators.profile import distinct_counts
-
-
-def time_likeness(column: str) -> dict[str, Column]:
-    """Aggregates over all given cells of a text column: are all numbers, what share reads as times, with likely years."""
-    cell = F.col(column)
-    shares = {}
-    for name, days_first in (("months", False), ("days", True)):
-        at = read_time(cell, days_first)
-        shares[name] = (F.avg(F.when(cell.isNotNull(), at.isNotNull().cast("double"))),
-                        F.avg(F.year(at).between(1900, 2100).cast("double")))
-    days_first = F.coalesce(shares["days"][0] > shares["months"][0], F.lit(False))
-    return {
-        "all_numbers": numeric_text(column),
-        "parsed": F.when(days_first, shares["days"][0]).otherwise(shares["months"][0]),
-        "years_ok": F.when(days_first, shares["days"][1]).otherwise(shares["months"][1]),
-    }
+
+
+# Numbers of distinct values, and shares of the given cells, that decisions below depend on.
+DISTINCT_LIMITS = (1, 2, 5, 10, 12, 15, 20, 30)
+DISTINCT_SHARES = (0.05, 0.5, 0.9, 1.0)
+
+
+def near_a_limit(sketch: float, given: int, errors: float = 6.0) -> bool:
+    """May the true count be on another side of a limit than the sketch's estimate? ``errors``: standard errors allowed."""
+    low, high = sketch / (1 + errors * SKETCH_ERROR), sketch / (1 - errors * SKETCH_ERROR)
+    return any(low - 1 <= x <= high + 1 for x in (*DISTINCT_LIMITS, *(share * given for share in DISTINCT_SHARES)))
 
 
 def column_evidence(df: DataFrame, dataset: str, row_order: str | None = None,
-                    without: Sequence[str] = ()) -> DataFrame:
+                    without: Sequence[str] = (), exact: bool = False) -> DataFrame:
     """One row per column: kind, counts, spread, sequence behaviour, time likeness.
 
-    ``row_order`` is the arrival key; it is needed to recognise running numbers.
+    ``row_order`` is the arrival key; it is needed to recognise running numbers. Distinct values are counted by sketches
+    in the same scan; columns whose sketch is near a limit that decisions depend on (or all with ``exact``) are counted
+    exactly.
     """
     columns = [c for c in df.columns if c not in without]
     kinds = {c: kind_of(dtype_of(df, c)) for c in columns}
     integers = [c for c in columns if is_integer(dtype_of(df, c))]
     numbers = {c: as_number(df, c) for c in columns if is_numeric(dtype_of(df, c))}
+    layouts = fitting_layouts(df, [c for c in columns if kinds[c] == "text"])
     base = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(~missing(df, c)).alias(f"given_{c}") for c in columns],
+        *[F.approx_count_distinct(F.when(~missing(df, c), F.col(c)), SKETCH_ERROR).alias(f"distinct_{c}") for c in columns],
         *[agg.alias(f"{name}_{c}") for c, x in numbers.items()
           for name, agg in (("min", F.min(x)), ("max", F.max(x)), ("std", F.stddev_samp(x)))],
-        *[agg.alias(f"{name}_{c}") for c in columns if kinds[c] == "text" for name, agg in time_likeness(c).items()],
-    ).crossJoin(distinct_counts(df, columns))
+        *[agg.alias(f"{name}_{c}") for c in columns if kinds[c] == "text"
+          for name, agg in time_likeness(c, layouts[c]).items()],
+    )
+    # One row, which the next decision and all rows below read.
+    base = materialize(base, "evidence")
+    sketch = base.first()
+    close = [c for c in columns if exact or near_a_limit(sketch[f"distinct_{c}"], sketch[f"given_{c}"])]
+    if close:
+        base = base.drop(*[f"distinct_{c}" for c in close]).crossJoin(distinct_counts(df, close))
     if row_order and integers:
         base = base.crossJoin(_steps(df, integers, row_order))
     none = F.lit(None)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,14 @@ from tablefit.functions.stats import (
     skewness,
     total,
 )
-from tablefit.operators.columns import kind_of, numeric_columns
+from tablefit.operators.columns import distinct_counts, kind_of, numeric_columns
 from tablefit.operators.select import medians
 
-# Pair correlations per aggregate; more pairs are computed in further scans.
+# Pair correlations per aggregate; more pairs are summed by matrix products, in one scan whatever their number.
 PAIRS_PER_PASS = 300
+# What a task may hold of such sums before it sends them on.
+GRAM_BYTES = 256 << 20
+ROWS_PER_PRODUCT = 2048
 
 
 def _columns(df: DataFrame, by: Sequence[str], columns: Sequence[str] | None) -> list[str]:
@@ -82,17 +87,6 @@ def _moments(x: Column) -> dict[str, Column]:
     }
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
-                    exact: bool = True) -> DataFrame:
-    """``distinct_<column>`` per segment, without NULL and NaN."""
-
-    def count(c: str) -> Column:
-        cell = F.when(~missing(df, c), F.col(c))
-        return F.count_distinct(cell) if exact else F.approx_count_distinct(cell, 0.02)
-
-    return df.groupBy(*by).agg(*[count(c).alias(f"distinct_{c}") for c in columns])
-
-
 def shape_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Per segment and column: count, adjusted skewness and adjusted excess kurtosis."""
     by = list(by)
@@ -168,15 +162,9 @@ def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None, by: S
     pairs += [(c, target) for c in columns] if target else []
     if centres is None:
         centres = column_centres(source, [*columns, target] if target else columns)
-    full = frozenset(columns if listwise else ())
-    tables = [
-        _pair_pass(source, pairs[at:at + PAIRS_PER_PASS], centres, by, full)
-        for at in range(0, len(pairs), PAIRS_PER_PASS)
-    ]
-    result = tables[0]
-    for table in tables[1:]:
-        result = result.unionByName(table)
-    return result
+    if len(pairs) > PAIRS_PER_PASS:
+        return gram_correlations(source, [*columns, target] if target else columns, centres, by, only_target)
+    return _pair_pass(source, pairs, centres, by, frozenset(columns if listwise else ()))
 
 
 def column_centres(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -219,6 +207,75 @@ def _pair_pass(df: DataFrame, pairs: Sequence[tuple[str, str]], centres: dict[st
     return wide.select(*by, F.inline(F.array(*[entry(i, a, b) for i, (a, b) in enumerate(pairs)])))
 
 
+def gram_correlations(df: DataFrame, columns: Sequence[str], centres: dict[str, float],
+                      by: Sequence[str] = (), only_last: bool = False) -> DataFrame:
+    """Pearson r of all column pairs (``only_last``: of the last column with all others) over the rows that have both,
+    in one scan: ``feat_a, feat_b, n, r``.
+
+    Each task sums the products of blocks of rows (the cells, their squares and where they are given) as matrices, one
+    set per segment, and sends a segment's sums when all together pass ``GRAM_BYTES`` or its rows end. A pair of which
+    both cells are given and one is infinite has no r.
+    """
+    columns, by = list(columns), list(by)
+    size = len(columns)
+    right = np.arange(size - 1 if only_last else 0, size)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = df.select(*by, F.array(*[as_number(df, c) - F.lit(centres[c]) for c in columns]).alias("__x"))
+    sums = ("n", "sa", "sb", "qa", "qb", "p")
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "a int", "b array<int>",
+                        *(f"{s} array<double>" for s in sums)])
+
+    def products(x: np.ndarray) -> np.ndarray:
+        """``sums`` of each column (rows) with each one on the right."""
+        given = ~np.isnan(x)
+        far = np.isinf(x)
+        filled = np.where(given & ~far, x, 0.0)
+        mask = given.astype(float)
+        square = filled * filled
+        out = np.stack([mask.T @ mask[:, right], filled.T @ mask[:, right], mask.T @ filled[:, right],
+                        square.T @ mask[:, right], mask.T @ square[:, right], filled.T @ filled[:, right]])
+        if far.any():
+            out[1:, far.T.astype(float) @ mask[:, right] + mask.T @ far[:, right].astype(float) > 0] = np.nan
+        return out
+
+    def emit(head: pa.RecordBatch, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(size - 1):
+            later = right > a
+            yield pa.RecordBatch.from_arrays(
+                [*head.columns, pa.array([a], pa.int32()), pa.array([right[later]], pa.list_(pa.int32())),
+                 *(pa.array([x]) for x in total[:, a, later])], names=[*by, "a", "b", *sums])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[pa.RecordBatch, np.ndarray]] = {}
+        for batch in batches:
+            keys = batch.select(by)
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(k.to_pylist() for k in keys.columns)) if by else [()] * batch.num_rows):
+                groups.setdefault(key, []).append(i)
+            flat = batch.column("__x").flatten().to_numpy(zero_copy_only=False)
+            x = flat.reshape(batch.num_rows, size)
+            for key, at in groups.items():
+                for start in range(0, len(at), ROWS_PER_PRODUCT):
+                    part = products(x[at[start:start + ROWS_PER_PRODUCT]])
+                    if key in held:
+                        held[key][1][:] += part
+                    else:
+                        held[key] = keys.slice(at[0], 1), part
+                if len(held) * len(sums) * 8 * size * len(right) > GRAM_BYTES:
+                    for head, total in held.values():
+                        yield from emit(head, total)
+                    held.clear()
+        for head, total in held.values():
+            yield from emit(head, total)
+
+    spread = rows.mapInArrow(run, schema).select(*by, "a", F.explode(F.arrays_zip("b", *sums)).alias("sum"))
+    total = spread.groupBy(*by, "a", F.col("sum.b").alias("b")).agg(*[F.sum(f"sum.{s}").alias(s) for s in sums])
+    label = F.array(*map(F.lit, columns))
+    return total.select(
+        *by, F.get(label, F.col("a")).alias("feat_a"), F.get(label, F.col("b")).alias("feat_b"),
+        F.col("n").cast("long").alias("n"), correlation_of_sums(*sums).alias("r"))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Full symmetric matrix in long form; undefined values are 0, rounded to 3 digits."""
     by = list(by)

@@ -16,9 +16,15 @@ from pyspark.sql import types as T
 
 from tablefit.functions.lookups import CLASSIFICATION, REGRESSION, REPAIR_ORDER, TIME_SERIES
 from tablefit.functions.stats import as_number, dtype_of, is_numeric, kurtosis, missing, scatter
-from tablefit.operators.columns import clip_columns, fill_missing, lenient_timestamp, numeric_columns
+from tablefit.operators.columns import (
+    clip_columns,
+    distinct_counts,
+    fill_missing,
+    lenient_timestamp,
+    numeric_columns,
+)
 from tablefit.operators.dimensions import HEAVY_TAIL, HIGH_MISSING, LEAKAGE
-from tablefit.operators.profile import distinct_counts, pair_correlations
+from tablefit.operators.profile import pair_correlations
 from tablefit.operators.select import medians, quantiles, with_tile
 
 MINORITY_PCT = 15.0

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablefit.functions.frames import join_on, materialize
-from tablefit.functions.lookups import CLASSIFICATION, CLUSTERING, TIME_SERIES, ImbalancePolicy, canonical_task
+from tablefit.functions.lookups import CLASSIFICATION, CLUSTERING, CODES, TIME_SERIES, ImbalancePolicy, canonical_task
 from tablefit.operators.actions import counterfactuals, ranked_actions, scenarios
 from tablefit.operators.anomaly import forest_anomaly
 from tablefit.operators.audit import content_hash
 from tablefit.operators.columns import Roles, column_roles, numeric_columns, normalize_missing
 from tablefit.operators.dimensions import quality_metrics, score_dimensions
 from tablefit.operators.discover import infer_task
-from tablefit.operators.order import with_file_order
+from tablefit.operators.order import with_chunk, with_file_order
 from tablefit.operators.scoring import (
     defects_long,
     factor_attribution,
@@ -70,13 +70,21 @@ class Evaluation:
             *self.keys, "n", "raw_fitness", "tier", "cap", "fitness", "final_fitness", "status", "interval_low",
             "interval_high")
 
-    def report(self) -> dict[str, DataFrame]:
-        """Long tables keyed by segment and task, ready for ``write_report``."""
-        return {
+    def report(self, df: DataFrame | None = None, run_id: str | None = None) -> dict[str, DataFrame]:
+        """Long tables keyed by segment and task, ready for ``write_report``.
+
+        ``df`` (the table that was evaluated) and ``run_id`` add the receipt.
+        """
+        tables = {
             "fitness": self.fitness(), "scores": self.scores(), "defects": self.defects(),
-            "attribution": self.attribution(), "actions": self.actions(), "scenarios": self.scenarios(),
+            "attribution": self.attribution(), "recommendations": self.recommendations(), "actions": self.actions(),
+            "scenarios": self.scenarios(), "counterfactuals": self.counterfactuals(),
             "metrics": self.rows.drop("defects"),
         }
+        if df is not None and run_id is not None:
+            # The folder names the run.
+            tables["receipt"] = receipt(self, df, run_id).drop("run_id")
+        return tables
 
 
 def ordered(df: DataFrame, row_order: str | None) -> tuple[DataFrame, str, list[str]]:
@@ -127,7 +135,7 @@ def evaluate(df: DataFrame, tasks: str | Sequence[str], target: str | None = Non
     if target is None and TIME_SERIES in tasks:
         numbers = numeric_columns(df, [*by, *hidden, *without, *([time] if time else [])])
         target = numbers[0] if numbers else None
-    roles = column_roles(df, target, time, by, [*hidden, *without], identifiers)
+    roles = column_roles(df, target, time, by, [*hidden, *without], identifiers, sniff=False)
     rows = score_rows(df, roles, tasks, order, by, policy, anomaly, compat)
     spread = F.when(F.col("task").isin(CLASSIFICATION, CLUSTERING), 1.0).when(
         F.col("target_std") > 0, F.col("target_std")).otherwise(10.0)
@@ -154,12 +162,28 @@ def infer_and_evaluate(df: DataFrame, dataset: str = "table", row_order: str | N
                     without=[*options.pop("without", []), *hidden], **options)
 
 
+def cohort_fitness(df: DataFrame, chunks: int, tasks: str | Sequence[str], row_order: str, by: Sequence[str] = (),
+                   **options) -> Evaluation:
+    """Fitness of each of ``chunks`` contiguous parts of the table (or of each segment) in arrival order.
+
+    The cohorts, 1 and up in the column ``cohort``, are segments of one evaluation.
+    """
+    return evaluate(with_chunk(df, chunks, [row_order], by, "cohort"), tasks, row_order=row_order, by=[*by, "cohort"],
+                    **options)
+
+
 def receipt(evaluation: Evaluation, df: DataFrame, run_id: str) -> DataFrame:
-    """One row per segment and task: table hash, fitness, metric, residual and time of the run."""
-    hashed = content_hash(df, list(evaluation.roles.columns)).select(
+    """One row per segment and task: table hash, roles and options, the weights before and after calibration, fitness,
+    metric, residual and time of the run."""
+    roles = evaluation.roles
+    hashed = content_hash(df, list(roles.columns)).select(
         F.col("digest").alias("dataset_hash"), F.col("rows").alias("dataset_rows"))
+    parameters = {"target": roles.target, "time": roles.time, "identifiers": ",".join(roles.identifiers),
+                  "numeric": ",".join(roles.numeric), **{f"policy_{k}": v for k, v in vars(evaluation.policy).items()}}
     rows = evaluation.rows.select(
-        *evaluation.keys, "raw_fitness", "final_fitness", "tier", "predicted", "observed", "residual_before",
-        "loss_after")
+        *evaluation.keys, "n", "raw_fitness", "final_fitness", "tier", "cap", "interval_low", "interval_high", "predicted",
+        "observed", "residual_before", "loss_after",
+        F.create_map(*[x for c in CODES for x in (F.lit(c), F.col(f"w_{c}"))]).alias("weights"),
+        F.create_map(*[F.lit(x) for k, v in parameters.items() for x in (k, None if v is None else str(v))]).alias("parameters"))
     return rows.crossJoin(F.broadcast(hashed)).withColumns(
         {"run_id": F.lit(run_id), "evaluated_at": F.current_timestamp()})

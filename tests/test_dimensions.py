@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablefit.functions.lookups import CLASSIFICATION, REGRESSION, TIME_SERIES, ImbalancePolicy
 from tablefit.functions.stats import kurtosis, skewness
+from tablefit.operators import columns, profile
 from tablefit.operators import dimensions as dims
 from tablefit.operators.columns import column_roles, normalize_missing
 from tablefit.operators.profile import column_profile, duplicate_rows, pair_correlations
@@ -99,6 +100,60 @@ def test_correlations_stay_exact_far_from_zero(spark):
     assert got == pytest.approx(np.corrcoef(pdf["a"], pdf["b"])[0, 1], abs=1e-6)
 
 
+def correlations(df, **options):
+    return {(r["g"], r["feat_a"], r["feat_b"]): (r["n"], r["r"]) for r in profile.pair_correlations(df, by=["g"], **options).collect()}
+
+
+def test_matrix_products_equal_pair_sums(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(1e6, 1, (300, 7))
+    x[:, 1] = x[:, 0] * 2 + rng.normal(0, 0.1, 300)
+    x[rng.random((300, 7)) < 0.1] = np.nan
+    x[5, 3], x[:, 6] = np.inf, 4.0
+    pdf = pd.DataFrame(x, columns=list("abcdefy")).assign(g=[None if i % 3 == 0 else f"g{i % 3}" for i in range(300)])
+    df = spark.createDataFrame(pdf).repartition(3)
+    forms = [dict(columns=list("abcdef")), dict(columns=list("abcdef"), target="y"),
+             dict(columns=list("abcde"), target="f", only_target=True), dict(columns=list("abce"), listwise=True, target="y")]
+    wanted = [correlations(df, **form) for form in forms]
+    monkeypatch.setattr(profile, "PAIRS_PER_PASS", 0)
+    monkeypatch.setattr(profile, "GRAM_BYTES", 3000)  # sums are sent on between batches
+    monkeypatch.setattr(profile, "ROWS_PER_PRODUCT", 16)
+    for form, want in zip(forms, wanted):
+        got = correlations(df, **form)
+        assert got.keys() == want.keys()
+        for key, (n, r) in want.items():
+            assert got[key][0] == n and (got[key][1] == pytest.approx(r, abs=1e-9) if r is not None else got[key][1] is None)
+
+
+def test_a_thousand_columns_in_two_scans(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(60, 1000))
+    pd.DataFrame(x, columns=[f"c{i}" for i in range(1000)]).to_parquet(tmp_path / "wide.parquet")
+    df = spark.read.parquet(str(tmp_path / "wide.parquet"))
+    scans = []
+    original = profile.column_centres
+    profile_centres = lambda *a: scans.append("centres") or original(*a)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(profile, "column_centres", profile_centres)
+        found = profile.pair_correlations(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and scans == ["centres"]
+    rows = found.filter("feat_a in ('c0', 'c998') or feat_b = 'c500'").collect()
+    want = np.corrcoef(x.T)
+    assert len(rows) == 999 + 1 + 500 - 1
+    assert all(r["r"] == pytest.approx(want[int(r["feat_a"][1:]), int(r["feat_b"][1:])], abs=1e-9) for r in rows)
+
+
+def test_distinct_counts_copy_no_rows(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, "x"), ("a", 1, float("nan"), None), ("b", None, 3.0, "x"), (None, 4, 3.0, "y")],
+                               "g string, i int, f double, t string")
+    for by in ([], ["g"]):
+        found = columns.distinct_counts(df, ["i", "f", "t"], by)
+        assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r["g"] if by else "all": (r["distinct_i"], r["distinct_f"], r["distinct_t"]) for r in found.collect()}
+        assert got == ({"a": (1, 1, 1), "b": (0, 1, 1), None: (1, 1, 1)} if by else {"all": (2, 2, 2)})
+
+
 @pytest.mark.parametrize("exact", [True, False])
 def test_duplicate_rows_keep_null_positions_apart(spark, exact):
     rows = [(None, 1), (1, None), (1, None), (None, None), (2, 2), (2, 2), (2, 2)]

@@ -1,11 +1,15 @@
 """Target, time axis and task found on small tables with known answers."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tablefit.functions.lookups import CLASSIFICATION, CLUSTERING, REGRESSION, TIME_SERIES
-from tablefit.operators.discover import column_evidence, infer_task, infer_tasks, timestamp_candidates
+from tablefit.operators import columns
+from tablefit.operators.discover import column_evidence, infer_task, infer_tasks, near_a_limit, timestamp_candidates
 
 RNG = np.random.default_rng(42)
 
@@ -76,3 +80,61 @@ def test_running_numbers_are_no_targets(spark):
 def test_empty_tables_are_refused(spark):
     with pytest.raises(ValueError, match="empty"):
         infer_task(spark.createDataFrame([], "a int"), "none")
+
+
+CELLS = ["2024-01-05", " 2024-1-5 ", "2024-01-05T10:11:12", "2024-01-05 10:11:12.5", "2024/01/05", "2024/01/05 10:11:12",
+         "5 Jan 2024", "05 Jan 2024", "Jan 5, 2024", "Jan 05, 2024", "20240105", "01/31/2024", "31/01/2024", "01/31/2024 10:11:12",
+         "31-01-2024", "01-31-2024", "2024", "2024-01", "+12024-01-05T10:11:12", "-0044-03-15T10:11:12", "12:30", "10:11:12",
+         "2024-01-05T10:11:12Z", "2024-01-05 10:11:12+02:00", "2024-01-05 10:11:12 Europe/Berlin", "", " ", "text", "5", "5.5",
+         "the 5 of May", "20241305", "99/99/9999", "2024-02-30", "5 January 2024", "31/12/2024 x", "x" * 200 + "5", "٢٠٢٤-٠١-٠٥",
+         "Mai 5, 2024", "5 jan 2024", "JAN 5, 2024", "12345678901", "12024/01/05", "0/0/0"]
+
+
+@pytest.mark.parametrize("days_first", [False, True])
+def test_layouts_by_shape_read_what_all_layouts_read(spark, days_first):
+    """Guarding each layout by its shape changes no answer."""
+    df = spark.createDataFrame([(c,) for c in CELLS], "t string")
+    cell = F.col("t")
+    names = [*columns.TIME_LAYOUTS, *(columns.DAY_FIRST if days_first else columns.MONTH_FIRST)]
+    plain = F.when(cell.rlike(r"\d"), F.coalesce(cell.try_cast("timestamp"), *[
+        F.try_to_timestamp(cell, F.lit(name)) for name in names]))
+    layouts = columns.fitting_layouts(df, ["t"])["t"]
+    got = df.select("t", plain.cast("string").alias("want"), columns.read_time(cell, days_first).cast("string").alias("guarded"),
+                    columns.read_time(cell, days_first, layouts).cast("string").alias("chosen")).collect()
+    clock = re.compile(r"^\d+:\d+")  # a clock time alone is read on the day of the query
+    for r in got:
+        if r["t"].startswith("x"):
+            assert r["chosen"] is None
+        elif not clock.match(r["t"]):
+            assert r["want"] == r["guarded"] == r["chosen"], r
+    for text in CELLS:  # alone in a column, a text has no other layouts to lean on
+        one = df.filter(cell == text)
+        fits = columns.fitting_layouts(one, ["t"])["t"]
+        want = next(r["guarded"] for r in got if r["t"] == text)
+        found = one.select(columns.read_time(cell, days_first, fits).cast("string")).first()[0]
+        assert found == want or clock.match(text) or len(text) > 100, text
+
+
+def test_text_dates_are_datetimes(spark):
+    rows = [(f"2024-{i % 12 + 1:02d}-03", f"{i % 28 + 1:02d}/{i % 12 + 1:02d}/2024", f"{i}.5", f"note {i} of 2024", i % 5,
+             "x" if i % 4 else "2024-01-01") for i in range(60)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e int, f string")
+    roles = columns.column_roles(df, identifiers=[])
+    assert roles.datetime == ("a", "b") and roles.categorical == ("c", "d", "f") and roles.numeric == ("e",)
+    assert columns.fitting_layouts(df, ["c", "d"]) == {"c": frozenset(), "d": frozenset()}
+    assert columns.column_roles(df.filter("false"), identifiers=[]).datetime == ()
+
+
+def test_sketches_decide_like_exact_counts(spark):
+    rng = np.random.default_rng(5)
+    n = 4000
+    pdf = pd.DataFrame({"half": rng.permutation(n) % 2000, "nearly": np.where(rng.random(n) < 0.1, 0, np.arange(n)),
+                        "few": np.arange(n) % 12, "all": rng.permutation(n), "x": rng.normal(size=n), "t": [f"v{i % 31}" for i in range(n)]})
+    for got, want in zip(*(sorted(map(tuple, column_evidence(numbered(spark, pdf), "d", "ro", exact=e).drop("n_unique").collect()), key=str)
+                           for e in (False, True))):
+        assert got == want
+    loose, exact = ({r["column"]: r["n_unique"] for r in column_evidence(numbered(spark, pdf), "d", "ro", exact=e).collect()}
+                    for e in (False, True))
+    for c in ("few", "all", "half", "nearly", "t"):
+        share = abs(loose[c] - exact[c]) / exact[c]
+        assert share < 0.1 and (share == 0 or not near_a_limit(exact[c], n, 0))
