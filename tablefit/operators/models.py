@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablefit.functions.frames import join_on
 from tablefit.functions.lookups import CLASSIFICATION, CLUSTERING, REGRESSION, TIME_SERIES
-from tablefit.functions.stats import as_number, dtype_of, infinite, is_numeric, missing
+from tablefit.functions.stats import as_number, dtype_of, infinite, is_numeric, missing, total
 from tablefit.operators.columns import drop_incomplete, lenient_timestamp, shared_features
 from tablefit.operators.order import with_previous
 from tablefit.operators.select import medians
 
 TREES, DEPTH = 40, 6
+# Rows whose silhouette is taken, and rows that a task compares with them at a time.
+SILHOUETTE_ROWS, ROWS_PER_TILE = 1000, 512
 
 
 def train_filled(train: DataFrame, test: DataFrame, columns: Sequence[str], exact: bool = True):
@@ -107,8 +112,76 @@ def cluster_rows(df: DataFrame, columns: Sequence[str], k: int | None = None, se
     return model.transform(rows)
 
 
-def silhouette(clustered: DataFrame) -> float:
-    """Silhouette by squared Euclidean distance (one pass over cluster sums)."""
+def cluster_from(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]], rounds: int = 2) -> DataFrame:
+    """Clusters over all complete rows from given starting centres: ``rounds`` of assigning (the first on ties) and
+    means, then a last assignment. An empty cluster keeps its centre."""
+    rows = drop_incomplete(df, columns).withColumns({c: as_number(df, c) for c in columns})
+
+    def assigned() -> DataFrame:
+        far = [F.struct(total([F.pow(F.col(c) - F.lit(float(x)), 2) for c, x in zip(columns, centre)]).alias("d"),
+                        F.lit(i).alias("i")) for i, centre in enumerate(centres)]
+        return rows.withColumn("cluster", F.array_min(F.array(*far))["i"])
+
+    for _ in range(rounds):
+        means = {r["cluster"]: [r[c] for c in columns] for r in assigned().groupBy("cluster").agg(
+            *[F.avg(c).alias(c) for c in columns]).collect()}
+        centres = [means.get(i, centre) for i, centre in enumerate(centres)]
+    return _assemble(assigned(), columns)
+
+
+def silhouette(clustered: DataFrame, order: str | None = None, rows: int = SILHOUETTE_ROWS) -> float | None:
+    """Mean silhouette by Euclidean distance of ``rows`` rows (all, if there are fewer) to all rows.
+
+    The rows are the first ones in ``order``, or else by a hash of their features. They are the only ones that travel;
+    each task adds up the distances of its rows to them, tile by tile, and sends one sum for each of them and cluster.
+    """
+    cells = clustered.select(F.col("cluster").cast("int").alias("cluster"), vector_to_array("__features").alias("x"),
+                             *([F.col(order).alias("__order")] if order else []))
+    place = [F.col("__order")] if order else [F.xxhash64("x"), F.col("x")]
+    picked = cells.orderBy(*place).limit(rows).select("cluster", "x").toArrow()
+    sizes = {r["cluster"]: r["count"] for r in cells.groupBy("cluster").count().collect()}
+    if len(sizes) < 2:
+        return None
+    own = picked.column("cluster").to_numpy()
+    points = np.array(picked.column("x").to_pylist(), float)
+    shared = clustered.sparkSession.sparkContext.broadcast(points)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        added = {}
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            cluster = batch.column("cluster").to_numpy()
+            for a in range(0, len(x), ROWS_PER_TILE):
+                square = np.zeros((len(points), len(x[a:a + ROWS_PER_TILE])))
+                for j in range(x.shape[1]):
+                    square += (shared.value[:, j, None] - x[None, a:a + ROWS_PER_TILE, j]) ** 2
+                distance = np.sqrt(square)
+                for c in np.unique(cluster[a:a + ROWS_PER_TILE]).tolist():
+                    mine = distance[:, cluster[a:a + ROWS_PER_TILE] == c].sum(axis=1)
+                    added[c] = added[c] + mine if c in added else mine
+        for c, value in added.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value))), pa.array([c] * len(value), pa.int32()),
+                                              pa.array(value)], names=["point", "cluster", "distance"])
+
+    found = cells.select("cluster", "x").mapInArrow(sums, "point long, cluster int, distance double")
+    found = found.groupBy("point", "cluster").agg(F.sum("distance").alias("distance")).toArrow()
+    names = sorted(sizes)
+    sum_of = np.zeros((len(points), len(names)))
+    sum_of[found.column("point").to_numpy(), np.searchsorted(names, found.column("cluster").to_numpy())] = found.column(
+        "distance").to_numpy()
+    size = np.array([sizes[c] for c in names], float)
+    at, line = np.searchsorted(names, own), np.arange(len(points))
+    inside = sum_of[line, at] / np.maximum(size[at] - 1, 1)
+    others = sum_of / size
+    others[line, at] = np.inf
+    outside = others.min(axis=1)
+    widest = np.maximum(np.maximum(inside, outside), np.finfo(float).tiny)
+    # A row that is alone in its cluster has 0.
+    return float(np.where(size[at] > 1, (outside - inside) / widest, 0.0).mean())
+
+
+def squared_silhouette(clustered: DataFrame) -> float:
+    """Silhouette by squared Euclidean distance of all rows (one pass over cluster sums)."""
     evaluator = ClusteringEvaluator(featuresCol="__features", predictionCol="cluster")
     return float(evaluator.evaluate(clustered))
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablefit.functions.frames import join_on
+from tablefit.functions.frames import join_on, materialize
 from tablefit.functions.lookups import CODES
 from tablefit.functions.stats import correlation
 from tablefit.operators.order import with_average_rank
@@ -100,24 +102,47 @@ def signed_rank(diffs: DataFrame) -> DataFrame:
     return sums.withColumn("w", F.least("w_plus", "w_minus"))
 
 
+def _half_chances(part: pa.Table) -> pa.Table:
+    """Chance of each sum of doubled ranks of one half of the pairs, and of all sums up to it."""
+    ranks = part.column("rank").to_numpy()
+    chance = np.zeros(int(ranks.sum()) + 1)
+    chance[0], top = 1.0, 0
+    for rank in ranks.tolist():
+        # A pair counts its rank or not, with equal chances.
+        chance[rank:top + rank + 1] += chance[:top + 1].copy() if rank else 0.0
+        top += rank
+        chance[:top + 1] *= 0.5 if rank else 1.0
+    return pa.table({"half": pa.array([part.column("half")[0].as_py()] * len(chance), pa.int32()),
+                     "s": pa.array(np.arange(len(chance))), "chance": pa.array(chance), "upto": pa.array(np.cumsum(chance))})
+
+
 def signed_rank_exact(diffs: DataFrame) -> DataFrame:
     """Signed-rank sums with the exact two-sided p over all sign patterns, for any number of pairs.
 
-    The chance of each rank sum is built up one rank at a time: an array over the doubled sums, of the order of n^2
-    cells. No pair, no p.
+    The chances of all rank sums are built up for two halves of the pairs, each in a task of its own and as one array of
+    the order of n^2 cells; a sum of one half then meets the sums of the other that stay within the limit. No pair, no p.
     """
     sums = signed_rank(diffs)
     ranked = with_average_rank(diffs.filter("d <> 0").select(F.abs("d").alias("size")), "size", name="r")
-    doubled = F.round(F.col("r") * 2).cast("long")
-    ranks = ranked.agg(F.sort_array(F.collect_list(doubled)).alias("ranks"), F.sum(doubled).cast("int").alias("all"))
-    start = F.transform(F.sequence(F.lit(0), F.col("all")), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
-    chances = F.aggregate("ranks", start, lambda p, r: F.transform(
-        p, lambda x, s: (x + F.coalesce(F.get(p, (s - r).cast("int")), F.lit(0.0))) / 2))
-    tails = F.transform(chances, lambda x, s: F.when(F.least(s, F.col("all") - s) <= 2 * F.col("w") + 1e-9, x)
-                        .otherwise(0.0))
+    # A rank of zero changes nothing; it is there for a half without pairs.
+    copies = ranked.groupBy(F.round(F.col("r") * 2).cast("long").alias("rank")).agg(F.count(F.lit(1)).alias("copies"))
+    ranks = copies.select("rank", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("i")).select(
+        F.pmod(F.xxhash64("rank", "i"), F.lit(2)).cast("int").alias("half"), "rank")
+    none = diffs.sparkSession.range(2).select(F.col("id").cast("int").alias("half"), F.lit(0).cast("long").alias("rank"))
+    chances = materialize(ranks.unionByName(none).groupBy("half").applyInArrow(
+        _half_chances, "half int, s long, chance double, upto double"), "rank-sums")
+    tops = chances.agg(*[F.max(F.when(F.col("half") == h, F.col("s"))).alias(f"top{h}") for h in (0, 1)])
+    limit = F.floor(2 * F.col("w") + 1e-9)
     # One row on either side.
-    joined = sums.crossJoin(F.broadcast(ranks))
-    return joined.withColumn("p_exact", F.aggregate(tails, F.lit(0.0), lambda total, x: total + x)).drop("ranks", "all")
+    bounds = sums.crossJoin(F.broadcast(tops)).withColumn("limit", limit)
+    first = chances.filter("half = 0").select("s", "chance").crossJoin(F.broadcast(bounds.select("limit", "top1")))
+    first = first.select("chance", F.least(F.col("limit") - F.col("s"), F.col("top1")).alias("at"))
+    second = chances.filter("half = 1").select(F.col("s").alias("at"), "upto")
+    tail = first.join(second, "at").agg(F.coalesce(F.sum(F.col("chance") * F.col("upto")), F.lit(0.0)).alias("tail"))
+    half_way = F.floor((F.col("top0") + F.col("top1")) / 2)
+    p = F.when(F.col("limit") >= half_way, 1.0).otherwise(F.least(2 * F.col("tail"), F.lit(1.0)))
+    return bounds.crossJoin(F.broadcast(tail)).withColumn("p_exact", F.when(F.col("n") > 0, p)).drop(
+        "top0", "top1", "limit", "tail")
 
 
 def rank_correlations(results: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
