@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import posixpath
+import uuid
+from functools import lru_cache, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablefit.catalogue.registry import DIRTY_EVENTS, events, query, rounded
+from tablefit.functions.frames import shared_folder
 from tablefit.functions.lookups import (
     CLASSIFICATION,
     CLUSTERING,
@@ -22,7 +26,8 @@ from tablefit.operators import actions as act
 from tablefit.operators import portfolio, scoring
 from tablefit.operators.columns import column_roles
 from tablefit.operators.dimensions import scores_long, scores_wide
-from tablefit.plans.evaluate import evaluate, score_rows
+from tablefit.plans.evaluate import cohort_fitness, evaluate, score_rows
+from tablefit.sources.writers import write_report
 
 BY = ["event_type"]
 KEYS = ["event_type", "task"]
@@ -54,8 +59,8 @@ FIT_EVENTS = """fit_events AS (SELECT event_type, event_id, user_id, value, ts,
   ((event_id*17) % 1000 < 60)::INT AS label FROM dirty_events)"""
 
 
-def scored_ctes(target: str, tasks: tuple[str, ...]) -> list[str]:
-    """The whole scoring pipeline of ``scored`` as SQL views; the last one is ``scored``."""
+def scored_ctes(target: str, tasks: tuple[str, ...], segment: str = "event_type") -> list[str]:
+    """The whole scoring pipeline of ``scored`` as SQL views; the last one is ``scored``, by the given segment."""
     numbers = ["user_id", "value", "twin_user", "gap_user", "label"]
     features = [c for c in numbers if c != target]
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
@@ -78,7 +83,7 @@ def scored_ctes(target: str, tasks: tuple[str, ...]) -> list[str]:
     minority = "100.0 * least_c / n"
     series = "task = 'time_series_forecasting'"
     return [
-        DIRTY_EVENTS, FIT_EVENTS,
+        DIRTY_EVENTS, FIT_EVENTS.replace("SELECT event_type", f"SELECT {segment} AS event_type"),
         f"""f_cells AS (SELECT event_type, count(*) AS n, count(*) - count(gap_user) AS missing_cells,
          skewness({target}) AS target_skewness, stddev_samp({target}) AS target_std FROM fit_events
          GROUP BY event_type)""",
@@ -484,3 +489,36 @@ def flagship_fitness(spark, folder):
     done = evaluate(fit_events(spark, folder), [REGRESSION, CLUSTERING], "value", "ts", "event_id", BY,
                     anomaly="pinned")
     return rounded(done.fitness())
+
+
+COHORT_CTES = scored_ctes("value", (REGRESSION, CLUSTERING), "ntile(4) OVER (ORDER BY event_id)::INT")
+
+
+@query("cohort_fitness", *COHORT_CTES, sql=f"""
+SELECT event_type AS cohort, task, n, {SCORES}, round(raw_fitness, 6) AS raw_fitness, tier, round(fitness, 6) AS fitness
+FROM scored""")
+def cohorts_scored(spark, folder):
+    done = cohort_fitness(fit_events(spark, folder).drop("event_type"), 4, [REGRESSION, CLUSTERING], "event_id",
+                          target="value", time="ts", anomaly="pinned")
+    return rounded(done.rows.select("cohort", "task", "n", *CODES, "raw_fitness", "tier", "fitness"))
+
+
+@query("written_report", *CTES, sql="""
+SELECT 'fitness' AS part, count(*) AS rows, round(sum(fitness), 4) AS fitness FROM scored WHERE task IN (
+ 'supervised_regression', 'clustering')
+UNION ALL SELECT 'scores', 8 * count(*), NULL FROM scored WHERE task IN ('supervised_regression', 'clustering')
+UNION ALL SELECT 'receipt', count(*), round(sum(fitness), 4) FROM scored WHERE task IN (
+ 'supervised_regression', 'clustering')""")
+def written_report(spark, folder):
+    """The report star, written twice under one run: the second time replaces the first."""
+    df = fit_events(spark, folder)
+    done = evaluate(df, [REGRESSION, CLUSTERING], "value", "ts", "event_id", BY, anomaly="pinned")
+    place = posixpath.join(shared_folder(spark), f"report-{uuid.uuid4().hex}")
+    for _ in range(2):
+        write_report(done.report(df, "run-1"), place, "events", "run-1")
+    none = F.lit(None).cast("double")
+    sums = {"fitness": F.sum("fitness"), "scores": none, "receipt": F.sum("final_fitness")}
+    parts = [spark.read.parquet(posixpath.join(place, name)).filter("run_id = 'run-1' and dataset = 'events'").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(value, 4).alias("fitness")).select(F.lit(name).alias("part"), "rows", "fitness")
+        for name, value in sums.items()]
+    return reduce(DataFrame.unionByName, parts)

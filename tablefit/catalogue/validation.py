@@ -141,6 +141,41 @@ def model_kmeans(spark, folder):
     return sizes.withColumn("silhouette", F.round(F.lit(models.silhouette(clustered)), 6))
 
 
+# Starting centres in (c_acctbal, c_nationkey * 300).
+CENTRES = [(0.0, 1000.0), (4000.0, 6000.0), (9000.0, 2000.0)]
+
+
+def _clusters_sql(rounds: int) -> str:
+    """Assigning and means, round by round; then the silhouette of the first 1,000 rows against all."""
+    near = "min(struct_pack(d := pow(r.x - c.x, 2) + pow(r.y - c.y, 2), i := c.i)).i"
+    text = "WITH r AS (SELECT c_custkey AS k, c_acctbal::DOUBLE AS x, c_nationkey * 300::DOUBLE AS y FROM customer),\n"
+    text += "c0 AS (SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(CENTRES)) + ") AS v(i, x, y)),\n"
+    for n in range(rounds):
+        text += f"""a{n} AS (SELECT k, {near} AS i FROM r, c{n} c GROUP BY k),
+m{n} AS (SELECT i, avg(x) AS x, avg(y) AS y FROM a{n} JOIN r USING (k) GROUP BY i),
+c{n + 1} AS (SELECT c.i, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y FROM c{n} c LEFT JOIN m{n} m USING (i)),
+"""
+    return text + f"""l AS (SELECT k, {near} AS i FROM r, c{rounds} c GROUP BY k),
+p AS (SELECT k, x, y, i FROM r JOIN l USING (k)), n AS (SELECT i, count(*) AS n FROM p GROUP BY i),
+d AS (SELECT q.k, q.i AS own, p.i, sum(sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2))) AS d
+ FROM (SELECT * FROM p ORDER BY k LIMIT 1000) q, p GROUP BY ALL),
+s AS (SELECT k, own, max(CASE WHEN d.i = own THEN d / greatest(n.n - 1, 1) END) AS a,
+ max(CASE WHEN d.i = own THEN n.n END) AS size, min(CASE WHEN d.i <> own THEN d / n.n END) AS b
+ FROM d JOIN n USING (i) GROUP BY k, own)
+SELECT n.i::INT AS cluster, n.n, (SELECT round(avg(CASE WHEN size > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) FROM s)
+ AS silhouette FROM n"""
+
+
+@query("cluster_silhouette", sql=_clusters_sql(2))
+def cluster_silhouette(spark, folder):
+    df = table(spark, folder, "customer").select(
+        "c_custkey", F.col("c_acctbal").cast("double").alias("x"), (F.col("c_nationkey") * 300.0).alias("y"))
+    clustered = models.cluster_from(df, ["x", "y"], CENTRES, rounds=2)
+    sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.withColumn("silhouette", F.round(F.lit(models.silhouette(clustered, "c_custkey")), 6))
+
+
 @query("metric_rmse", PATCHY_ORDERS, sql=f"""
 WITH s AS (SELECT *, row_number() OVER (ORDER BY {SCATTER}, o_orderkey)
  <= {N_TRAIN.format(n="count(*) OVER ()")} AS train FROM patchy_orders),
@@ -314,10 +349,17 @@ b AS (SELECT part, id, (((xor(id, id >> 31) % 2147483648) * 2654435761) % 214748
 l AS (SELECT part, bucket, sha256(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest, count(*) AS c FROM b
  GROUP BY part, bucket)
 SELECT part, sum(c)::BIGINT AS rows, sha256(string_agg(digest, ',' ORDER BY bucket)) AS key_hash,
- 'o_custkey,o_totalprice' AS features, 'o_orderstatus' AS target FROM l GROUP BY part""")
+ 'o_custkey,o_totalprice' AS features, 'o_orderstatus' AS target, 'random' AS split, '0.7' AS train_share,
+ 'sort_timestamps,impute_median' AS log, 61.5::DOUBLE AS fitness_after FROM l GROUP BY part""")
 def split_receipt(spark, folder):
     parts = splits.random_split(table(spark, folder, "orders"), "o_orderkey")
-    return audit.split_receipt(parts, "o_orderkey", ["o_custkey", "o_totalprice"], "o_orderstatus")
+    found = audit.split_receipt(parts, "o_orderkey", ["o_custkey", "o_totalprice"], "o_orderstatus",
+                                {"split": "random", "train_share": 0.7}, ["sort_timestamps", "impute_median"],
+                                {"fitness_after": 61.5})
+    return found.select(
+        "part", "rows", "key_hash", "features", "target", F.col("parameters")["split"].alias("split"),
+        F.col("parameters")["train_share"].alias("train_share"), F.concat_ws(",", "log").alias("log"),
+        F.col("metrics")["fitness_after"].alias("fitness_after"))
 
 
 @query("model_ready_rows", PATCHY_ORDERS, sql="""

@@ -109,10 +109,18 @@ def compare_runs(first: DataFrame, second: DataFrame, keys: Sequence[str], colum
     )
 
 
-def split_receipt(parts: DataFrame, key: str, features: Sequence[str], target: str | None = None) -> DataFrame:
-    """Hash, count, features and target per part: what a later audit needs to repeat the split."""
+def split_receipt(parts: DataFrame, key: str, features: Sequence[str], target: str | None = None,
+                  parameters: dict[str, object] | None = None, log: Sequence[str] = (),
+                  metrics: dict[str, float | None] | None = None) -> DataFrame:
+    """One row per part: hash, count, features and target, and what a later audit needs to repeat the run: parameters
+    (as text), the actions that were done, in order, and the metrics that came out."""
     hashed = id_set_hash(parts, key, ["part"])
+    none = F.create_map().cast("map<string,string>")
+    given = F.create_map(*[F.lit(x) for k, v in (parameters or {}).items() for x in (k, str(v))]) if parameters else none
+    measured = F.create_map(*[x for k, v in (metrics or {}).items() for x in (F.lit(k), F.lit(v).cast("double"))]) \
+        if metrics else F.create_map().cast("map<string,double>")
     return hashed.select(
         "part", F.col("ids").alias("rows"), F.col("digest").alias("key_hash"),
         F.lit(",".join(features)).alias("features"), F.lit(target).alias("target"),
+        given.alias("parameters"), F.array(*map(F.lit, log)).cast("array<string>").alias("log"), measured.alias("metrics"),
     )

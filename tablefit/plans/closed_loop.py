@@ -118,8 +118,16 @@ def remediate_and_validate(df: DataFrame, task: str, target: str | None, row_ord
                 F.col("duplicate_rate").alias(f"duplicate_rate_{name}"))
             result = result.crossJoin(stamps)
     features = [c for c in before.roles.numeric if c != target]
-    return ClosedLoop(before, after, result, log, train, test,
-                      split_receipt(parts, row_order, features, target), immutability(raw_test, test, row_order))
+    by_rows = {p: parts.filter(F.col("part") == p).count() for p in ("train", "test")}
+    result_row = result.first()
+    # Too few rows to split: they are all in both parts.
+    few = task != TIME_SERIES and by_rows["train"] == by_rows["test"] < MIN_ROWS
+    kind = "all rows in both parts" if few else {TIME_SERIES: "arrival order", CLASSIFICATION: "by class"}.get(task, "random")
+    metrics = {k: result_row[k] for k in ("fitness_before", "fitness_after", "metric_before", "metric_after")}
+    parameters = {"task": task, "split": kind, "train_share": train_share, "seed": seed, "row_order": row_order,
+                  "time": time, "actions": ",".join(actions), "anomaly": anomaly}
+    audit = split_receipt(parts, row_order, features, target, parameters, [f.action for f in log if f.executed], metrics)
+    return ClosedLoop(before, after, result, log, train, test, audit, immutability(raw_test, test, row_order))
 
 
 def in_sequence(train: DataFrame, test: DataFrame, row_order: str,

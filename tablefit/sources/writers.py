@@ -27,11 +27,27 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_report(tables: dict[str, DataFrame], path: str, dataset: str, run_id: str, mode: str = "append") -> None:
-    """Every table of a report below its own folder, partitioned by dataset and run."""
+def _folder(value: str) -> str:
+    """A partition value as Spark names its folder."""
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\\x7f{[]^" or c < " " else c for c in value)
+
+
+def write_report(tables: dict[str, DataFrame], path: str, dataset: str, run_id: str) -> None:
+    """Every table of a report below its own folder, partitioned by dataset and run.
+
+    A run that is written again replaces its own partitions; other runs stay. A table that has no rows any more leaves
+    none of the earlier ones: its partition is written empty.
+    """
     for name, table in tables.items():
         keyed = table.withColumns({"dataset": F.lit(dataset), "run_id": F.lit(run_id)})
-        keyed.write.mode(mode).partitionBy("dataset", "run_id").parquet(posixpath.join(path, name))
+        place = posixpath.join(path, name)
+        if keyed.isEmpty():
+            # Without rows, no partition would be replaced.
+            part = posixpath.join(place, f"dataset={_folder(dataset)}", f"run_id={_folder(run_id)}")
+            table.write.mode("overwrite").parquet(part)
+        else:
+            keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                "dataset", "run_id").parquet(place)
 
 
 def cleansed(train: DataFrame, test: DataFrame) -> DataFrame:

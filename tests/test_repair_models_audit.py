@@ -1,5 +1,7 @@
 """Repairs, splits, models, hashes, sources and the closed loop."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -145,8 +147,22 @@ def test_sources(spark, tmp_path):
         read_table(spark, str(tmp_path / "missing.parquet"))
     with pytest.raises(TableError):
         require_rows(df.limit(0))
-    write_report({"scores": df.drop("b")}, str(tmp_path / "report"), "d", "r1")
-    assert spark.read.parquet(str(tmp_path / "report" / "scores")).filter("run_id = 'r1'").count() == 2
+
+
+def test_a_report_replaces_its_own_run(spark, tmp_path):
+    place, df = str(tmp_path / "report"), spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")
+
+    def rows():
+        return sorted((r["dataset"], r["run_id"], r["a"]) for r in spark.read.parquet(place + "/scores").collect())
+
+    for dataset, run in (("d", "r 1"), ("d", "r2"), ("é/1", "r 1"), ("d", "r 1")):
+        write_report({"scores": df}, place, dataset, run)
+    others = [("d", "r2", 1), ("d", "r2", 2), ("é/1", "r 1", 1), ("é/1", "r 1", 2)]
+    assert rows() == sorted([("d", "r 1", 1), ("d", "r 1", 2), *others])
+    write_report({"scores": df.filter("a = 2")}, place, "d", "r 1")
+    assert rows() == sorted([("d", "r 1", 2), *others])
+    write_report({"scores": df.filter("false")}, place, "d", "r 1")
+    assert rows() == sorted(others)
 
 
 def test_closed_loop_repairs_a_disordered_series(spark):
@@ -197,6 +213,39 @@ def spiked(spark):
     return spark.createDataFrame(rows, "k long, g string, a double, b double")
 
 
+def test_signed_rank_of_two_thousand_pairs(spark):
+    diffs = [(i + 1) * (-1 if i % 13 < 6 else 1) / 8 for i in range(2000)]
+    began = time.monotonic()
+    got = signed_rank_exact(spark.createDataFrame([(d,) for d in diffs], "d double")).first()
+    assert time.monotonic() - began < 60
+    # No ties: the chance of each rank sum up to the observed one, a rank at a time.
+    w = int(got["w"])
+    chance = np.zeros(w + 1)
+    chance[0] = 1.0
+    for rank in range(1, len(diffs) + 1):
+        moved = np.concatenate([np.zeros(min(rank, w + 1)), chance[:max(w + 1 - rank, 0)]])
+        chance = (chance + moved) / 2
+    assert got["p_exact"] == pytest.approx(2 * chance.sum(), rel=1e-9)
+
+
+def test_silhouette_equals_all_distances(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (40, 3)), rng.normal(6, 1, (30, 3)), [[50, 50, 50]]])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "i long, a double, b double, c double")
+    done = models.cluster_from(df, ["a", "b", "c"], [x[0], x[50], x[70]]).repartition(3)
+    labels = np.array([r["cluster"] for r in done.orderBy("i").collect()])
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    scores = []
+    for i, c in enumerate(labels):
+        mine = labels == c
+        a = far[i][mine].sum() / max(mine.sum() - 1, 1)
+        b = min(far[i][labels == o].mean() for o in set(labels) - {c})
+        scores.append((b - a) / max(a, b) if mine.sum() > 1 else 0.0)
+    assert models.silhouette(done) == pytest.approx(np.mean(scores), rel=1e-12)
+    assert models.silhouette(done, "i", rows=25) == pytest.approx(np.mean(scores[:25]), rel=1e-12)
+    assert models.silhouette(models.cluster_from(df, ["a", "b", "c"], [x[0]])) is None
+
+
 def test_forest_per_segment_from_the_data(spark):
     df = spiked(spark)
     one, three = ({r["g"]: r for r in forest_anomaly(df.repartition(p), ["a", "b"], ["g"], keys=["k"]).collect()}
