@@ -153,6 +153,61 @@ def csv_round_trip(spark, folder):
     return readers.read_table(spark, path)
 
 
+@query("json_round_trip", DIRTY_EVENTS, sql="""
+SELECT event_type, count(*) AS n, count(ts_text) AS texts, round(sum(value), 4) AS total FROM dirty_events
+GROUP BY event_type""")
+def json_round_trip(spark, folder):
+    path = posixpath.join(shared_folder(spark), f"events-{uuid.uuid4().hex}")
+    writers.write_json(events(spark, folder).select("event_id", "event_type", "value", "ts_text"), path)
+    written = spark.read.schema("event_id long, event_type string, value double, ts_text string").json(path)
+    return rounded(written.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count("ts_text").alias("texts"), F.sum("value").alias("total")), 4)
+
+
+@query("guarded_tables", sql="""
+SELECT 'events' AS name, (SELECT count(*) FROM events) AS n, true AS accepted
+UNION ALL SELECT 'no rows', (SELECT count(*) FROM events WHERE event_id IS NULL), false""")
+def guarded_tables(spark, folder):
+    df, rows = table(spark, folder, "events"), []
+    for name, part in (("events", df), ("no rows", df.filter("event_id is null"))):
+        try:
+            readers.require_rows(part)
+            accepted = True
+        except readers.TableError:
+            accepted = False
+        rows.append(part.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.lit(accepted).alias("accepted")))
+    return rows[0].unionByName(rows[1])
+
+
+@query("numeric_texts", DIRTY_EVENTS, sql="""
+SELECT event_type, bool_and(TRY_CAST(ts_text AS DOUBLE) IS NOT NULL) AS times,
+ bool_and(TRY_CAST(event_id::VARCHAR AS DOUBLE) IS NOT NULL) AS codes,
+ bool_and(TRY_CAST(CASE WHEN event_id % 100 = 1 THEN 'n/a' ELSE value::VARCHAR END AS DOUBLE) IS NOT NULL) AS patchy
+FROM dirty_events GROUP BY event_type""")
+def numeric_texts(spark, folder):
+    df = events(spark, folder).withColumns({
+        "code": F.col("event_id").cast("string"),
+        "patchy": F.when(F.pmod("event_id", F.lit(100)) == 1, "n/a").otherwise(F.col("value").cast("string"))})
+    return df.groupBy("event_type").agg(
+        cols.numeric_text("ts_text").alias("times"), cols.numeric_text("code").alias("codes"),
+        cols.numeric_text("patchy").alias("patchy"))
+
+
+@query("shared_features", DIRTY_LINEITEM, sql="""
+WITH t AS (SELECT l_quantity, l_tax, l_discount, l_linenumber FROM dirty_lineitem WHERE l_orderkey % 3 = 0)
+SELECT 'l_quantity' AS feature, round(avg(l_quantity), 6) AS mean FROM t
+UNION ALL SELECT 'l_discount', round(avg(l_discount), 6) FROM t""")
+def shared_features(spark, folder):
+    """Numeric columns of the training part that the test part has too, without the target, and their test means."""
+    df = lineitem(spark, folder)
+    train = df.select("l_quantity", "l_tax", "l_extendedprice", "l_discount", "l_returnflag")
+    test = df.filter(F.pmod("l_orderkey", F.lit(3)) == 0).select("l_quantity", "l_tax", "l_discount", "l_linenumber")
+    shared = cols.shared_features(train, test, "l_tax")
+    means = test.agg(*[F.avg(c).alias(c) for c in shared])
+    return rounded(means.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean")) for c in shared]))))
+
+
 @query("first_rows", sql="SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 1500")
 def first_rows(spark, folder):
     return order.first_rows(table(spark, folder, "events"), 1500, ["event_id"]).select(

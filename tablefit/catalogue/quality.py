@@ -248,6 +248,27 @@ def timeliness_score(spark, folder):
                                veto.alias("veto")))
 
 
+@query("unreadable_times", DIRTY_EVENTS, sql="""
+WITH t AS (SELECT event_type, CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'soon' ELSE ts_text END AS said
+ FROM dirty_events),
+s AS (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE TRY_CAST(said AS TIMESTAMP) IS NULL) AS bad,
+ count(TRY_CAST(said AS TIMESTAMP)) - count(DISTINCT TRY_CAST(said AS TIMESTAMP)) AS dup FROM t GROUP BY event_type)
+SELECT event_type, n, bad AS time_invalid, CASE WHEN bad / n::DOUBLE > 0.2 THEN 25
+ ELSE 100 - CASE WHEN dup > 0 THEN least(40, 150 * dup / n::DOUBLE) ELSE 0 END END::DOUBLE AS score,
+ bad / n::DOUBLE > 0.2 OR dup > 0 AS veto FROM s""")
+def unreadable_times(spark, folder):
+    by, c = ["event_type"], F.col
+    df = events(spark, folder).withColumn("at", F.when(
+        (c("event_type") == "click") & (F.pmod("event_id", F.lit(3)) == 0), "soon").otherwise(c("ts_text")))
+    rows = dims.duplicate_timestamps(df, "at", by)
+    rows = rows.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+    series, none = F.lit("time_series_forecasting"), F.lit(0)
+    score = dims.timeliness_score(series, F.lit(True), F.lit(True), c("n"), c("time_invalid"), none,
+                                  c("duplicate_timestamps"), F.lit(0.0), F.lit(0.0))
+    veto = dims.timeliness_veto(series, F.lit(True), c("n"), c("time_invalid"), none, c("duplicate_timestamps"))
+    return rounded(rows.select(*by, "n", "time_invalid", score.cast("double").alias("score"), veto.alias("veto")))
+
+
 @query("timeliness_without_axis", sql="""
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)
  <= count(*) OVER (PARTITION BY o_orderstatus) // 2 AS h FROM orders),

@@ -18,6 +18,7 @@ from tablefit.catalogue.registry import (
 from tablefit.functions.lookups import CLASSIFICATION, REGRESSION, TIME_SERIES
 from tablefit.operators import remediate, splits
 from tablefit.operators.audit import immutability
+from tablefit.operators.dimensions import duplicate_timestamps
 
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
@@ -133,7 +134,19 @@ def test_immutability(spark, folder):
     return immutability(test, repaired, "o_orderkey").select("ids_before", "ids_after", "changed_keys", "immutable")
 
 
-@query("action_log")
+@query("action_log", PATCHY_ORDERS, sql="""
+WITH f AS (SELECT concat_ws(',', CASE WHEN count(o_totalprice) > 10 AND abs(kurtosis(o_totalprice)) > 5 THEN 'o_totalprice'
+  END, CASE WHEN abs(kurtosis(flag)) > 5 THEN 'flag' END) AS tails,
+ concat_ws(',', CASE WHEN count(o_totalprice) < count(*) THEN 'o_totalprice' END,
+  CASE WHEN count(o_orderpriority) < count(*) THEN 'o_orderpriority' END) AS gaps,
+ CASE WHEN count(o_orderpriority) < 0.6 * count(*) THEN 'o_orderpriority' ELSE '' END AS sparse FROM patchy_orders),
+r AS (SELECT 2 AS step, 'winsorize_outliers' AS action, tails AS columns, 'no heavy tail' AS none FROM f
+ UNION ALL SELECT 4, 'impute_median', gaps, 'no missing cell' FROM f
+ UNION ALL SELECT 7, 'drop_high_null_columns', CASE WHEN gaps = '' THEN sparse ELSE '' END, 'no sparse column' FROM f)
+SELECT step::INT AS step, action, columns <> '' AS executed, CASE WHEN columns = '' THEN none END AS reason, columns FROM r
+UNION ALL SELECT * FROM (VALUES (0, 'sort_timestamps', false, 'not requested', ''),
+ (1, 'drop_leakage_columns', false, 'not requested', ''), (3, 'resample_imbalance', false, 'not requested', ''),
+ (5, 'drop_redundant_identifiers', false, 'not requested', ''), (6, 'drop_unlabelled_target', false, 'not requested', ''))""")
 def action_log(spark, folder):
     _, log = remediate.repair(
         patchy_orders(spark, folder), ["impute_median", "winsorize_outliers", "drop_high_null_columns"], REGRESSION,
@@ -141,6 +154,20 @@ def action_log(spark, folder):
     return remediate.action_log(spark, log).withColumn("columns", F.array_join("columns", ","))
 
 
+@query("duplicate_times_repaired", DIRTY_EVENTS, sql="""
+WITH c AS (SELECT ts, count(*) AS c FROM dirty_events GROUP BY ts)
+SELECT 'before' AS stage, sum(c)::BIGINT AS time_valid, count(*) AS time_distinct, count(*) FILTER (WHERE c > 1)
+ AS duplicate_groups, (sum(c) - count(*))::BIGINT AS duplicate_timestamps FROM c
+UNION ALL SELECT 'after', count(*), count(*), 0, 0 FROM c""")
+def duplicate_times_repaired(spark, folder):
+    df = events(spark, folder)
+    done, _ = remediate.repair(df, ["sort_timestamps"], TIME_SERIES, "value", "ts", "event_id")
+    before, after = (duplicate_timestamps(d, "ts").select(
+        F.lit(stage).alias("stage"), "time_valid", "time_distinct", "duplicate_groups", "duplicate_timestamps")
+        for stage, d in (("before", df), ("after", done)))
+    return before.unionByName(after)
+
+
 @query("repair_spread", PATCHY_ORDERS, sql="""
 WITH b AS (SELECT quantile_cont(o_totalprice, 0.01) AS lo, quantile_cont(o_totalprice, 0.99) AS hi FROM patchy_orders)
 SELECT o_orderstatus, count(*) AS n, round(max(least(greatest(o_totalprice, lo), hi)) FILTER (

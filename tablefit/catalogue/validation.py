@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablefit.catalogue.registry import (
@@ -13,9 +16,12 @@ from tablefit.catalogue.registry import (
     rounded,
     table,
 )
+from tablefit.functions.frames import shared_folder
 from tablefit.functions.lookups import CLASSIFICATION, REGRESSION, TIME_SERIES
 from tablefit.operators import audit, compare, models, remediate, splits
+from tablefit.operators.columns import fill_missing
 from tablefit.plans.closed_loop import fraction_sweep, remediate_and_validate
+from tablefit.sources.writers import write_cleansed
 
 SCATTER = "((xor(o_orderkey, o_orderkey >> 31) % 2147483648) * 2654435761 + 42) % 2147483648"
 N_TRAIN = "{n} - ceil(round({n} * 0.3::DOUBLE, 9))"
@@ -90,6 +96,38 @@ def _classes(spark, folder):
     return docs.join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id")
 
 
+@query("train_filled", PATCHY_ORDERS, sql=f"""
+WITH s AS (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE flag END AS mark, row_number() OVER (
+  ORDER BY {SCATTER}, o_orderkey) <= {N_TRAIN.format(n="count(*) OVER ()")} AS train FROM patchy_orders),
+m AS (SELECT quantile_cont(o_totalprice, 0.5) AS price, quantile_cont(mark, 0.5) AS mark FROM s WHERE train)
+SELECT CASE WHEN train THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(sum(coalesce(o_totalprice, m.price)), 4)
+ AS price, sum(coalesce(s.mark, m.mark))::DOUBLE AS mark FROM s, m GROUP BY train""")
+def train_filled(spark, folder):
+    df = patchy_orders(spark, folder).withColumn("mark", F.when(F.pmod("o_orderkey", F.lit(4)) != 0, F.col("flag")))
+    parts = splits.random_split(df, "o_orderkey")
+    both = models.train_filled(parts.filter("part = 'train'"), parts.filter("part = 'test'"), ["o_totalprice", "mark"])
+    sums = [d.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("price"), F.sum("mark").alias("mark"))
+            for d in both]
+    return rounded(sums[0].unionByName(sums[1]), 4)
+
+
+@query("cleansed_export", PATCHY_ORDERS, sql=f"""
+WITH s AS (SELECT *, row_number() OVER (ORDER BY {SCATTER}, o_orderkey) <= {N_TRAIN.format(n="count(*) OVER ()")} AS train
+ FROM patchy_orders),
+m AS (SELECT quantile_cont(o_totalprice, 0.5) AS price FROM s WHERE train)
+SELECT CASE WHEN train THEN 'train' ELSE 'test' END AS part, count(*) AS n, count(DISTINCT o_orderkey) AS keys,
+ round(sum(CASE WHEN train THEN coalesce(o_totalprice, price) ELSE o_totalprice END), 4) AS price FROM s, m GROUP BY train""")
+def cleansed_export(spark, folder):
+    """Repaired training rows and untouched test rows, written as one table in time order and read again."""
+    parts = splits.random_split(patchy_orders(spark, folder), "o_orderkey")
+    train, test = parts.filter("part = 'train'"), parts.filter("part = 'test'")
+    fills = remediate.fill_values(train.select("o_totalprice"))
+    path = posixpath.join(shared_folder(spark), f"cleansed-{uuid.uuid4().hex}")
+    write_cleansed(fill_missing(train, fills), test, path, "o_orderdate")
+    return rounded(spark.read.parquet(path).groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.sum("o_totalprice").alias("price")), 4)
+
+
 @query("model_classifier")
 def model_classifier(spark, folder):
     parts = splits.stratified_split(_classes(spark, folder), "doc_id", "quality")
