@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablefit.functions.frames import materialize
 from tablefit.functions.lookups import CLASSIFICATION, REGRESSION, REPAIR_ORDER, TIME_SERIES
 from tablefit.functions.stats import as_number, dtype_of, is_numeric, kurtosis, missing, scatter
 from tablefit.operators.columns import (
@@ -28,6 +29,8 @@ from tablefit.operators.profile import pair_correlations
 from tablefit.operators.select import medians, quantiles, with_tile
 
 MINORITY_PCT = 15.0
+# Repairs that shuffle rows.
+MOVES_ROWS = ("sort_timestamps", "resample_imbalance")
 
 
 @dataclass
@@ -166,9 +169,15 @@ def resample_minority(df: DataFrame, target: str, key: str, seed: int = 42, **op
 
 
 def repair(df: DataFrame, actions: Sequence[str] | None, task: str, target: str | None = None, time: str | None = None,
-           row_order: str | None = None, exact: bool = True) -> tuple[DataFrame, list[Fitted]]:
-    """Learn the requested repairs on a table and apply them to it, in the fixed order."""
+           row_order: str | None = None, exact: bool = True, written: bool = False) -> tuple[DataFrame, list[Fitted]]:
+    """Learn the requested repairs on a table and apply them to it, in the fixed order.
+
+    Several repairs work on a copy that is written once (``written``: the table is one already), and again after each
+    step that moves rows, so the source and the shuffles behind a step are not run again by every later fit.
+    """
     wanted = list(REPAIR_ORDER) if actions is None else list(actions)
+    if len(wanted) > 1 and not written:
+        df = materialize(df, "to-repair")
     log: list[Fitted] = []
     for action in REPAIR_ORDER:
         if action not in wanted:
@@ -179,14 +188,16 @@ def repair(df: DataFrame, actions: Sequence[str] | None, task: str, target: str
         log.append(fitted)
         if fitted.executed:
             df = fitted.apply(rows)
+            if action in MOVES_ROWS and action != wanted[-1]:
+                df = materialize(df, "repaired")
     return df, log
 
 
 def repair_split(train: DataFrame, test: DataFrame, actions: Sequence[str] | None, task: str, target: str | None = None,
                  time: str | None = None, row_order: str | None = None,
-                 exact: bool = True) -> tuple[DataFrame, DataFrame, list[Fitted]]:
+                 exact: bool = True, written: bool = False) -> tuple[DataFrame, DataFrame, list[Fitted]]:
     """Learn on train, apply to both; rows are added or dropped in train only."""
-    repaired, log = repair(train, actions, task, target, time, row_order, exact)
+    repaired, log = repair(train, actions, task, target, time, row_order, exact, written)
     for fitted in log:
         if fitted.executed:
             test = fitted.apply(test)

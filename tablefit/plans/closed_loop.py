@@ -83,7 +83,8 @@ def remediate_and_validate(df: DataFrame, task: str, target: str | None, row_ord
     raw_train, raw_test = parts.filter("part = 'train'"), parts.filter("part = 'test'")
     metric_before = observed_metric(parts, task, target, time, row_order, hidden)
 
-    train, test, log = repair_split(raw_train, raw_test, actions, task, target, time, row_order)
+    train, test, log = repair_split(raw_train, raw_test, actions, task, target, time, row_order,
+                                    written=True)
     train, test = in_sequence(train, test, row_order, time if log[0].executed else None)
     train, test = materialize(train, "train"), materialize(test, "test")
     both = cleansed(train, test)

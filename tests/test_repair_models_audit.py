@@ -213,6 +213,30 @@ def spiked(spark):
     return spark.createDataFrame(rows, "k long, g string, a double, b double")
 
 
+def test_eight_repairs_scan_the_source_a_few_times(spark):
+    rng = np.random.default_rng(8)
+    n = 300
+    pdf = pd.DataFrame({"k": np.arange(n), "t": pd.date_range("2024-01-01", periods=n, freq="h").astype(str), "y": np.arange(n) % 12 == 0,
+                        "a": rng.normal(size=n), "b": np.where(rng.random(n) < 0.1, np.nan, rng.standard_cauchy(n)), "c": 1.0,
+                        "d": np.where(rng.random(n) < 0.8, np.nan, 1.0), "e": [f"text {i}" for i in range(n)]})
+    pdf["y"] = pdf["y"].astype(int)
+    pdf["leak"] = pdf["y"] * 2 + 0.001 * pdf["a"]
+    source = spark.createDataFrame(pdf).coalesce(1)
+    scans = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        scans.add(1)
+        yield from batches
+
+    df = source.mapInArrow(counted, source.schema)
+    done, log = remediate.repair(df, None, CLASSIFICATION, "y", "t", "k")
+    assert done.count() > 0 and scans.value <= 3
+    executed = {f.action for f in log if f.executed}
+    assert {"sort_timestamps", "drop_leakage_columns", "winsorize_outliers", "resample_imbalance", "impute_median"} <= executed
+    plain, _ = remediate.repair(source, None, CLASSIFICATION, "y", "t", "k", written=True)
+    assert sorted(map(str, done.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_signed_rank_of_two_thousand_pairs(spark):
     diffs = [(i + 1) * (-1 if i % 13 < 6 else 1) / 8 for i in range(2000)]
     began = time.monotonic()
