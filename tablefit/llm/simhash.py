@@ -9,6 +9,10 @@ Copies share a fingerprint, so tables hold distinct fingerprints only. Looked-up
 which give the edges of a spanning forest instead of all pairs; buckets above ``BUCKET`` rows are cut into slices, and
 every pair of slices is a bucket of its own.
 
+``similar`` reaches pairs that a Hamming radius alone would miss or could not tell from others: it looks up small balls
+around the segments of several independent fingerprints, keeps pairs within a wide radius, and links those whose word
+shingles have a Jaccard similarity of 0.8 or more.
+
 Defined results: NULL, empty and blank texts have the fingerprint zero, linked like any other; repeated rows keep their
 rows; a NULL id keeps its row but never names a component that has another id; an empty table gives an empty table.
 Other input columns are not read.
@@ -34,20 +38,30 @@ SEED = 42
 BUCKET = 4096  # rows of a bucket that are verified at a time
 # Distinct fingerprints up to which each number of segments is used.
 SEGMENTS = ((3, 50_000_000), (2, None))
+# Fingerprints for similarities, the radius of candidates, and most connected ones of a bucket that all pairs are taken of.
+PRINTS = 3
+WIDE_RADIUS = 16
+ALL_PAIRS = 4
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """SimHash of lower-cased UTF-8 text over shingles of ``words`` words."""
+def shingle_hashes(text: bytes, words: int = 4) -> np.ndarray:
+    """Hashes of the shingles of lower-cased UTF-8 text, repeats included; of fewer words, of all of them."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     if len(parts) <= words:
-        return xxh64_intdigest(joined, SEED)
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum([len(part) + 1 for part in parts]) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED)
-                       for a, b in zip(begins[:len(parts) - words + 1].tolist(), ends[words - 1:].tolist())], np.uint64)
+    return np.array([xxh64_intdigest(joined[a:b], SEED)
+                     for a, b in zip(begins[:len(parts) - words + 1].tolist(), ends[words - 1:].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, np.int64)
     for a in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[a:a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
@@ -55,33 +69,53 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, th, fp): th is a hash of the text, fp the fingerprint as a signed long."""
+def fingerprint(text: bytes, words: int = 4) -> int:
+    """SimHash of lower-cased UTF-8 text over shingles of ``words`` words."""
+    return majority(shingle_hashes(text, words))
+
+
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes of the same shingles; seed 0 leaves them as they are."""
+    if not seed:
+        return hashes
+    h = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprints(docs: DataFrame, words: int = 4, prints: int = 1) -> DataFrame:
+    """(doc_id, th, fp, fp1, ...): th is a hash of the text, the fingerprints are signed longs."""
+    names = ["fp", *[f"fp{i}" for i in range(1, prints)]]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         column = batch.column("text")
         for a, b in blocks_of(pc.binary_length(column).to_numpy(zero_copy_only=False)):
-            values = column.slice(a, b - a).cast(pa.binary()).to_pylist()
-            found = np.array([fingerprint(value, words) for value in values], np.uint64).view(np.int64)
+            hashes = [shingle_hashes(value, words) for value in column.slice(a, b - a).cast(pa.binary()).to_pylist()]
+            found = [np.array([majority(_mixed(h, i)) for h in hashes], np.uint64).view(np.int64) for i in range(prints)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), pa.array(found)],
-                names=["doc_id", "th", "fp"])
+                [batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), *map(pa.array, found)],
+                names=["doc_id", "th", *names])
 
     rows = texts(docs).withColumn("th", F.xxhash64("text"))
-    return map_batches(rows, run, "doc_id bigint, th bigint, fp bigint")
+    return map_batches(rows, run, "doc_id bigint, th bigint, " + ", ".join(f"{name} bigint" for name in names))
 
 
 def segments_for(distinct: int) -> int:
     return next(n for n, most in SEGMENTS if most is None or distinct <= most)
 
 
+def wide_segments(distinct: int) -> int:
+    """Segments of the wide search: shorter ones miss fewer pairs, longer ones keep the buckets of large tables short."""
+    return 4 if distinct <= 200_000_000 else 3
+
+
 def _cuts(segments: int) -> list[tuple[int, int]]:
     """(shift, width) of each segment."""
     edges = [BITS * i // segments for i in range(segments + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _lookups(prints: np.ndarray, segments: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lookups(prints: np.ndarray, segments: int, flips_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket key, fingerprint, own) of the home buckets and of the balls around them.
 
     A pair could meet in the home bucket of either; one is enough, so a ball holds no value below its centre.
@@ -89,7 +123,7 @@ def _lookups(prints: np.ndarray, segments: int, radius: int) -> tuple[np.ndarray
     keys, members, own = [], [], []
     for number, (shift, width) in enumerate(_cuts(segments)):
         value = (prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-        for flips in range(radius // segments + 1):
+        for flips in range(flips_ + 1):
             for bits in combinations(range(width), flips):
                 ball = value ^ np.uint64(sum(1 << bit for bit in bits))
                 near = ball >= value
@@ -116,13 +150,32 @@ def _verify(prints: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarra
     return spanning_edges(np.concatenate(left), np.concatenate(right))
 
 
-def link_edges(prints: DataFrame, radius: int, segments: int, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect exactly what links of at most ``radius`` bits connect. ``prints``: distinct fp."""
+def _pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places: all of small groups that they connect, stars of larger ones."""
+    member, root = spanning_edges(x, y)
+    if not len(member):
+        return x, y
+    size = np.bincount(root) + 1
+    of = np.arange(max(int(x.max()), int(y.max())) + 1)
+    of[member] = root
+    few = np.flatnonzero(size[of[x]] <= ALL_PAIRS)
+    many = np.flatnonzero(size[root] > ALL_PAIRS)
+    return np.concatenate([x[few], member[many]]), np.concatenate([y[few], root[many]])
+
+
+def link_edges(prints: DataFrame, radius: int, segments: int, bucket: int = BUCKET, flips: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect exactly what links of at most ``radius`` bits connect. ``prints``: distinct fp.
+
+    ``flips`` sets the balls' radius instead: then the edges are pairs within ``radius`` that meet in some bucket, for
+    further checks (of more than a few that are connected in a bucket, each with the smallest one).
+    """
+    pairs = flips is not None
+    flips = radius // segments if flips is None else flips
 
     def look_up(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         values = batch.column("fp").to_numpy().view(np.uint64)
         for a in range(0, len(values), 2000):
-            keys, members, own = _lookups(values[a:a + 2000], segments, radius)
+            keys, members, own = _lookups(values[a:a + 2000], segments, flips)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.view(np.int64)), pa.array(members.view(np.int64)), pa.array(own)],
                 names=["key", "fp", "own"])
@@ -166,8 +219,12 @@ def link_edges(prints: DataFrame, radius: int, segments: int, bucket: int = BUCK
                 same = (bucket_of[x] == bucket_of[y]) & small[bucket_of[x]]
                 x, y = x[same], y[same]
                 near = (own[x] | own[y]) & (np.bitwise_count(prints_[x] ^ prints_[y]) <= radius)
-                left.append(prints_[x[near]].view(np.int64))
-                right.append(prints_[y[near]].view(np.int64))
+                left.append(x[near])
+                right.append(y[near])
+            if left:
+                x, y = np.concatenate(left), np.concatenate(right)
+                x, y = _pairs(x, y) if pairs else (x, y)
+                left, right = [prints_[x].view(np.int64)], [prints_[y].view(np.int64)]
             for k in np.flatnonzero(~small).tolist():
                 a, b = begins[k], begins[k + 1]
                 x, y = _verify(prints_[a:b], own[a:b], radius)
@@ -175,7 +232,8 @@ def link_edges(prints: DataFrame, radius: int, segments: int, bucket: int = BUCK
                 right.append(y)
             if left:
                 x, y = np.concatenate(left), np.concatenate(right)
-                x, y = spanning_edges(x[x != y], y[x != y])
+                x, y = x[x != y], y[x != y]
+                x, y = (x, y) if pairs else spanning_edges(x, y)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     dealt = rows.repartition("key", "slice").sortWithinPartitions("key", "slice")
@@ -201,14 +259,76 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, segments:
     return rows.join(named, "fp").select("doc_id", "th", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): distinct shingle hashes of the text (id, th) that stands for each node."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        column = batch.column("text")
+        for a, b in blocks_of(pc.binary_length(column).to_numpy(zero_copy_only=False)):
+            sets = [np.unique(shingle_hashes(value, words)).view(np.int64)
+                    for value in column.slice(a, b - a).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))],
+                                             names=["node", "shingles"])
+
+    rows = texts(docs).withColumn("th", F.xxhash64("text"))
+    standing = broadcastable(nodes, nodes.count(), 32)
+    rows = rows.join(standing, rows["doc_id"].eqNullSafe(standing["id"]) & (rows["th"] == standing["node_th"]))
+    # Repeated rows stand for a node once.
+    return map_batches(rows.select("node", "text").dropDuplicates(["node"]), run, "node bigint, shingles array<bigint>")
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, prints: int = PRINTS, radius: int = WIDE_RADIUS,
+            bucket: int = BUCKET) -> DataFrame:
+    """Per row: doc_id, th, node (a hash of all fingerprints) and component_id, the smallest doc_id that links reach.
+
+    Links are pairs of fingerprints whose shingle sets have a Jaccard similarity of ``similarity`` or more. Candidates
+    share a segment of one of the fingerprints up to one bit and differ in at most ``radius`` of that one's bits, which
+    reaches 98 in 100 pairs at the limit and more above it. Each text that is compared travels once for each link.
+    """
+    names = ["fp", *[f"fp{i}" for i in range(1, prints)]]
+    rows = materialize(fingerprints(docs, words, prints).withColumn("node", F.xxhash64(*names)), "prints")
+    nodes = materialize(rows.groupBy("node").agg(
+        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "th")).alias("place"), *[F.first(n).alias(n) for n in names]),
+        "distinct-prints")
+    count = nodes.count()
+    edges = None
+    for name in names:
+        # Texts may share one fingerprint and differ in others: they are compared too.
+        own = materialize(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node"),
+                                                                     F.count(F.lit(1)).alias("n")), "own-prints")
+        met = link_edges(own.select("fp"), radius, wide_segments(count), bucket, flips=1)
+        met = met.join(own.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(
+            own.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
+        shared = nodes.join(own.filter("n > 1").select(F.col("fp").alias(name), F.col("node").alias("x")), name).select(
+            "x", F.col("node").alias("y")).filter("x <> y")
+        met = met.unionByName(shared)
+        edges = met if edges is None else edges.unionByName(met)
+    edges = materialize(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    standing = nodes.join(ends, "node").select("node", F.col("place.doc_id").alias("id"), F.col("place.th").alias("node_th"))
+    # Written, so that AQE can split the joins where one text has very many candidates.
+    sets = materialize(shingle_sets(docs, materialize(standing, "standing"), words), "shingle-sets")
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+    shared = F.size(F.array_intersect("left", "right"))
+    links = both.filter(shared >= F.lit(similarity) * (F.size("left") + F.size("right") - shared)).select("a", "b")
+    roots = materialize(components(materialize(links, "links")), "roots")
+    joined = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = joined.join(lowest, "root").select("node", "component_id")
+    return rows.join(named, "node").select("doc_id", "th", "node", "component_id")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame | None = None, key: str = "node") -> DataFrame:
     """One row of each component, that of the smallest doc_id (same id: smallest text hash); all columns of ``docs``.
 
-    Rows without id stay only where their component has no id at all; of rows with equal id and text one stays.
+    ``found`` has doc_id, th, the key of equal fingerprints and component_id (the result of ``similar`` by default). Rows
+    without id stay only where their component has no id at all; of rows with equal id and text one stays.
     """
-    found = near_duplicates(docs, radius, words)
+    found = similar(docs) if found is None else found
+    found = materialize(found, "components")
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(
-        F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(F.min("th").alias("th"))
+        F.col("component_id").isNull(), F.col(key)).alias("lone")).agg(F.min("th").alias("th"))
     kept = materialize(kept.select(F.col("component_id").alias("__id"), F.col("th").alias("__kept_th")), "kept")
     rows = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = rows.join(broadcastable(kept, kept.count(), 32), (rows["__th"] == kept["__kept_th"]) & rows[

@@ -81,12 +81,63 @@ def test_near_copies(docs, rows, none):
             "doc_id", simhash.as_hex().alias("f"), "component_id").collect()
         assert Counter(tuple(r) for r in got) == want
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.one_of_each(docs)
+    kept = simhash.one_of_each(docs, simhash.near_duplicates(docs), "fp")
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(ids, key=str) == sorted(set(low.values()), key=str)
 
 
+def word_shingles(text, words=5):
+    found = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\v\f\r":
+        found = found.replace(c, " ")
+    found = [w for w in found.split(" ") if w]
+    return frozenset(" ".join(found[i:i + words]) for i in range(max(1, len(found) - words + 1))) if found else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rnd, rows):
+    """Bases and copies with words changed, dropped, added or moved, from hardly to much; a large group of near copies."""
+    out = []
+    words = [f"w{rnd.randrange(4000)}" for _ in range(3000)]
+    for base in range(60):
+        text = [rnd.choice(words) for _ in range(rnd.choice([8, 30, 60, 120, 300]))]
+        for _ in range(rnd.choice([2, 3, 6, 70 if base == 0 else 2])):
+            copy = list(text)
+            for _ in range(rnd.choice([0, 1, 1, 2, len(text) // 40, len(text) // 25])):
+                at = rnd.randrange(len(copy))
+                copy[at:at + rnd.choice([0, 1, 1])] = [rnd.choice(words)]
+            out.append((1000 + len(out), " ".join(copy).replace("w1", "W1") if rnd.random() < 0.2 else " ".join(copy)))
+    return rows + out
+
+
+def test_similar_texts(spark, docs, rows, none):
+    """Links are true pairs only, and at least 95 in 100 pairs of texts end in one component."""
+    rows = edited(random.Random(21), rows)
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, node int, a int").repartition(3)
+    sets = [word_shingles(t) for _, t in rows]
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    root = union(range(len(rows)), close)
+    for bucket in (4096, 8):
+        got = simhash.similar(df, bucket=bucket).collect()
+        component = {(r.doc_id, r.th): r.component_id for r in got}
+        assert len(got) == len(rows)
+        names = [component[r.doc_id, r.th] for r in df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).collect()]
+        order = {(r.doc_id, r.text): n for r, n in zip(df.select("doc_id", "text").collect(), names)}
+        names = [order[row] for row in rows]
+        assert sum(names[i] == names[j] for i, j in close) >= 0.95 * len(close)
+        # A component never joins what true links don't join.
+        apart = {}
+        for name, r in zip(names, (root[i] for i in range(len(rows)))):
+            assert apart.setdefault(name, r) == r or name == 7  # two texts have this id
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns and sorted({r.doc_id for r in kept.collect()} - {None}) == sorted(set(names) - {None})
+    assert simhash.similar(none).count() == 0 and simhash.one_of_each(none).count() == 0
+
+
 @pytest.mark.parametrize("segments,radius", [(4, 4), (3, 4), (3, 5), (2, 4)])
 def test_links_of_close_prints(spark, segments, radius):
     rnd = random.Random(9)
