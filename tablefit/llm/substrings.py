@@ -38,7 +38,7 @@ CHUNK = 4 << 20  # bytes of one text that are turned into arrays at a time; belo
 SHALLOW = 16  # bytes ordered by multikey quicksort
 GROUP = 1024  # classes of an anchor that are sorted together
 BLOCK = 8  # windows next to each other that are compared between slices together
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 BYTE_CODES = np.random.default_rng(32).integers(1, 1 << 63, 256, dtype=np.uint64)
 FACTORS = np.random.default_rng(64).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 OCCURRENCE = "d bigint, th bigint, start bigint, anchor bigint, cls bigint, off int, n int"
