@@ -20,7 +20,7 @@ from tablefit.functions.frames import shared_folder
 from tablefit.functions.lookups import CLASSIFICATION, REGRESSION, TIME_SERIES
 from tablefit.operators import audit, compare, models, remediate, splits
 from tablefit.operators.columns import fill_missing
-from tablefit.plans.closed_loop import fraction_sweep, remediate_and_validate
+from tablefit.plans.closed_loop import SWEEP, fraction_sweep, remediate_and_validate, sweep_split
 from tablefit.sources.writers import write_cleansed
 
 SCATTER = "((xor(o_orderkey, o_orderkey >> 31) % 2147483648) * 2654435761 + 42) % 2147483648"
@@ -341,6 +341,22 @@ def sweep(spark, folder):
     return rounded(fraction_sweep(df, "value", "ts", "event_id", anomaly="pinned"))
 
 
+@query("sweep_parts", DIRTY_EVENTS, sql="""
+WITH s AS (SELECT * FROM (VALUES (0, 0.5::DOUBLE), (1, 0.6::DOUBLE), (2, 0.7::DOUBLE), (3, 0.8::DOUBLE), (4, 0.85::DOUBLE)) v(i, share)),
+r AS (SELECT ts, value, event_id, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS n FROM dirty_events),
+p AS (SELECT i, share, ts, value, event_id, k <= floor(n * share) AS train FROM r, s),
+t AS (SELECT i, ts, arg_min(value, event_id) AS value FROM p WHERE train GROUP BY i, ts)
+SELECT i::INT AS share, 'train' AS part, count(*) AS rows, round(sum(value), 4) AS total FROM t GROUP BY i
+UNION ALL SELECT i, 'test', count(*), round(sum(value), 4) FROM p WHERE NOT train GROUP BY i""")
+def sweep_parts(spark, folder):
+    """The parts of the share sweep after its one repair."""
+    parts = sweep_split(events(spark, folder), (0.5, 0.6, 0.7, 0.8, 0.85), "event_id")
+    train = remediate.sort_timestamps(parts.filter("part = 'train'"), "ts", "event_id", [SWEEP])
+    done = train.unionByName(parts.filter("part = 'test'"))
+    return rounded(done.groupBy(F.col(SWEEP).alias("share"), "part").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")), 4)
+
+
 # ---------------------------------------------------------------- audit
 
 HASHED = """WITH b AS (SELECT {key} AS id, (((xor({key}, {key} >> 31) % 2147483648) * 2654435761) % 2147483647)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablefit.functions.frames import materialize
+from tablefit.functions.frames import join_on, materialize
 from tablefit.functions.lookups import CLASSIFICATION, CLUSTERING, TIME_SERIES, ImbalancePolicy, canonical_task
 from tablefit.functions.stats import missing
 from tablefit.operators.audit import immutability, split_receipt
@@ -16,7 +17,7 @@ from tablefit.operators.columns import identifier_columns
 from tablefit.operators.compare import combined_fitness, gain_comparison, with_change, with_decision
 from tablefit.operators.dimensions import duplicate_timestamps
 from tablefit.operators.models import observed_metric
-from tablefit.operators.remediate import Fitted, action_log, repair_split
+from tablefit.operators.remediate import Fitted, action_log, repair_split, sort_timestamps
 from tablefit.operators.select import with_tile
 from tablefit.operators.splits import MIN_ROWS, random_split, stratified_split
 from tablefit.plans.evaluate import Evaluation, evaluate
@@ -142,28 +143,70 @@ def in_sequence(train: DataFrame, test: DataFrame, row_order: str,
     return train, test.withColumn(SEQUENCE, F.col(row_order).cast("long") - first + last + 1)
 
 
+SWEEP = "__share"
+
+
+def sweep_split(df: DataFrame, shares: Sequence[float], row_order: str) -> DataFrame:
+    """Every row once for each share, in its train or test part; the shares' cuts are found together."""
+    cuts = [lambda n, s=s: F.floor(n * F.lit(s)) for s in shares]
+    tiled = with_tile(df, [row_order], cuts, name="__tile")
+    each = tiled.withColumn(SWEEP, F.explode(F.sequence(F.lit(0), F.lit(len(shares) - 1))))
+    return each.withColumn("part", F.when(F.col("__tile") <= F.col(SWEEP), "train").otherwise("test")).drop("__tile")
+
+
 def fraction_sweep(df: DataFrame, target: str, time: str, row_order: str,
                    shares: Sequence[float] = (0.50, 0.60, 0.70, 0.80, 0.85), without: Sequence[str] = (),
                    anomaly: str = "contamination") -> DataFrame:
-    """Sort repair of a series under several train shares: predicted against observed gain."""
-    before = evaluate(df, TIME_SERIES, target, time, row_order=row_order, without=[*without, "part", row_order],
+    """Sort repair of a series under several train shares: predicted against observed gain.
+
+    The shares are segments: one split, one repair and one evaluation serve them all. Only the reference models are
+    trained share by share.
+    """
+    shares, spark = sorted(shares), df.sparkSession
+    hidden = [*without, "part", row_order]
+    before = evaluate(df, TIME_SERIES, target, time, row_order=row_order, without=hidden, anomaly=anomaly)
+    start = before.rows.select("fitness").first()["fitness"]
+    parts = materialize(sweep_split(df.filter(~missing(df, target)), shares, row_order), "sweep")
+    train = sort_timestamps(parts.filter("part = 'train'"), time, row_order, [SWEEP])
+    test = Fitted("sort_timestamps", time=time).apply(parts.filter("part = 'test'"))
+    train = train.withColumn(SEQUENCE, F.unix_micros(F.col(time).cast("timestamp")))
+    # Sorted training rows first, then the test rows as they came, in each share.
+    place = F.col(row_order).cast("long")
+    moved = join_on(test.groupBy(SWEEP).agg(F.min(place).alias("__first")),
+                    train.groupBy(SWEEP).agg(F.max(SEQUENCE).alias("__last")), [SWEEP])
+    test = join_on(test, moved, [SWEEP], small=True).withColumn(
+        SEQUENCE, place - F.col("__first") + F.coalesce("__last", F.lit(0)) + 1).drop("__first", "__last")
+    both = materialize(cleansed(train, test), "sweep-repaired")
+
+    marked = both.withColumn("part", F.explode(F.array(F.col("part"), F.lit("all"))))
+    unused = [*(c for c in hidden if c != "part"), SEQUENCE]
+    keys = identifier_columns(both.filter(F.col(SWEEP) == 0), [c for c in both.columns if c not in (*hidden, SEQUENCE, SWEEP)])
+    scored = evaluate(marked, TIME_SERIES, target, time, SEQUENCE, [SWEEP, "part"], identifiers=keys, without=unused,
                       anomaly=anomaly)
+    found = {(r[SWEEP], r["part"]): r for r in scored.rows.select(SWEEP, "part", "n", "fitness", "tier").collect()}
+    gains = [before.actions(train_share=share).filter("action = 'sort_timestamps'").select(F.lit(i).alias("i"), "gain")
+             for i, share in enumerate(shares)]
+    gain = {r["i"]: r["gain"] for r in reduce(DataFrame.unionByName, gains).collect()}
     rows = []
-    for share in shares:
-        loop = remediate_and_validate(df, TIME_SERIES, target, row_order, time, ["sort_timestamps"], share,
-                                      anomaly=anomaly, without=without, before=before)
-        gain = before.actions(train_share=share).filter("action = 'sort_timestamps'").select("gain").first()
-        r = loop.result.first()
-        rows.append((share, r["train_fitness"], r["test_fitness"], r["partition_fitness"],
-                     float(gain["gain"]) if gain else 0.0, round(r["partition_fitness"] - r["fitness_before"], 1),
-                     r["metric_before"], r["metric_after"], r["train_tier"], r["test_tier"]))
-    table = df.sparkSession.createDataFrame(rows, (
-        "train_share double, train_fitness double, test_fitness double, fitness_after double, predicted_gain double, "
-        "fitness_gain double, metric_before double, metric_after double, train_tier string, test_tier string"))
+    for i, share in enumerate(shares):
+        one = F.col(SWEEP) == i
+        metrics = [observed_metric(d.filter(one).drop(SWEEP), TIME_SERIES, target, time, key, [*hidden, SEQUENCE])
+                   for d, key in ((parts, row_order), (both, SEQUENCE))]
+        a, b, whole = (found[i, part] for part in ("train", "test", "all"))
+        rows.append((share, a["n"], b["n"], a["fitness"], b["fitness"], whole["fitness"], a["tier"], b["tier"], whole["tier"],
+                     start, float(gain.get(i, 0.0)), *metrics))
+    table = combined_fitness(spark.createDataFrame(rows, (
+        "train_share double, train_rows long, test_rows long, train_fitness double, test_fitness double, full_fitness double, "
+        "train_tier string, test_tier string, full_tier string, fitness_before double, predicted_gain double, "
+        "metric_before double, metric_after double")))
     improved = F.col("metric_after") < F.col("metric_before")
     decision = (
         F.when(F.col("train_tier") == "RED", "BLOCKED")
         .when(F.col("test_tier") == "RED", F.when(improved, "REVIEW_REQUIRED").otherwise("BLOCKED"))
         .when(improved, "ACCEPTED").otherwise("NO_IMPROVEMENT")
     )
-    return gain_comparison(table).withColumn("decision", decision)
+    compared = gain_comparison(table.withColumn("fitness_gain", F.round(F.col("partition_fitness") - F.col("fitness_before"), 1)))
+    return compared.select(
+        "train_share", "train_rows", "test_rows", "train_fitness", "test_fitness", F.col("partition_fitness").alias("fitness_after"),
+        "predicted_gain", "fitness_gain", "metric_before", "metric_after", "train_tier", "test_tier", "gain_gap",
+        "within_10_points", decision.alias("decision"))

@@ -13,7 +13,7 @@ from tablefit.operators import anomaly, audit, models, remediate, splits
 from tablefit.operators.anomaly import forest_anomaly
 from tablefit.operators.columns import lenient_timestamp
 from tablefit.operators.portfolio import signed_rank_exact
-from tablefit.plans.closed_loop import remediate_and_validate
+from tablefit.plans.closed_loop import fraction_sweep, remediate_and_validate
 from tablefit.plans.evaluate import evaluate
 from tablefit.sources.readers import TableError, format_of, read_table, require_rows
 from tablefit.sources.writers import write_csv, write_report
@@ -213,6 +213,24 @@ def spiked(spark):
     return spark.createDataFrame(rows, "k long, g string, a double, b double")
 
 
+def test_the_share_sweep_equals_single_loops(spark):
+    rng = np.random.default_rng(17)
+    n = 160
+    pdf = pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=n, freq="h"), "x": rng.normal(size=n)})
+    pdf["y"] = pdf["x"] * 3 + 10 + rng.normal(0, 0.2, n)
+    pdf = pd.concat([pdf.iloc[:110].sample(frac=1.0, random_state=1), pdf.iloc[5:9], pdf.iloc[110:]]).reset_index(drop=True)
+    df = spark.createDataFrame(pdf.assign(i=np.arange(len(pdf))))
+    sweep = {r["train_share"]: r for r in fraction_sweep(df, "y", "ts", "i", (0.5, 0.8), anomaly="pinned").collect()}
+    for share in (0.5, 0.8):
+        loop = remediate_and_validate(df, "time_series", "y", "i", "ts", ["sort_timestamps"], share, anomaly="pinned")
+        want, got = loop.result.first(), sweep[share]
+        for name in ("train_fitness", "test_fitness", "metric_before", "metric_after"):
+            assert got[name] == pytest.approx(want[name]), name
+        assert got["fitness_after"] == pytest.approx(want["partition_fitness"])
+        assert (got["train_rows"], got["test_rows"]) == (want["train_rows"], want["test_rows"])
+        assert (got["train_tier"], got["test_tier"]) == (want["train_tier"], want["test_tier"])
+
+
 def test_eight_repairs_scan_the_source_a_few_times(spark):
     rng = np.random.default_rng(8)
     n = 300
