@@ -27,8 +27,10 @@ from tablefit.llm.common import blocks_of, texts
 
 MARK = "▁"
 NEVER = float("inf")
-# Segments and piece pairs that a task remembers; a full store is emptied.
-KNOWN_SEGMENTS = 250_000
+# What a task remembers of segments, in bytes with an allowance for each entry (longer segments are not remembered), and
+# of piece pairs; a full store is emptied.
+KNOWN_BYTES = 96 << 20
+ENTRY_BYTES, SEGMENT_CHARS = 350, 256
 KNOWN_PAIRS = 300_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids string, decoded string"
 
@@ -81,6 +83,7 @@ class PieceModel:
         self.surface = [piece.replace(MARK, " ") for piece in self.pieces]
         self.known_ids: dict[str, str] = {}
         self.known_text: dict[str, str] = {}
+        self.held = 0
 
     def _last_merge(self, piece: str) -> tuple[str, ...] | None:
         """The two parts that merge last when the piece is encoded alone; None if it isn't reached."""
@@ -186,25 +189,30 @@ class PieceModel:
 
     def forget(self) -> None:
         """Drop what is remembered: workers live on and serve other jobs."""
-        self.known_ids, self.known_text, self.pairs = {}, {}, {}
+        self.known_ids, self.known_text, self.pairs, self.held = {}, {}, {}, 0
 
     def rows(self, values: list[str]) -> Iterator[tuple[str, int, str]]:
         """(ids joined by commas, number of ids, decoded text) of each text."""
         known_ids, known_text, decimal = self.known_ids, self.known_text, self.decimal
-        cut = [self.segments(value) for value in values]
-        missing = set().union(*cut).difference(known_ids)
-        if len(known_ids) + len(missing) > KNOWN_SEGMENTS:
+        if self.held > KNOWN_BYTES:
             known_ids.clear()
             known_text.clear()
-            missing = set().union(*cut)
-        for segment in missing:
+            self.held = 0
+        cut, long = [self.segments(value) for value in values], []
+        for segment in set().union(*cut).difference(known_ids):
             ids = self.encode_segment(segment)
             known_ids[segment] = ",".join([decimal[i] for i in ids])
             known_text[segment] = self.decode(ids, inner=True)
+            if len(segment) > SEGMENT_CHARS:
+                long.append(segment)
+            else:
+                self.held += 8 * len(segment) + ENTRY_BYTES
         for segments in cut:
             ids = ",".join(map(known_ids.__getitem__, segments))
             # The first segment begins with the mark that encoding adds.
             yield ids, ids.count(",") + 1 if ids else 0, "".join(map(known_text.__getitem__, segments))[1:]
+        for segment in long:
+            del known_ids[segment], known_text[segment]
 
 
 def _utf8(data: bytes) -> str:

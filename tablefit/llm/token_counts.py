@@ -28,8 +28,10 @@ from tablefit.llm.common import blocks_of, materialize, texts
 
 CACHE_SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("tokenizer", T.StringType()),
                              T.StructField("n_tokens", T.LongType())])
-# Words whose counts a worker remembers; a full store is emptied.
-KNOWN_WORDS = 1_000_000
+# What a task remembers of words, in bytes with an allowance for each entry; a full store is emptied, and longer words are
+# not remembered.
+KNOWN_BYTES = 96 << 20
+ENTRY_BYTES, WORD_CHARS = 200, 128
 
 
 class JsonCounter:
@@ -44,7 +46,7 @@ class JsonCounter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int | None] = {}
+        self.forget()
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         pieces = self.tokenizer.get_vocab()
@@ -58,16 +60,20 @@ class JsonCounter:
                         for t in parts.get("added_tokens", ()))
         )
 
+    def forget(self) -> None:
+        """Drop what is remembered: workers live on and serve other jobs."""
+        self.known: dict[str, int | None] = {}
+        self.held = 0
+
     def _whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def counts(self, values: list[str]) -> list[int]:
+        if self.held > KNOWN_BYTES:
+            self.forget()
         known = self.known
         cut = [value.split(" ") if self.cuts else [] for value in values]
-        missing = set().union(*[words[1:] for words in cut])
-        if len(known) + len(missing) > KNOWN_WORDS:
-            known.clear()
-        missing.difference_update(known)
+        missing = set().union(*[words[1:] for words in cut]).difference(known)
         words = []
         for word in missing:
             if word and not word[0].isspace() and not word[-1].isspace():
@@ -89,6 +95,11 @@ class JsonCounter:
                 out.append(self._whole(value))
             else:
                 out.append(self._whole(words[0]) + sum(found))
+        for word in missing:
+            if len(word) > WORD_CHARS:
+                del known[word]
+            else:
+                self.held += 4 * len(word) + ENTRY_BYTES
         return out
 
 
@@ -100,6 +111,9 @@ class PieceCounter:
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
 
+    def forget(self) -> None:
+        """Nothing is remembered."""
+
     def counts(self, values: list[str]) -> list[int]:
         return [len(self.processor.encode(value)) for value in values]
 
@@ -133,6 +147,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("digest").slice(a, b - a), pa.array([version] * len(counts)),
                      pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
+        counter.forget()
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     # Written, so that both sides of the join are plain shuffles, which AQE splits at hot digests.

@@ -81,3 +81,28 @@ def test_byte_pairs_rows(spark, docs, rows, none):
                    for d, t in rows)
     assert Counter(tuple(r) for r in byte_pairs.encode_decode(docs, BYTES).collect()) == want
     assert byte_pairs.encode_decode(none, BYTES).count() == 0
+
+
+def test_long_words_are_not_remembered():
+    """Long unbroken strings pass without staying in memory; results are those of the libraries."""
+    rnd = random.Random(3)
+    blobs = ["".join(rnd.choice("abcXYZ019+/") for _ in range(10_000)) for _ in range(40)]
+    texts = [f"the {a} and {b}\n{a[:50]}" for a, b in zip(blobs, blobs[1:])]
+    piece_library, byte_library = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(BYTES)
+    piece_model, counter, pair_model = pieces.PieceModel(PIECES), token_counts.JsonCounter(BYTES), byte_pairs.BytePairModel(BYTES)
+    assert [r[0] for r in piece_model.rows(texts)] == [",".join(map(str, piece_library.encode(t))) for t in texts]
+    ids = [byte_library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counter.counts(texts) == list(map(len, ids))
+    assert [r[0] for r in pair_model.rows(texts)] == [",".join(map(str, i)) for i in ids]
+    for known in (piece_model.known_ids, piece_model.known_text, counter.known, pair_model.known_ids, pair_model.known_text):
+        assert max(map(len, known), default=0) <= 256
+
+
+def test_full_stores_are_emptied(monkeypatch):
+    for module in (pieces, token_counts):
+        monkeypatch.setattr(module, "KNOWN_BYTES", 20_000)
+    piece_library, byte_library = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(BYTES)
+    piece_model, counter = pieces.PieceModel(PIECES), token_counts.JsonCounter(BYTES)
+    for text in odd_texts(400):
+        assert [r[0] for r in piece_model.rows([text])] == [",".join(map(str, piece_library.encode(text)))]
+        assert counter.counts([text]) == [len(byte_library.encode(text, add_special_tokens=False).ids)]
