@@ -21,7 +21,9 @@ Other input columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,10 @@ BUCKET = 4096  # rows of a bucket that are verified at a time
 SEGMENTS = ((3, 50_000_000), (2, None))
 # Fingerprints for similarities, the radius of candidates, and most connected ones of a bucket that all pairs are taken of.
 PRINTS = 3
-WIDE_RADIUS = 16
+WIDE_RADIUS = 12
 ALL_PAIRS = 4
+# Share of the bits of all fingerprints together that a candidate may differ in: far above what similar texts have.
+WIDE_SHARE = 0.25
 
 
 def shingle_hashes(text: bytes, words: int = 4) -> np.ndarray:
@@ -283,7 +287,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, prints: in
 
     Links are pairs of fingerprints whose shingle sets have a Jaccard similarity of ``similarity`` or more. Candidates
     share a segment of one of the fingerprints up to one bit and differ in at most ``radius`` of that one's bits, which
-    reaches 98 in 100 pairs at the limit and more above it. Each text that is compared travels once for each link.
+    reaches about 95 in 100 pairs at the limit and more above it. Each text that is compared travels once for each link.
     """
     names = ["fp", *[f"fp{i}" for i in range(1, prints)]]
     rows = materialize(fingerprints(docs, words, prints).withColumn("node", F.xxhash64(*names)), "prints")
@@ -303,7 +307,12 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, prints: in
             "x", F.col("node").alias("y")).filter("x <> y")
         met = met.unionByName(shared)
         edges = met if edges is None else edges.unionByName(met)
-    edges = materialize(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    edges = edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # All fingerprints together tell candidates that only happen to be near in one.
+    left, right = (nodes.select(F.col("node").alias(end), *[F.col(n).alias(f"{end}_{n}") for n in names]) for end in "ab")
+    apart = reduce(add, [F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names])
+    edges = edges.join(left, "a").join(right, "b").filter(apart <= WIDE_SHARE * BITS * prints).select("a", "b")
+    edges = materialize(edges, "candidates")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     standing = nodes.join(ends, "node").select("node", F.col("place.doc_id").alias("id"), F.col("place.th").alias("node_th"))
     # Written, so that AQE can split the joins where one text has very many candidates.
