@@ -40,8 +40,10 @@ SEED = 42
 BUCKET = 4096  # rows of a bucket that are verified at a time
 # Distinct fingerprints up to which each number of segments is used.
 SEGMENTS = ((3, 50_000_000), (2, None))
-# Fingerprints for similarities, the radius of candidates, and most connected ones of a bucket that all pairs are taken of.
+# Fingerprints for similarities, their segments (as many at any size, so that links don't depend on it), the radius of
+# candidates, and most connected ones of a bucket that all pairs are taken of.
 PRINTS = 3
+WIDE_SEGMENTS = 4
 WIDE_RADIUS = 12
 ALL_PAIRS = 4
 # Share of the bits of all fingerprints together that a candidate may differ in: far above what similar texts have.
@@ -108,11 +110,6 @@ def segments_for(distinct: int) -> int:
     return next(n for n, most in SEGMENTS if most is None or distinct <= most)
 
 
-def wide_segments(distinct: int) -> int:
-    """Segments of the wide search: shorter ones miss fewer pairs, longer ones keep the buckets of large tables short."""
-    return 4 if distinct <= 200_000_000 else 3
-
-
 def _cuts(segments: int) -> list[tuple[int, int]]:
     """(shift, width) of each segment."""
     edges = [BITS * i // segments for i in range(segments + 1)]
@@ -294,13 +291,12 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, prints: in
     nodes = materialize(rows.groupBy("node").agg(
         F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "th")).alias("place"), *[F.first(n).alias(n) for n in names]),
         "distinct-prints")
-    count = nodes.count()
     edges = None
     for name in names:
         # Texts may share one fingerprint and differ in others: they are compared too.
         own = materialize(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node"),
                                                                      F.count(F.lit(1)).alias("n")), "own-prints")
-        met = link_edges(own.select("fp"), radius, wide_segments(count), bucket, flips=1)
+        met = link_edges(own.select("fp"), radius, WIDE_SEGMENTS, bucket, flips=1)
         met = met.join(own.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(
             own.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
         shared = nodes.join(own.filter("n > 1").select(F.col("fp").alias(name), F.col("node").alias("x")), name).select(

@@ -166,3 +166,22 @@ def test_components(spark):
     got = graph.components(df).collect()
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
     assert graph.components(df.filter(F.lit(False))).count() == 0
+
+
+def test_segments_do_not_depend_on_size(spark, monkeypatch):
+    """However many fingerprints are counted, the wide search cuts them alike."""
+    used = []
+
+    class Large(int):
+        __le__ = __lt__ = lambda self, other: False
+
+    def look(prints, radius, segments, *others, **options):
+        used.append(segments)
+        return edges(prints, radius, segments, *others, **options)
+
+    df = spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(4)], "doc_id long, text string")
+    edges, count = simhash.link_edges, type(df).count
+    monkeypatch.setattr(simhash, "link_edges", look)
+    monkeypatch.setattr(type(df), "count", lambda self: Large(count(self)))
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+    assert set(used) == {4}
