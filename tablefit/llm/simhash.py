@@ -10,8 +10,9 @@ which give the edges of a spanning forest instead of all pairs; buckets above ``
 every pair of slices is a bucket of its own.
 
 ``similar`` reaches pairs that a Hamming radius alone would miss or could not tell from others: it looks up small balls
-around the segments of several independent fingerprints, keeps pairs within a wide radius, and links those whose word
-shingles have a Jaccard similarity of 0.8 or more.
+around the segments of several independent fingerprints, keeps pairs within a wide radius that all fingerprints together
+allow (both checked where they meet, so that no others are shuffled), and links those whose word shingles have a Jaccard
+similarity of 0.8 or more.
 
 Defined results: NULL, empty and blank texts have the fingerprint zero, linked like any other; repeated rows keep their
 rows; a NULL id keeps its row but never names a component that has another id; an empty table gives an empty table.
@@ -23,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +117,7 @@ def _cuts(segments: int) -> list[tuple[int, int]]:
 
 
 def _lookups(prints: np.ndarray, segments: int, flips_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket key, fingerprint, own) of the home buckets and of the balls around them.
+    """(bucket key, place of the fingerprint, own) of the home buckets and of the balls around them.
 
     A pair could meet in the home bucket of either; one is enough, so a ball holds no value below its centre.
     """
@@ -129,72 +129,91 @@ def _lookups(prints: np.ndarray, segments: int, flips_: int) -> tuple[np.ndarray
                 ball = value ^ np.uint64(sum(1 << bit for bit in bits))
                 near = ball >= value
                 keys.append(ball[near] * np.uint64(8) + np.uint64(number))
-                members.append(prints[near])
+                members.append(np.flatnonzero(near))
                 own.append(np.full(int(near.sum()), flips == 0))
     return np.concatenate(keys), np.concatenate(members), np.concatenate(own)
 
 
-def _verify(prints: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of one bucket: residents against all rows, block by block."""
-    home = prints[own]
-    left, right = [], []
+def _verify(prints: np.ndarray, own: np.ndarray, radius: int, reduced=spanning_edges) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (places) of one bucket: residents against all rows, block by block, each block's reduced with those before."""
+    home = np.flatnonzero(own)
+    left = right = np.array([], np.int64)
     step = max(1, (1 << 22) // max(1, len(prints)))
     for a in range(0, len(home), step):
-        near = np.bitwise_count(home[a:a + step, None] ^ prints[None, :]) <= radius
-        i, j = np.nonzero(near)
-        x, y = home[a + i].view(np.int64), prints[j].view(np.int64)
-        x, y = spanning_edges(x[x != y], y[x != y])
-        left.append(x)
-        right.append(y)
-    if not left:
-        return np.array([], np.int64), np.array([], np.int64)
-    return spanning_edges(np.concatenate(left), np.concatenate(right))
-
-
-def _pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places: all of small groups that they connect, stars of larger ones."""
-    member, root = spanning_edges(x, y)
-    if not len(member):
-        return x, y
-    size = np.bincount(root) + 1
-    of = np.arange(max(int(x.max()), int(y.max())) + 1)
-    of[member] = root
-    few = np.flatnonzero(size[of[x]] <= ALL_PAIRS)
-    many = np.flatnonzero(size[root] > ALL_PAIRS)
-    return np.concatenate([x[few], member[many]]), np.concatenate([y[few], root[many]])
-
-
-def link_edges(prints: DataFrame, radius: int, segments: int, bucket: int = BUCKET, flips: int | None = None) -> DataFrame:
+        near = np.bitwise_count(prints[home[a:a + step], None] ^ prints[None, :]) <= radius
+        i, y = np.nonzero(near)
+        x = home[a + i]
+        # Two residents meet once.
+        once = (x < y) | (x > y) & ~own[y]
+        left, right = reduced(np.concatenate([left, x[once]]), np.concatenate([right, y[once]]))
+    return left, right
+
+
+def _forest(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places of pairs: all of small groups that they connect, the minimum spanning forest of larger ones.
+
+    Whatever the pairs up to a distance connect, those of the forest up to that distance do.
+    """
+    if not len(x):
+        return np.array([], np.int64)
+    order = np.lexsort((y, x, apart))
+    nodes, index = np.unique(np.concatenate([x[order], y[order]]), return_inverse=True)
+    a, b = index[:len(x)], index[len(x):]
+    root, left, taken = np.arange(len(nodes)), np.arange(len(x)), np.zeros(len(x), bool)
+    while True:
+        left = left[root[a[left]] != root[b[left]]]
+        if not len(left):
+            break
+        nearest = np.full(len(nodes), len(x))
+        np.minimum.at(nearest, root[a[left]], left)
+        np.minimum.at(nearest, root[b[left]], left)
+        chosen = np.unique(nearest[nearest < len(x)])
+        taken[chosen] = True
+        member, low = spanning_edges(root[a[chosen]], root[b[chosen]])
+        merged = np.arange(len(nodes))
+        merged[member] = low
+        root = merged[root]
+    taken |= np.bincount(root)[root[a]] <= ALL_PAIRS
+    return order[taken]
+
+
+def link_edges(prints: DataFrame, radius: int, segments: int, bucket: int = BUCKET, flips: int | None = None,
+               others: tuple[str, ...] = (), apart: float = 0) -> DataFrame:
     """Edges (a, b) that connect exactly what links of at most ``radius`` bits connect. ``prints``: distinct fp.
 
-    ``flips`` sets the balls' radius instead: then the edges are pairs within ``radius`` that meet in some bucket, for
-    further checks (of more than a few that are connected in a bucket, each with the smallest one).
+    ``flips`` sets the balls' radius instead: then the edges are pairs of ``node`` (a column besides fp) within ``radius``
+    that meet in some bucket and differ in at most ``apart`` bits of fp and the ``others`` together, for further checks: of
+    more than a few that are connected in a bucket, the minimum spanning tree by that distance. A bucket of m rows gives
+    less than 2 m of them.
     """
     pairs = flips is not None
     flips = radius // segments if flips is None else flips
+    carried = ("node", *others) if pairs else ()
 
     def look_up(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         values = batch.column("fp").to_numpy().view(np.uint64)
         for a in range(0, len(values), 2000):
-            keys, members, own = _lookups(values[a:a + 2000], segments, flips)
+            keys, places, own = _lookups(values[a:a + 2000], segments, flips)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(members.view(np.int64)), pa.array(own)],
-                names=["key", "fp", "own"])
+                [pa.array(keys.view(np.int64)), pa.array(own),
+                 *[batch.column(c).slice(a, 2000).take(pa.array(places)) for c in ("fp", *carried)]],
+                names=["key", "own", "fp", *carried])
 
-    rows = map_batches(prints, look_up, "key bigint, fp bigint, own boolean")
+    rows = map_batches(prints, look_up, "key bigint, own boolean, fp bigint" + "".join(f", {c} bigint" for c in carried))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("home"))
     large = sizes.filter((F.col("n") > bucket) & F.col("home")).select(
         "key", F.ceil(F.col("n") / bucket).cast("int").alias("slices"))
     large = materialize(large, "large-buckets")
     rows = rows.join(large, "key", "left") if large.first() else rows.withColumn("slices", F.lit(None).cast("int"))
-    slice_of = F.pmod(F.xxhash64("fp"), "slices").cast("int")
-    rows = rows.select("key", "fp", "own", F.explode(F.when(
+    slice_of = F.pmod(F.xxhash64("node" if pairs else "fp"), "slices").cast("int")
+    rows = rows.select("key", "fp", "own", *carried, F.explode(F.when(
         F.col("slices").isNull(), F.array(F.lit(0))).otherwise(F.transform(
             F.sequence(F.lit(0), F.col("slices") - 1),
             lambda t: F.least(t, slice_of) * F.col("slices") + F.greatest(t, slice_of)))).alias("slice"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.array([], np.int64),) * 2 + (np.array([], np.uint64), np.array([], bool))
+        rest = (np.array([], np.int64),) * 2 + (np.array([], np.uint64), np.array([], bool)) + (
+            np.array([], np.int64),) * len(carried)
         for batch in _with_end(batches):
             if batch is None:
                 cut, now = len(rest[0]), rest
@@ -202,11 +221,12 @@ def link_edges(prints: DataFrame, radius: int, segments: int, bucket: int = BUCK
                 now = tuple(np.concatenate([r, c]) for r, c in zip(rest, (
                     batch.column("key").to_numpy(), batch.column("slice").to_numpy().astype(np.int64),
                     batch.column("fp").to_numpy().view(np.uint64),
-                    batch.column("own").to_numpy(zero_copy_only=False)), strict=True))
+                    batch.column("own").to_numpy(zero_copy_only=False),
+                    *[batch.column(c).to_numpy() for c in carried]), strict=True))
                 change = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0))
                 cut = int(change[-1]) + 1 if len(change) else 0
             rest = tuple(x[cut:] for x in now)
-            keys, parts, prints_, own = (x[:cut] for x in now)
+            keys, parts, prints_, own, *more = (x[:cut] for x in now)
             if not cut:
                 continue
             begins = np.concatenate([[0], np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1, [cut]])
@@ -222,23 +242,34 @@ def link_edges(prints: DataFrame, radius: int, segments: int, bucket: int = BUCK
                 near = (own[x] | own[y]) & (np.bitwise_count(prints_[x] ^ prints_[y]) <= radius)
                 left.append(x[near])
                 right.append(y[near])
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                x, y = _pairs(x, y) if pairs else (x, y)
-                left, right = [prints_[x].view(np.int64)], [prints_[y].view(np.int64)]
+            def wide(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                far = np.bitwise_count(prints_[x] ^ prints_[y]).astype(np.int64)
+                for other in more[1:]:
+                    far += np.bitwise_count((other[x] ^ other[y]).view(np.uint64))
+                x, y, far = x[far <= apart], y[far <= apart], far[far <= apart]
+                best = _forest(x, y, far)
+                return x[best], y[best]
+
+            if left and pairs:
+                x, y = wide(np.concatenate(left), np.concatenate(right))
+                left, right = [x], [y]
             for k in np.flatnonzero(~small).tolist():
                 a, b = begins[k], begins[k + 1]
-                x, y = _verify(prints_[a:b], own[a:b], radius)
-                left.append(x)
-                right.append(y)
+                x, y = _verify(prints_[a:b], own[a:b], radius, (
+                    lambda x, y, a=a: tuple(z - a for z in wide(a + x, a + y))) if pairs else spanning_edges)
+                left.append(a + x)
+                right.append(a + y)
             if left:
                 x, y = np.concatenate(left), np.concatenate(right)
-                x, y = x[x != y], y[x != y]
-                x, y = (x, y) if pairs else spanning_edges(x, y)
+                if pairs:
+                    x, y = more[0][x], more[0][y]
+                    x, y = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                else:
+                    x, y = spanning_edges(prints_[x].view(np.int64), prints_[y].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    dealt = rows.repartition("key", "slice").sortWithinPartitions("key", "slice")
-    return dealt.select("key", "slice", "fp", "own").mapInArrow(verify, "a bigint, b bigint")
+    dealt = rows.repartition("key", "slice").sortWithinPartitions("key", "slice", "fp", *carried)
+    return dealt.select("key", "slice", "fp", "own", *carried).mapInArrow(verify, "a bigint, b bigint")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -278,6 +309,18 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return map_batches(rows.select("node", "text").dropDuplicates(["node"]), run, "node bigint, shingles array<bigint>")
 
 
+def candidates(nodes: DataFrame, names: list[str], radius: int, bucket: int = BUCKET) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes that are near in one of their fingerprints and not far in all together."""
+    apart = WIDE_SHARE * BITS * len(names)
+    edges = []
+    for name in names:
+        # All fingerprints together tell candidates that only happen to be near in one.
+        others = {f"other{i}": n for i, n in enumerate(names) if n != name}
+        prints = nodes.select("node", F.col(name).alias("fp"), *[F.col(n).alias(o) for o, n in others.items()])
+        edges.append(link_edges(prints, radius, WIDE_SEGMENTS, bucket, 1, tuple(others), apart))
+    return reduce(DataFrame.unionByName, edges).distinct()
+
+
 def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, prints: int = PRINTS, radius: int = WIDE_RADIUS,
             bucket: int = BUCKET) -> DataFrame:
     """Per row: doc_id, th, node (a hash of all fingerprints) and component_id, the smallest doc_id that links reach.
@@ -291,24 +334,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, prints: in
     nodes = materialize(rows.groupBy("node").agg(
         F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "th")).alias("place"), *[F.first(n).alias(n) for n in names]),
         "distinct-prints")
-    edges = None
-    for name in names:
-        # Texts may share one fingerprint and differ in others: they are compared too.
-        own = materialize(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node"),
-                                                                     F.count(F.lit(1)).alias("n")), "own-prints")
-        met = link_edges(own.select("fp"), radius, WIDE_SEGMENTS, bucket, flips=1)
-        met = met.join(own.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(
-            own.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
-        shared = nodes.join(own.filter("n > 1").select(F.col("fp").alias(name), F.col("node").alias("x")), name).select(
-            "x", F.col("node").alias("y")).filter("x <> y")
-        met = met.unionByName(shared)
-        edges = met if edges is None else edges.unionByName(met)
-    edges = edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    # All fingerprints together tell candidates that only happen to be near in one.
-    left, right = (nodes.select(F.col("node").alias(end), *[F.col(n).alias(f"{end}_{n}") for n in names]) for end in "ab")
-    apart = reduce(add, [F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names])
-    edges = edges.join(left, "a").join(right, "b").filter(apart <= WIDE_SHARE * BITS * prints).select("a", "b")
-    edges = materialize(edges, "candidates")
+    edges = materialize(candidates(nodes, names, radius, bucket), "candidates")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     standing = nodes.join(ends, "node").select("node", F.col("place.doc_id").alias("id"), F.col("place.th").alias("node_th"))
     # Written, so that AQE can split the joins where one text has very many candidates.

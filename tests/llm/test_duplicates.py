@@ -185,3 +185,24 @@ def test_segments_do_not_depend_on_size(spark, monkeypatch):
     monkeypatch.setattr(type(df), "count", lambda self: Large(count(self)))
     assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
     assert set(used) == {4}
+
+
+def test_candidates_of_a_large_group(spark):
+    """Fewer than two for each place in a bucket, and up to each distance they connect what all pairs connect."""
+    rnd = random.Random(13)
+    centres = [[rnd.getrandbits(64) for _ in range(3)] for _ in range(3)]
+    prints = [tuple(p ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 9))) for p in centres[i % 40 and 1 + i % 2])
+              for i in range(240)]
+    signed = [[int(np.uint64(p).astype(np.int64)) for p in three] for three in prints]
+    nodes = spark.createDataFrame([(i, *three) for i, three in enumerate(signed)], "node long, fp long, fp1 long, fp2 long")
+    got = {(r.a, r.b) for r in simhash.candidates(nodes, ["fp", "fp1", "fp2"], 12).collect()}
+
+    def meet(p, q):
+        return (p ^ q).bit_count() <= 12 and any((p >> s ^ q >> s & 0xFFFF) & 0xFFFF == 0 or (
+            (p >> s ^ q >> s) & 0xFFFF).bit_count() == 1 for s in (0, 16, 32, 48))
+
+    far = {(i, j): sum((p ^ q).bit_count() for p, q in zip(prints[i], prints[j])) for j in range(240) for i in range(j)}
+    near = [(i, j) for i, j in far if far[i, j] <= 48 and any(meet(p, q) for p, q in zip(prints[i], prints[j]))]
+    assert got <= set(near) and len(got) < len(near) / 2 and len(near) > 5_000
+    for most in range(0, 49, 4):
+        assert union(range(240), [e for e in got if far[e] <= most]) == union(range(240), [e for e in near if far[e] <= most])
