@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablefit.functions.frames import join_on
+from tablefit.functions.frames import join_on, materialize
 from tablefit.functions.lookups import CLASSIFICATION, CLUSTERING, REGRESSION, TIME_SERIES
 from tablefit.functions.stats import as_number, dtype_of, infinite, is_numeric, missing, total
 from tablefit.operators.columns import drop_incomplete, lenient_timestamp, shared_features
@@ -23,6 +24,8 @@ from tablefit.operators.order import with_previous
 from tablefit.operators.select import medians
 
 TREES, DEPTH = 40, 6
+# Rows that one task trains a forest on.
+ROWS_PER_FIT = 25_000
 # Rows whose silhouette is taken, and rows that a task compares with them at a time.
 SILHOUETTE_ROWS, ROWS_PER_TILE = 1000, 512
 
@@ -31,9 +34,11 @@ def train_filled(train: DataFrame, test: DataFrame, columns: Sequence[str], exac
     """Both parts with gaps filled by the training medians; infinite cells count as gaps."""
     train, test = (
         d.withColumns({c: F.when(~infinite(d, c), as_number(d, c)) for c in columns}) for d in (train, test))
-    # Of all columns: one that is complete in training may have gaps in the test part.
-    fills = medians(train.select(*columns), list(columns), exact=exact).first()
-    filled = {c: F.coalesce(F.col(c), F.lit(float(fills[c] or 0.0))) for c in columns}
+    # A column that is complete in training may have gaps in the test part.
+    gaps = [d.agg(*[F.max(F.col(c).isNull()).alias(c) for c in columns]).first() for d in (train, test) if columns]
+    gappy = [c for c in columns if any(row[c] for row in gaps)]
+    fills = medians(train.select(*gappy), gappy, exact=exact).first() if gappy else {}
+    filled = {c: F.coalesce(F.col(c), F.lit(float(fills[c] or 0.0))) for c in gappy}
     return train.withColumns(filled), test.withColumns(filled)
 
 
@@ -65,6 +70,12 @@ def _assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="__features", handleInvalid="skip").transform(df)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows in tasks of about ``ROWS_PER_FIT``: a forest passes over them level by level, in as many tasks as they come."""
+    tasks = math.ceil(df.count() / ROWS_PER_FIT)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def fit_predict(train: DataFrame, test: DataFrame, task: str, target: str, features: Sequence[str] | None = None,
                 trees: int = TREES, depth: int = DEPTH, seed: int = 42) -> DataFrame:
     """Test rows with ``label`` and ``prediction`` of the task's reference forest."""
@@ -83,7 +94,7 @@ def fit_predict(train: DataFrame, test: DataFrame, task: str, target: str, featu
         train, test = (d.withColumn("label", as_number(d, target)).filter("label is not null") for d in (train, test))
         model = RandomForestRegressor(labelCol="label", featuresCol="__features", numTrees=trees, maxDepth=depth,
                                       seed=seed)
-    fitted = model.fit(_assemble(train, features))
+    fitted = model.fit(_assemble(spread(train.select("label", *features)), features))
     return fitted.transform(_assemble(test, features)).drop(
         "__features", "__class", "rawPrediction", "probability")
 
@@ -256,9 +267,11 @@ def observed_metric(parts: DataFrame, task: str, target: str | None, time: str |
         sizes = {r["part"]: r["count"] for r in given.collect()}
         if sizes.get("train", 0) < 10 or sizes.get("test", 0) < 2:
             return None
-        lagged = lag_features(parts, target, row_order, time)
-        train, test = lagged.filter("part = 'train'"), lagged.filter("part = 'test'")
         features = [*features, "lag1"]
+        # The forest reads its rows several times, but not the windows behind them.
+        lagged = materialize(lag_features(parts, target, row_order, time).select("part", target, *features), "lagged",
+                             ["part"])
+        train, test = lagged.filter("part = 'train'"), lagged.filter("part = 'test'")
     elif task != REGRESSION or not features:
         return None
     predictions = fit_predict(train, test, task, target, features)

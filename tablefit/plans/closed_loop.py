@@ -166,17 +166,19 @@ def fraction_sweep(df: DataFrame, target: str, time: str, row_order: str,
     hidden = [*without, "part", row_order]
     before = evaluate(df, TIME_SERIES, target, time, row_order=row_order, without=hidden, anomaly=anomaly)
     start = before.rows.select("fitness").first()["fitness"]
-    parts = materialize(sweep_split(df.filter(~missing(df, target)), shares, row_order), "sweep")
+    parts = materialize(sweep_split(df.filter(~missing(df, target)), shares, row_order), "sweep", [SWEEP])
+    parsed = Fitted("sort_timestamps", time=time)
     train = sort_timestamps(parts.filter("part = 'train'"), time, row_order, [SWEEP])
-    test = Fitted("sort_timestamps", time=time).apply(parts.filter("part = 'test'"))
-    train = train.withColumn(SEQUENCE, F.unix_micros(F.col(time).cast("timestamp")))
+    test = parsed.apply(parts.filter("part = 'test'"))
+    arrival = F.unix_micros(F.col(time).cast("timestamp"))
+    train = train.withColumn(SEQUENCE, arrival)
     # Sorted training rows first, then the test rows as they came, in each share.
     place = F.col(row_order).cast("long")
     moved = join_on(test.groupBy(SWEEP).agg(F.min(place).alias("__first")),
-                    train.groupBy(SWEEP).agg(F.max(SEQUENCE).alias("__last")), [SWEEP])
+                    parsed.apply(parts.filter("part = 'train'")).groupBy(SWEEP).agg(F.max(arrival).alias("__last")), [SWEEP])
     test = join_on(test, moved, [SWEEP], small=True).withColumn(
         SEQUENCE, place - F.col("__first") + F.coalesce("__last", F.lit(0)) + 1).drop("__first", "__last")
-    both = materialize(cleansed(train, test), "sweep-repaired")
+    both = materialize(cleansed(train, test), "sweep-repaired", [SWEEP])
 
     marked = both.withColumn("part", F.explode(F.array(F.col("part"), F.lit("all"))))
     unused = [*(c for c in hidden if c != "part"), SEQUENCE]

@@ -213,6 +213,34 @@ def spiked(spark):
     return spark.createDataFrame(rows, "k long, g string, a double, b double")
 
 
+def test_a_forecast_reads_its_rows_a_few_times(spark):
+    rows = [(i, float(i % 7), "train" if i < 240 else "test", i % 5) for i in range(300)]
+    source = spark.createDataFrame(rows, "i long, y double, part string, x int").coalesce(1)
+    scans = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for n, batch in enumerate(batches):
+            scans.add(n == 0)
+            yield batch
+
+    tracked = source.mapInPandas(counted, source.schema)
+    assert models.observed_metric(tracked, TIME_SERIES, "y", None, "i", ["i"]) > 0
+    assert scans.value <= 12
+
+
+def test_a_forest_trains_in_tasks_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_PER_FIT", 40)
+    df = spark.range(300).selectExpr("id AS i", "id % 7 AS x", "double(id % 7) AS y").coalesce(1)
+    assert models.spread(df).rdd.getNumPartitions() == 8
+    assert models.spread(df.limit(40)).rdd.getNumPartitions() == 1
+    inputs = []
+    fit = models.RandomForestRegressor.fit
+    monkeypatch.setattr(models.RandomForestRegressor, "fit",
+                        lambda self, data: (inputs.append(data.rdd.getNumPartitions()), fit(self, data))[1])
+    done = models.fit_predict(df.filter("i < 200"), df.filter("i >= 200"), REGRESSION, "y", ["x"])
+    assert done.count() == 100 and inputs == [5]
+
+
 def test_the_share_sweep_equals_single_loops(spark):
     rng = np.random.default_rng(17)
     n = 160
