@@ -9,10 +9,11 @@ Copies share a fingerprint, so tables hold distinct fingerprints only. Looked-up
 which give the edges of a spanning forest instead of all pairs; buckets above ``BUCKET`` rows are cut into slices, and
 every pair of slices is a bucket of its own.
 
-``similar`` reaches pairs that a Hamming radius alone would miss or could not tell from others: it looks up small balls
-around the segments of several independent fingerprints, keeps pairs within a wide radius that all fingerprints together
-allow (both checked where they meet, so that no others are shuffled), and links those whose word shingles have a Jaccard
-similarity of 0.8 or more.
+``similar`` links all texts whose word shingles have a Jaccard similarity of 0.8 or more. Texts that share a segment of one
+of several independent fingerprints and are near in all of them are compared first, a spanning forest of them in each
+bucket, which joins most groups. Whatever that left out meets again by its prefix: sets of n shingles that are similar share
+one of the first n / 5 + 1 of them in any order that holds for all texts, here from rare to frequent. Each pair that does,
+could be similar by its sizes and places, and is not in one component yet, is compared: no similar pair stays apart.
 
 Defined results: NULL, empty and blank texts have the fingerprint zero, linked like any other; repeated rows keep their
 rows; a NULL id keeps its row but never names a component that has another id; an empty table gives an empty table.
@@ -21,6 +22,7 @@ Other input columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -48,6 +50,12 @@ WIDE_RADIUS = 12
 ALL_PAIRS = 4
 # Share of the bits of all fingerprints together that a candidate may differ in: far above what similar texts have.
 WIDE_SHARE = 0.25
+# Counters that tell rare shingles from frequent ones, and how many of them travel together.
+COUNTERS, COUNTERS_PER_ROW = 1 << 20, 1 << 14
+# Texts that a task remembers, so that copies of them are not sent again.
+REMEMBERED = 100_000
+# Far above rounding errors, far below one shingle.
+TOLERANCE = 1e-6
 
 
 def shingle_hashes(text: bytes, words: int = 4) -> np.ndarray:
@@ -89,21 +97,71 @@ def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprints(docs: DataFrame, words: int = 4, prints: int = 1) -> DataFrame:
-    """(doc_id, th, fp, fp1, ...): th is a hash of the text, the fingerprints are signed longs."""
+def _named(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Distinct shingles, sorted, and a signed number for them."""
+    found = np.unique(hashes)
+    return found, int(np.uint64(xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+
+
+def fingerprints(docs: DataFrame, words: int = 4, prints: int = 1, sets: bool = False) -> DataFrame:
+    """(doc_id, th, fp, fp1, ...): th is a hash of the text, the fingerprints are signed longs.
+
+    ``sets`` adds ``node``, a hash of the distinct shingles, and at the end of each task rows (part, counts) that say how
+    many of its texts hold shingles of each counter; ``part`` is NULL in all others.
+    """
     names = ["fp", *[f"fp{i}" for i in range(1, prints)]]
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        column = batch.column("text")
-        for a, b in blocks_of(pc.binary_length(column).to_numpy(zero_copy_only=False)):
-            hashes = [shingle_hashes(value, words) for value in column.slice(a, b - a).cast(pa.binary()).to_pylist()]
-            found = [np.array([majority(_mixed(h, i)) for h in hashes], np.uint64).view(np.int64) for i in range(prints)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS if sets else 0, np.int64)
+        for batch in batches:
+            column = batch.column("text")
+            for a, b in blocks_of(pc.binary_length(column).to_numpy(zero_copy_only=False)):
+                hashes = [shingle_hashes(value, words) for value in column.slice(a, b - a).cast(pa.binary()).to_pylist()]
+                found = [np.array([majority(_mixed(h, i)) for h in hashes], np.uint64).view(np.int64)
+                         for i in range(prints)]
+                columns = [batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), *map(pa.array, found)]
+                if sets:
+                    distinct, nodes = zip(*map(_named, hashes), strict=True)
+                    total += np.bincount(_counter(np.concatenate(distinct)), minlength=COUNTERS)
+                    columns += [pa.array(nodes, pa.int64()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*schema])
+        if total.any():
+            parts = total.reshape(-1, COUNTERS_PER_ROW)
+            held = np.flatnonzero(parts.any(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), *map(pa.array, found)],
-                names=["doc_id", "th", *names])
+                [pa.nulls(len(held), pa.int64())] * (3 + prints) + [
+                    pa.array(held, pa.int32()), pa.array([parts[i].astype(np.int32).tobytes() for i in held], pa.binary())],
+                names=[*schema])
 
+    schema = dict.fromkeys(["doc_id", "th", *names], "bigint")
+    if sets:
+        schema |= {"node": "bigint", "part": "int", "counts": "binary"}
     rows = texts(docs).withColumn("th", F.xxhash64("text"))
-    return map_batches(rows, run, "doc_id bigint, th bigint, " + ", ".join(f"{name} bigint" for name in names))
+    return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in schema.items()))
+
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def shingle_levels(counted: DataFrame) -> np.ndarray:
+    """Bits of the sum of each counter, from rows (part, counts). Their number is fixed; they are added in tasks."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+                found = np.frombuffer(counts, np.int32).astype(np.int64)
+                total[part] = total[part] + found if part in total else found
+        bits = [np.frexp(found.astype(float))[1].astype(np.uint8).tobytes() for found in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits, pa.binary())],
+                                         names=["part", "bits"])
+
+    levels = np.zeros(COUNTERS, np.uint8)
+    for row in counted.repartition("part").mapInArrow(add, "part int, bits binary").collect():
+        a = row["part"] * COUNTERS_PER_ROW
+        levels[a:a + COUNTERS_PER_ROW] = np.frombuffer(row["bits"], np.uint8)
+    return levels
 
 
 def segments_for(distinct: int) -> int:
@@ -309,7 +367,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return map_batches(rows.select("node", "text").dropDuplicates(["node"]), run, "node bigint, shingles array<bigint>")
 
 
-def candidates(nodes: DataFrame, names: list[str], radius: int, bucket: int = BUCKET) -> DataFrame:
+def candidates(nodes: DataFrame, names: list[str], radius: int, bucket: int = BUCKET, flips: int = 1) -> DataFrame:
     """Distinct pairs (a, b), a < b, of nodes that are near in one of their fingerprints and not far in all together."""
     apart = WIDE_SHARE * BITS * len(names)
     edges = []
@@ -317,33 +375,151 @@ def candidates(nodes: DataFrame, names: list[str], radius: int, bucket: int = BU
         # All fingerprints together tell candidates that only happen to be near in one.
         others = {f"other{i}": n for i, n in enumerate(names) if n != name}
         prints = nodes.select("node", F.col(name).alias("fp"), *[F.col(n).alias(o) for o, n in others.items()])
-        edges.append(link_edges(prints, radius, WIDE_SEGMENTS, bucket, 1, tuple(others), apart))
+        edges.append(link_edges(prints, radius, WIDE_SEGMENTS, bucket, flips, tuple(others), apart))
     return reduce(DataFrame.unionByName, edges).distinct()
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, prints: int = PRINTS, radius: int = WIDE_RADIUS,
-            bucket: int = BUCKET) -> DataFrame:
-    """Per row: doc_id, th, node (a hash of all fingerprints) and component_id, the smallest doc_id that links reach.
+def prefixes(docs: DataFrame, levels: np.ndarray, similarity: float, words: int, bucket: int = BUCKET) -> DataFrame:
+    """(node, size, keys, hot): number of distinct shingles, the first ones of them from rare to frequent, as many as
+    similar sets need to share one, and those of them whose counter allows more than ``bucket`` texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, seen = shared.value, set()
+        for batch in batches:
+            column = batch.column("text")
+            for a, b in blocks_of(pc.binary_length(column).to_numpy(zero_copy_only=False)):
+                found = []
+                for value in column.slice(a, b - a).cast(pa.binary()).to_pylist():
+                    shingles, node = _named(shingle_hashes(value, words))
+                    if node in seen or not len(shingles):
+                        continue
+                    seen.add(node)
+                    level = levels[_counter(shingles)]
+                    most = len(shingles) - math.ceil(similarity * len(shingles) - TOLERANCE) + 1
+                    first = np.argsort(level, kind="stable")[:most]
+                    keys = shingles.view(np.int64)[first]
+                    found.append((node, len(shingles), keys, keys[2.0 ** level[first] > bucket]))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                if found:
+                    node, size, keys, hot = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                         pa.array(hot, pa.list_(pa.int64()))], names=["node", "size", "keys", "hot"])
+
+    return texts(docs).select("text").mapInArrow(
+        run, "node bigint, size bigint, keys array<bigint>, hot array<bigint>")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of batches of longs, cut where the first two columns change, and where their runs begin."""
+    rest = None
+    for batch in _with_end(batches):
+        if batch is None:
+            now, cut = rest, 0 if rest is None else len(rest[0])
+        else:
+            now = tuple(c.to_numpy() for c in batch.columns)
+            now = now if rest is None else tuple(np.concatenate(both) for both in zip(rest, now, strict=True))
+            change = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0))
+            cut = int(change[-1]) + 1 if len(change) else 0
+            rest = tuple(x[cut:] for x in now)
+        if cut:
+            done = tuple(x[:cut] for x in now)
+            change = np.flatnonzero((np.diff(done[0]) != 0) | (np.diff(done[1]) != 0)) + 1
+            yield *done, np.concatenate([[0], change, [cut]])
+
 
-    Links are pairs of fingerprints whose shingle sets have a Jaccard similarity of ``similarity`` or more. Candidates
-    share a segment of one of the fingerprints up to one bit and differ in at most ``radius`` of that one's bits, which
-    reaches about 95 in 100 pairs at the limit and more above it. Each text that is compared travels once for each link.
+def prefix_pairs(rows: DataFrame, roots: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes in different components that could have the similarity: they share a key of
+    their prefixes, and what follows it in both sets is enough.
+
+    ``rows``: what ``prefixes`` gives; ``roots``: (node, root) of those in components. Keys of more than ``bucket`` rows are
+    cut into slices, and every pair of slices is a bucket of its own.
     """
-    names = ["fp", *[f"fp{i}" for i in range(1, prints)]]
-    rows = materialize(fingerprints(docs, words, prints).withColumn("node", F.xxhash64(*names)), "prints")
-    nodes = materialize(rows.groupBy("node").agg(
-        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "th")).alias("place"), *[F.first(n).alias(n) for n in names]),
-        "distinct-prints")
-    edges = materialize(candidates(nodes, names, radius, bucket), "candidates")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    large = rows.select(F.explode("hot").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > bucket).select("key", F.ceil(F.col("n") / bucket).cast("long").alias("slices"))
+    large = materialize(large, "large-prefixes")
+    rows = rows.join(broadcastable(roots, roots.count(), 16), "node", "left")
+    rows = rows.select("node", F.coalesce("root", "node").alias("root"), "size", F.posexplode("keys").alias("place", "key"))
+    slices = large.count()
+    rows = rows.join(broadcastable(large, slices, 16), "key", "left") if slices else rows.withColumn(
+        "slices", F.lit(None).cast("long"))
+    slice_of = F.pmod(F.xxhash64("node"), "slices")
+    rows = rows.select("key", F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("slices") - 1),
+        lambda t: F.least(t, slice_of) * F.col("slices") + F.greatest(t, slice_of)))).alias("slice"),
+        "node", "root", "size", F.col("place").cast("long").alias("place"))
+    share = similarity / (1 + similarity)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, node, root, size, place, begins in _buckets(batches):
+            lengths = np.diff(begins)
+
+            def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                left = np.minimum(size[x] - place[x], size[y] - place[y])
+                return (root[x] != root[y]) & (left >= share * (size[x] + size[y]) - TOLERANCE)
+
+            def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+                found = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
+                return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+            bucket_of = np.repeat(np.arange(len(lengths)), lengths)
+            small = lengths <= 64
+            for offset in range(1, int(lengths[small].max(initial=1))):
+                x = np.flatnonzero((bucket_of[:-offset] == bucket_of[offset:]) & small[bucket_of[offset:]])
+                x = x[possible(x, x + offset)]
+                if len(x):
+                    yield pairs(x, x + offset)
+            for k in np.flatnonzero(~small).tolist():
+                a, b = int(begins[k]), int(begins[k + 1])
+                step = max(1, (1 << 20) // (b - a))
+                for i in range(a, b, step):
+                    x, y = np.arange(i, min(i + step, b))[:, None], np.arange(i + 1, b)[None, :]
+                    p, q = np.nonzero(possible(x, y) & (x < y))
+                    if len(p):
+                        yield pairs(x[p, 0], y[0, q])
+
+    dealt = rows.repartition("key", "slice").sortWithinPartitions("key", "slice")
+    return dealt.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have the similarity."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     standing = nodes.join(ends, "node").select("node", F.col("place.doc_id").alias("id"), F.col("place.th").alias("node_th"))
     # Written, so that AQE can split the joins where one text has very many candidates.
     sets = materialize(shingle_sets(docs, materialize(standing, "standing"), words), "shingle-sets")
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
     shared = F.size(F.array_intersect("left", "right"))
     links = both.filter(shared >= F.lit(similarity) * (F.size("left") + F.size("right") - shared)).select("a", "b")
-    roots = materialize(components(materialize(links, "links")), "roots")
+    return materialize(links, "links")
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, prints: int = PRINTS, radius: int = WIDE_RADIUS,
+            bucket: int = BUCKET) -> DataFrame:
+    """Per row: doc_id, th, node (a hash of the shingle set) and component_id, the smallest doc_id that links reach.
+
+    Links are all pairs of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more. Texts whose
+    fingerprints share a segment are compared first; pairs by prefix only where these links left them apart. Each text that
+    is compared travels once for each pair.
+    """
+    names = ["fp", *[f"fp{i}" for i in range(1, prints)]]
+    found = materialize(fingerprints(docs, words, prints, sets=True), "prints")
+    rows = found.filter("part IS NULL").select("doc_id", "th", "node", *names)
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "th", *names)).alias("place"))
+    nodes = materialize(nodes.select("node", "low", "place", *[F.col(f"place.{n}").alias(n) for n in names]), "distinct-sets")
+    # Prefixes find what the segments miss, so no balls are looked up around them.
+    near = materialize(candidates(nodes, names, radius, bucket, flips=0), "candidates")
+    roots = materialize(components(similar_pairs(docs, nodes, near, similarity, words)), "roots")
+    levels = shingle_levels(found.filter("part IS NOT NULL").select("part", "counts"))
+    keys = materialize(prefixes(docs, levels, similarity, words, bucket), "prefixes")
+    pairs = materialize(prefix_pairs(keys, roots, similarity, bucket), "prefix-pairs")
+    links = similar_pairs(docs, nodes, pairs, similarity, words)
+    if links.first():
+        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = materialize(components(links.unionByName(joined)), "roots")
     joined = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     named = joined.join(lowest, "root").select("node", "component_id")

@@ -206,3 +206,27 @@ def test_candidates_of_a_large_group(spark):
     assert got <= set(near) and len(got) < len(near) / 2 and len(near) > 5_000
     for most in range(0, 49, 4):
         assert union(range(240), [e for e in got if far[e] <= most]) == union(range(240), [e for e in near if far[e] <= most])
+
+
+@pytest.mark.parametrize("bucket", [4096, 8])
+def test_no_similar_pair_stays_apart(spark, bucket):
+    """Many pairs at the limit, texts that only their repeats make alike, a line that nearly all texts hold."""
+    rnd = random.Random(5)
+    words = [f"w{rnd.randrange(3000)}" for _ in range(3000)]
+    line = " ".join(rnd.choice(words) for _ in range(9))
+    texts = []
+    for _ in range(150):
+        text = [rnd.choice(words) for _ in range(rnd.randint(25, 260))]
+        copy = list(text)
+        # Each changed word takes five shingles; a ninth of both sets may differ.
+        for at in rnd.sample(range(len(copy)), max(1, round(len(copy) / rnd.choice([40, 46, 50])))):
+            copy[at] = "new" + copy[at]
+        texts += [" ".join(t) + " " + (line if rnd.random() < 0.8 else rnd.choice(words)) for t in (text, copy)]
+    often = f"{line} " * 200
+    texts += [often + " ".join(rnd.choice(words) for _ in range(60)) for _ in range(3)]
+    sets = [word_shingles(t) for t in texts]
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert 60 < len(close) < 140
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df, bucket=bucket).collect()}
+    assert got == union(range(len(texts)), close)
